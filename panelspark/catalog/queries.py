@@ -39,9 +39,8 @@ def query(fn):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         # a date leaves a query as its midnight, which every engine prints alike
         df = fn(spark, sf_dir)
-        return df.select(*[
-            F.col(f"`{c}`").cast("timestamp_ntz").alias(c) if kind == "date" else F.col(f"`{c}`")
-            for c, kind in df.dtypes
+        return df.selectExpr(*[
+            f"CAST(`{c}` AS timestamp_ntz) AS `{c}`" if kind == "date" else f"`{c}`" for c, kind in df.dtypes
         ])
 
     QUERIES[fn.__name__] = run
@@ -50,9 +49,8 @@ def query(fn):
 
 def rounded(df: DataFrame, digits: int, *parts: str) -> DataFrame:
     """Round the double columns whose name contains one of ``parts``."""
-    return df.select(*[
-        F.round(F.col(f"`{c}`"), digits).alias(c)
-        if kind == "double" and any(p in c for p in parts) else F.col(f"`{c}`")
+    return df.selectExpr(*[
+        f"round(`{c}`, {digits}) AS `{c}`" if kind == "double" and any(p in c for p in parts) else f"`{c}`"
         for c, kind in df.dtypes
     ])
 
@@ -227,13 +225,9 @@ def _complete_lags(spark, d):
     return lags.complete_only(_target_lags(spark, d), [f"target_lag_{o}" for o in OFFSETS])
 
 
-def _logged(df):
-    return df.select("*", *[F.log1p(f"target_lag_{o}").alias(f"target_log1p_lag_{o}") for o in OFFSETS])
-
-
 @query
 def exact_lag_hourly(spark, d):
-    return rounded(_logged(_target_lags(spark, d)), 6, "log1p")
+    return rounded(lags.logged_lags(_target_lags(spark, d), N), 6, "log1p")
 
 
 @query
@@ -273,13 +267,13 @@ def lag_complete(spark, d):
 
 @query
 def lag_diffs(spark, d):
-    rows = lags.lag_diffs(_logged(_complete_lags(spark, d)), N)
+    rows = lags.lag_diffs(lags.logged_lags(_complete_lags(spark, d), N), N)
     kept = [c for c in rows.columns if c.endswith("_diff")]
     return rounded(rows.select(*SERIES_KEYS, "datetime", *kept), 6, "log1p")
 
 
 def _list_stats(spark, d):
-    return lags.lag_list_stats(lags.lag_diffs(_logged(_complete_lags(spark, d)), N), N)
+    return lags.lag_list_stats(lags.lag_diffs(lags.logged_lags(_complete_lags(spark, d), N), N), N)
 
 
 @query
@@ -344,7 +338,7 @@ ASSEMBLED_SAMPLE = [
 def _assembled(spark, d):
     tables = V.all_tables(spark, d)
     return build.feature_rows(
-        tables["train"], tables, N, True, V.FORECAST_COLUMNS, V.HISTORY_COLUMNS, spread_hot_keys=False
+        tables["train"], tables, N, True, V.FORECAST_COLUMNS, V.HISTORY_COLUMNS
     )
 
 
@@ -362,7 +356,6 @@ def scoring_features(spark, d):
     )
     rows = build.scoring_table(
         asked, tables, N, forecast_variables=V.FORECAST_COLUMNS, history_variables=V.HISTORY_COLUMNS,
-        spread_hot_keys=False,
     )
     kept = [c for c in ASSEMBLED_SAMPLE if c != "date_order_kfold"]
     return rows.select("row_id", *kept)
@@ -377,7 +370,7 @@ def _client_lags(spark, d):
 
 @query
 def per_capacity_ratios(spark, d):
-    return _client_lags(spark, d).select(*SERIES_KEYS, "datetime", *ratios.per_capacity(N))
+    return _client_lags(spark, d).selectExpr(*SERIES_KEYS, "datetime", *ratios.per_capacity(N))
 
 
 @query
@@ -390,7 +383,7 @@ def production_proxy(spark, d):
         range(22, 46), "surface_solar_radiation_downwards_hours_ahead_{h}", "temperature_hours_ahead_{h}"
     )
     return rounded(
-        rows.select("county", "is_business", "product_type", "date", *proxies), 4, "log1p"
+        rows.selectExpr("county", "is_business", "product_type", "date", *proxies), 4, "log1p"
     )
 
 
@@ -653,7 +646,7 @@ def stream_score(spark, d):
 
     sink = replay.score_sink(
         lambda: tables, predict, out, N,
-        forecast_variables=V.FORECAST_COLUMNS, history_variables=V.HISTORY_COLUMNS, spread_hot_keys=False,
+        forecast_variables=V.FORECAST_COLUMNS, history_variables=V.HISTORY_COLUMNS,
     )
     replay.run(stream, sink, scratch_dir(spark, "progress"))
     scored = table_schema(row_id="long", target="double")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.operators.lags import dense_panel
+from panelspark.session import land
 from panelspark.sources.schema import SERIES_KEYS
 
 START = "2024-01-01 00:00:00"
@@ -163,7 +164,8 @@ def historical_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    main = panel(spark, sf_dir)
+    """Every input table. The panel is written out once, as a source file would be."""
+    main = land(panel(spark, sf_dir), spark, "panel")
     return {
         "train": main,
         "target": main.drop("row_id"),

@@ -86,14 +86,19 @@ def holidays(spark, first_year: int, last_year: int) -> DataFrame:
     return days.filter(is_holiday(F.col("date")) == 1)
 
 
-def date_index(df: DataFrame, date: str, out: str = "date_order_kfold") -> DataFrame:
-    """Dense 0-based index of each date among the dates that occur.
+def date_index(
+    df: DataFrame, date: str, out: str = "date_order_kfold", among: DataFrame | None = None
+) -> DataFrame:
+    """Dense 0-based index of each date among the dates that occur in ``df``.
+
+    ``among`` names a cheaper table with the same dates in the same column, for
+    a ``df`` that took work to build and would be built twice otherwise.
 
     The window orders distinct calendar days only, and those days are what is
     broadcast: 366 rows per year of data however many rows the data has.
     """
     day = F.to_date(F.col(date))
-    days = df.select(day.alias("__day")).distinct()
+    days = (df if among is None else among).select(day.alias("__day")).distinct()
     numbered = days.select("__day", (F.row_number().over(Window.orderBy("__day")) - 1).alias(out))
     return (
         df.withColumn("__day", day)

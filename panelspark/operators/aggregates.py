@@ -5,18 +5,12 @@ from pyspark.sql import functions as F
 
 from panelspark.operators.align import left_join_unique
 
-_STATS = {
-    "avg": F.avg,
-    "sum": F.sum,
-    "min": F.min,
-    "max": F.max,
-    "std": F.stddev_samp,
-}
+_STATS = {"avg": "avg", "sum": "sum", "min": "min", "max": "max", "std": "stddev_samp"}
 
 
 def stat_columns(col: str, label: str, stats=tuple(_STATS)) -> list[Column]:
     """``avg_<label>, sum_<label>, ...`` of ``col``; std of a single value is null."""
-    return [_STATS[s](col).alias(f"{s}_{label}") for s in stats]
+    return [F.expr(f"{_STATS[s]}(`{col}`) AS `{s}_{label}`") for s in stats]
 
 
 def stats(df: DataFrame, keys: list[str], col: str, label: str, stats=tuple(_STATS)) -> DataFrame:
@@ -35,22 +29,18 @@ def marginals(df: DataFrame, keys: list[str], time: str, col: str) -> dict[str,
     """Statistics over each key in turn, at every combination of the others.
 
     ``result["county"]`` has one row per remaining keys and ``time``, with
-    columns ``avg_county_target`` and so on. One pass over the rows computes
-    all of them with partial aggregation before the shuffle.
+    columns ``avg_county_target`` and so on. The four are separate groupings:
+    each reduces its rows before the shuffle, and each arrives at its join
+    already partitioned on that join's keys.
     """
-    stacked = marginal_stats(df, keys, time, col)
     return {
-        key: stacked.filter(F.col("over_key") == key).select(
-            *[k for k in keys if k != key],
-            time,
-            *[F.col(f"{s}_{col}").alias(f"{s}_{key}_{col}") for s in _STATS],
-        )
-        for key in keys
+        key: stats(df, [*[k for k in keys if k != key], time], col, f"{key}_{col}") for key in keys
     }
 
 
 def marginal_stats(df: DataFrame, keys: list[str], time: str, col: str) -> DataFrame:
-    """All leave-one-key-out statistics stacked; ``over_key`` names the key left out."""
+    """All leave-one-key-out statistics stacked in one pass over the rows;
+    ``over_key`` names the key left out, which is null in that row."""
     sets = [[F.col(k) for k in keys if k != out] + [F.col(time)] for out in keys]
     # grouping_id() has a 1 bit for each grouping column that a set leaves out
     bit = {out: 1 << (len(keys) - i) for i, out in enumerate(keys)}

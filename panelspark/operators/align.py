@@ -97,6 +97,20 @@ def hot_keys(df: DataFrame, on: list[str], share: float = 0.002) -> list:
     return counts.filter(F.col("count") > F.lit(max(1_000_000, int(total * share)))).drop("count").collect()
 
 
+def fits_broadcast(df: DataFrame, max_bytes: int = 128 << 20) -> bool:
+    """Whether the rows of ``df``, counted now, stay under ``max_bytes`` in memory.
+
+    Meant for a table just written, where counting reads file footers only.
+    """
+    sizes = {"double": 8, "bigint": 8, "timestamp_ntz": 8, "timestamp": 8, "int": 8, "smallint": 8,
+             "tinyint": 8, "float": 8, "date": 8, "boolean": 8}
+    # rows are held in 8-byte words; anything of open length is not judged here
+    if any(kind not in sizes for _, kind in df.dtypes):
+        return False
+    per_row = 16 + sum(sizes[kind] for _, kind in df.dtypes) + len(df.columns) // 8
+    return df.count() * per_row <= max_bytes
+
+
 def left_join_unique(
     left: DataFrame,
     right: DataFrame,

@@ -8,9 +8,7 @@ near the end of a block are copied into the next one, so a task never holds
 more than one block of one series however long that series is.
 """
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SECONDS = {"hour": 3_600, "day": 86_400}
@@ -57,19 +55,23 @@ def exact_lag(
     """
     own = (df if at is None else at).columns
     found = lag_structs(df, keys, time, cols, offsets, unit, at, blocks)
-    return found.select(
-        *own,
-        *[
-            lagged(d, c).alias(name.format(col=c, d=d))
-            for d in offsets
-            for c in cols
-        ],
+    return found.selectExpr(
+        *quoted(own),
+        *[f"{lagged(d, c)} AS `{name.format(col=c, d=d)}`" for d in offsets for c in cols],
     )
 
 
-def lagged(d: int, col: str) -> Column:
-    """One value of the row ``d`` days earlier, out of ``lag_structs``."""
-    return F.col(f"__lag_{d}").getField(col)
+def quoted(names: list[str]) -> list[str]:
+    return [f"`{n}`" for n in names]
+
+
+def lagged(d: int, col: str) -> str:
+    """SQL for one value of the row ``d`` days earlier, out of ``lag_structs``.
+
+    Tables of hundreds of columns are written as SQL expressions throughout:
+    a select then reaches the JVM as one call instead of thousands.
+    """
+    return f"`__lag_{d}`.`{col}`"
 
 
 def lag_structs(
@@ -117,12 +119,13 @@ def lag_structs(
         )
         rows = history.unionByName(asked, allowMissingColumns=True)
 
-    window = Window.partitionBy(*keys, _BLOCK).orderBy(_TICK)
-    return rows.select(
-        *carried,
+    over = f"PARTITION BY {', '.join(quoted([*keys, _BLOCK]))} ORDER BY {_TICK}"
+    return rows.selectExpr(
+        *quoted(carried),
         _ROW,
         *[
-            F.max(_VALUES).over(window.rangeBetween(-d * _step(unit), -d * _step(unit))).alias(f"__lag_{d}")
+            f"max({_VALUES}) OVER ({over} RANGE BETWEEN {d * _step(unit)} PRECEDING"
+            f" AND {d * _step(unit)} PRECEDING) AS __lag_{d}"
             for d in offsets
         ],
     ).filter(_ROW).drop(_ROW)
@@ -182,31 +185,26 @@ def complete_only(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def lag_diffs(df: DataFrame, n: int, prefixes=("target_lag", "target_log1p_lag")) -> DataFrame:
     """Differences of neighbouring lags, ``lag_d - lag_(d+1)`` for d = 2..n-1."""
-    return df.select(
-        "*",
-        *[
-            (F.col(f"{p}_{d}") - F.col(f"{p}_{d + 1}")).alias(f"{p}_{d}_diff")
-            for p in prefixes
-            for d in range(2, n)
-        ],
+    return df.selectExpr(
+        "*", *[f"{p}_{d} - {p}_{d + 1} AS {p}_{d}_diff" for p in prefixes for d in range(2, n)]
     )
 
 
-def _total(cols: list[str]) -> Column:
-    return reduce(lambda a, b: a + b, [F.col(c) for c in cols])
+def _total(cols: list[str]) -> str:
+    return f"({' + '.join(cols)})"
+
 
+def _mean(cols: list[str]) -> str:
+    return f"{_total(cols)} / {len(cols)}"
 
-def row_mean(cols: list[str]) -> Column:
-    return _total(cols) / len(cols)
 
+def _extreme(fn: str, cols: list[str]) -> str:
+    return f"{fn}({', '.join(cols)})" if len(cols) > 1 else cols[0]
 
-def first_position(cols: list[str], pick) -> Column:
-    """0-based position of the first of ``cols`` that equals ``pick(*cols)``."""
-    best = pick(*cols) if len(cols) > 1 else F.col(cols[0])
-    branches = F.when(F.col(cols[0]) == best, F.lit(0))
-    for i, c in enumerate(cols[1:], start=1):
-        branches = branches.when(F.col(c) == best, F.lit(i))
-    return branches.cast("int")
+
+def _first_at(fn: str, cols: list[str]) -> str:
+    """0-based position of the first of ``cols`` that is the extreme one."""
+    return f"CAST(array_position(array({', '.join(cols)}), {_extreme(fn, cols)}) - 1 AS INT)"
 
 
 def lag_list_stats(df: DataFrame, n: int) -> DataFrame:
@@ -218,32 +216,21 @@ def lag_list_stats(df: DataFrame, n: int) -> DataFrame:
     lags = [f"target_lag_{d}" for d in range(2, n + 1)]
     diffs = [f"target_lag_{d}_diff" for d in range(2, n)]
     log_diffs = [f"target_log1p_lag_{d}_diff" for d in range(2, n)]
-
-    def both(name, cols, fn):
-        return [
-            fn(cols).alias(f"target_{name}_all_lag"),
-            fn(cols[:4]).alias(f"target_{name}_all_lag_2_4"),
-        ]
-
-    def least(c):
-        return F.least(*c) if len(c) > 1 else F.col(c[0])
-
-    def greatest(c):
-        return F.greatest(*c) if len(c) > 1 else F.col(c[0])
-
-    return df.select(
-        "*",
-        row_mean(log_diffs).alias("target_log1p_mean_shift_all_lag"),
-        row_mean(log_diffs[:4]).alias("target_log1p_mean_shift_all_lag_2_4"),
-        row_mean(diffs).alias("target_mean_shift_all_lag"),
-        row_mean(diffs[:4]).alias("target_mean_shift_all_lag_2_4"),
-        *both("sum", lags, _total),
-        *both("argmax", lags, lambda c: first_position(c, F.greatest)),
-        *both("argmin", lags, lambda c: first_position(c, F.least)),
-        *both("mean", lags, row_mean),
-        *both("min", lags, least),
-        *both("max", lags, greatest),
-    )
+    wanted = {
+        "target_log1p_mean_shift": (log_diffs, _mean),
+        "target_mean_shift": (diffs, _mean),
+        "target_sum": (lags, _total),
+        "target_argmax": (lags, lambda cols: _first_at("greatest", cols)),
+        "target_argmin": (lags, lambda cols: _first_at("least", cols)),
+        "target_mean": (lags, _mean),
+        "target_min": (lags, lambda cols: _extreme("least", cols)),
+        "target_max": (lags, lambda cols: _extreme("greatest", cols)),
+    }
+    return df.selectExpr("*", *[
+        f"{fn(cols[:first])} AS {name}_all_lag{suffix}"
+        for name, (cols, fn) in wanted.items()
+        for first, suffix in ((None, ""), (4, "_2_4"))
+    ])
 
 
 def lag_ratios(df: DataFrame) -> DataFrame:
@@ -258,10 +245,13 @@ def lag_ratios(df: DataFrame) -> DataFrame:
         "target_lag_2_vs_sum_all": "target_sum_all_lag",
         "target_lag_2_vs_sum_all_2_4": "target_sum_all_lag_2_4",
     }
-    return df.select(
-        "*",
-        *[
-            F.try_divide(F.col("target_lag_2"), F.lit(1) + F.col(stat)).alias(name)
-            for name, stat in names.items()
-        ],
+    return df.selectExpr(
+        "*", *[f"try_divide(target_lag_2, 1 + {stat}) AS {name}" for name, stat in names.items()]
+    )
+
+
+def logged_lags(df: DataFrame, n: int) -> DataFrame:
+    """``log1p`` of each target lag."""
+    return df.selectExpr(
+        "*", *[f"log1p(target_lag_{d}) AS target_log1p_lag_{d}" for d in range(2, n + 1)]
     )

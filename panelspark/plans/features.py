@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from panelspark.functions.calendar import calendar, cyclic, date_index, is_holiday
 from panelspark.operators import lags as L
 from panelspark.operators import ratios
-from panelspark.operators.aggregates import marginal_stats, mean_as, row_index, stats, window_mean
+from panelspark.operators.aggregates import marginals, mean_as, row_index, stats, window_mean
 from panelspark.operators.align import (
+    fits_broadcast,
     hot_keys,
     left_join_unique,
     publish_shift,
@@ -115,63 +116,73 @@ def historical_weather_features(
     return mean_as(doubled, ["county", "date"], wanted, suffix="_hours_ago_mean")
 
 
-def main_features(main: DataFrame, training: bool = True) -> DataFrame:
-    """Calendar columns of the rows themselves; the date index only in training."""
+def main_features(
+    main: DataFrame, training: bool = True, among: DataFrame | None = None
+) -> DataFrame:
+    """Calendar columns of the rows themselves; the date index only in training,
+    numbered over the ``datetime`` of ``among`` if given."""
     rows = cyclic(calendar(main, "datetime"))
     if training:
-        rows = date_index(rows, "date")
+        rows = date_index(rows, "datetime", among=among)
     return rows.withColumn("holiday", is_holiday(F.col("date")))
 
 
-def with_current_statistics(target: DataFrame) -> DataFrame:
-    """The panel with its daily and leave-one-key-out statistics at each instant."""
+def with_current_statistics(target: DataFrame, largest_group: int = 1_000_000) -> DataFrame:
+    """The panel with its daily and leave-one-key-out statistics at each instant.
+
+    A statistic over one key groups at most as many rows as the key has values,
+    because a series has one row per instant. Only for a key with more values
+    than ``largest_group`` are hot groups looked for and spread over tasks.
+    """
     panel = target.withColumn("__day", F.to_date("datetime"))
-    daily = stats(panel, [*SERIES_KEYS, "__day"], "target", "day_target")
-    panel = left_join_unique(panel, daily, [*SERIES_KEYS, "__day"])
-    stacked = marginal_stats(target.select(*SERIES_KEYS, "datetime", "target"), SERIES_KEYS, "datetime", "target")
-    for key in SERIES_KEYS:
-        others = [k for k in SERIES_KEYS if k != key]
-        one = stacked.filter(F.col("over_key") == key).select(
-            *others, "datetime",
-            *[F.col(f"{s}_target").alias(f"{s}_{key}_target") for s in ("avg", "sum", "min", "max", "std")],
-        )
-        panel = left_join_unique(panel, one, [*others, "datetime"])
+    by_day = [*SERIES_KEYS, "__day"]
+    panel = left_join_unique(panel, stats(panel, by_day, "target", "day_target"), by_day)
+    sizes = target.agg(*[F.approx_count_distinct(k).alias(k) for k in SERIES_KEYS]).first()
+    for key, over in marginals(target, SERIES_KEYS, "datetime", "target").items():
+        on = [*[k for k in SERIES_KEYS if k != key], "datetime"]
+        hot = hot_keys(target, on) if sizes[key] > largest_group else None
+        panel = left_join_unique(panel, over, on, hot=hot)
     return panel.drop("__day")
 
 
 def target_features(target: DataFrame, n_lags: int = 14, at: DataFrame | None = None) -> DataFrame:
-    """All lag features of the target, on the rows of ``target`` or of ``at``.
+    """All lag features of the target, on the rows of ``target`` or of ``at``."""
+    own = (target if at is None else at).columns
+    return lag_features(with_current_statistics(target), own, n_lags, at)
+
 
-    Rows keep all their own columns. If any of the lags 2..n of the target is
+def lag_features(
+    enriched: DataFrame, own: list[str], n_lags: int = 14, at: DataFrame | None = None
+) -> DataFrame:
+    """Lag features from a panel that carries its current statistics.
+
+    The rows keep the columns ``own``. If any of the lags 2..n of the target is
     missing, all lag features of that row are null. Every statistic is looked up
     on the series' own earlier row, so a single shuffle by series and time
     block serves all of them.
     """
     offsets = list(range(2, n_lags + 1))
     looked_up = ["target", *DAY_STATS, *MARGINAL_STATS]
-    own = (target if at is None else at).columns
-    packed = L.lag_structs(
-        with_current_statistics(target), SERIES_KEYS, "datetime", looked_up, offsets, at=at
-    )
+    carried = enriched.select(*dict.fromkeys([*SERIES_KEYS, "datetime", *own, *looked_up])) if at is None else enriched
+    packed = L.lag_structs(carried, SERIES_KEYS, "datetime", looked_up, offsets, at=at)
 
-    present = F.lit(True)
-    for d in offsets:
-        present = present & L.lagged(d, "target").isNotNull()
+    present = " AND ".join(f"{L.lagged(d, 'target')} IS NOT NULL" for d in offsets)
     # the statistics stay packed while the narrow target columns are worked on
-    whole = packed.select(*own, present.alias("__present"), *[f"__lag_{d}" for d in offsets])
-    blanked = whole.select(
-        *own, *[F.when(F.col("__present"), F.col(f"__lag_{d}")).alias(f"__lag_{d}") for d in offsets]
-    )
-    target_lags = blanked.select(
-        "*",
-        *[L.lagged(d, "target").alias(f"target_lag_{d}") for d in offsets],
-        *[F.log1p(L.lagged(d, "target")).alias(f"target_log1p_lag_{d}") for d in offsets],
+    packs = [f"__lag_{d}" for d in offsets]
+    whole = packed.selectExpr(*L.quoted(own), f"({present}) AS __present", *packs)
+    blanked = whole.selectExpr(*L.quoted(own), *[f"IF(__present, {p}, NULL) AS {p}" for p in packs])
+    target_lags = L.logged_lags(
+        blanked.selectExpr("*", *[f"{L.lagged(d, 'target')} AS target_lag_{d}" for d in offsets]), n_lags
     )
     derived = L.lag_ratios(L.lag_list_stats(L.lag_diffs(target_lags, n_lags), n_lags))
-    packs = {f"__lag_{d}" for d in offsets}
-    return derived.select(
-        *[c for c in derived.columns if c not in packs],
-        *[L.lagged(d, c).alias(f"{c}_lag_{d}") for d in offsets for c in looked_up if c != "target"],
+    return derived.selectExpr(
+        *L.quoted([c for c in derived.columns if c not in packs]),
+        *[
+            f"{L.lagged(d, c)} AS `{c}_lag_{d}`"
+            for d in offsets
+            for c in looked_up
+            if c != "target"
+        ],
     )
 
 
@@ -179,7 +190,7 @@ def ratio_features(
     df: DataFrame, n_lags: int, hours: tuple[int, int] = LEAD_HOURS
 ) -> DataFrame:
     lead = range(hours[0], hours[1] + 1)
-    return df.select(
+    return df.selectExpr(
         "*",
         *ratios.production_proxy(
             lead, "surface_solar_radiation_downwards_hours_ahead_{h}", "temperature_hours_ahead_{h}"
@@ -188,24 +199,28 @@ def ratio_features(
     )
 
 
-def assemble(
-    rows: DataFrame,
-    client: DataFrame,
-    electricity: DataFrame,
-    gas: DataFrame,
-    forecast: DataFrame,
-    history: DataFrame,
-    spread_hot_keys: bool = True,
+def with_side_tables(
+    rows: DataFrame, client: DataFrame, electricity: DataFrame, gas: DataFrame, history: DataFrame
 ) -> DataFrame:
-    """Join the side tables to rows that already carry their lag features.
+    """The narrow side tables joined to rows that have ``datetime`` and ``date``.
 
-    The weather tables join on date and county, the coarsest key here; when one
-    such key holds a large share of the rows its rows are spread over tasks.
+    Meant for rows before their lags are spread out, while moving one is cheap.
     """
-    # one row per date and county on both sides: joined first, the wide rows move once
-    weather = forecast.join(history, ["date", "county"], "full")
-    hot = hot_keys(rows, ["date", "county"]) if spread_hot_keys else None
     out = left_join_unique(rows, client, ["county", "is_business", "product_type", "date"])
     out = left_join_unique(out, electricity, ["datetime"])
     out = left_join_unique(out, gas, ["date"])
-    return left_join_unique(out, weather, ["date", "county"], hot=hot)
+    return with_weather(out, history)
+
+
+def with_weather(rows: DataFrame, weather: DataFrame) -> DataFrame:
+    """A table of one row per date and county joined to ``rows``.
+
+    Date and county together are the coarsest join key. A weather table counted
+    to be small is broadcast and the rows stay where they are. Otherwise both
+    sides are shuffled, and the rows of a date and county with a large share
+    are spread over tasks.
+    """
+    on = ["date", "county"]
+    if fits_broadcast(weather):
+        return left_join_unique(rows, F.broadcast(weather), on)
+    return left_join_unique(rows, weather, on, hot=hot_keys(rows.select(*on), on))
