@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.operators.align import left_join_unique
+from panelspark.operators.align import hot_keys, left_join_unique
 
 _STATS = {"avg": "avg", "sum": "sum", "min": "min", "max": "max", "std": "stddev_samp"}
 
@@ -60,7 +60,7 @@ def window_mean(df: DataFrame, keys: list[str], means: dict[str, Column]) -> Dat
     are reduced before the shuffle and only their means travel back.
     """
     means_by_key = df.groupBy(*keys).agg(*[c.alias(name) for name, c in means.items()])
-    return left_join_unique(df, means_by_key, keys, null_safe=True)
+    return left_join_unique(df, means_by_key, keys, null_safe=True, hot=hot_keys(df, keys))
 
 
 def row_index(df: DataFrame, keys: list[str], order: list[Column], out: str) -> DataFrame:
@@ -71,7 +71,7 @@ def row_index(df: DataFrame, keys: list[str], order: list[Column], out: str) ->
 
 
 def running_total(
-    df: DataFrame, order: str, value: str, out: str, rows_per_bucket: int = 500_000
+    df: DataFrame, order: str, value: str, out: str, rows_per_bucket: int = 500_000, rows: int | None = None
 ) -> DataFrame:
     """Cumulative sum of ``value`` in the order of ``order`` (numeric, distinct).
 
@@ -79,7 +79,7 @@ def running_total(
     at approximate quantiles; each range sums on its own and starts from the
     total of the ranges before it, so no task orders the whole column.
     """
-    rows = df.count()
+    rows = df.count() if rows is None else rows
     if rows <= rows_per_bucket:
         window = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumn(out, F.sum(value).over(window))
@@ -108,8 +108,12 @@ def average_rank(df: DataFrame, col: str, out: str, rows_per_bucket: int = 500_0
 
     Values are counted first, so ties never meet in one task as rows.
     """
-    counted = df.groupBy(col).agg(F.count("*").alias("__n"))
-    ranked = running_total(
-        counted.filter(F.col(col).isNotNull()), col, "__n", "__upto", rows_per_bucket
-    ).select(col, (F.col("__upto") - (F.col("__n") - 1) / 2).alias(out))
-    return left_join_unique(df, ranked, [col])
+    counted = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count("*").alias("__n"))
+    values = counted.count()
+    ranked = running_total(counted, col, "__n", "__upto", rows_per_bucket, values).select(
+        col, (F.col("__upto") - (F.col("__n") - 1) / 2).alias(out)
+    )
+    if values <= rows_per_bucket:
+        # two numbers per value and no more values than just counted
+        return left_join_unique(df, F.broadcast(ranked), [col])
+    return left_join_unique(df, ranked, [col], hot=hot_keys(df, [col]))

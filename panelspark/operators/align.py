@@ -86,15 +86,19 @@ def station_to_county(df: DataFrame, stations: DataFrame) -> DataFrame:
     return keyed.join(mapped, ["__lat", "__lon"]).drop("__lat", "__lon")
 
 
-def hot_keys(df: DataFrame, on: list[str], share: float = 0.002) -> list:
+def hot_keys(df: DataFrame, on: list[str], share: float = 0.002, rows_per_task: int = 1_000_000) -> list:
     """Keys that hold more than ``share`` of all rows; at most ``1 / share`` of them.
 
+    A key of up to ``rows_per_task`` rows is no burden to a task and never hot.
     Counts are partial before the shuffle, and only keys over the share, of
     which arithmetic allows 1 / share, come to the driver.
     """
-    counts = df.groupBy(*on).count()
     total = df.count()
-    return counts.filter(F.col("count") > F.lit(max(1_000_000, int(total * share)))).drop("count").collect()
+    if total <= rows_per_task:
+        return []
+    counts = df.groupBy(*on).count()
+    limit = max(rows_per_task, int(total * share))
+    return counts.filter(F.col("count") > limit).drop("count").collect()
 
 
 def fits_broadcast(df: DataFrame, max_bytes: int = 128 << 20) -> bool:
@@ -128,16 +132,21 @@ def left_join_unique(
         flagged = left.sparkSession.createDataFrame(
             hot, left.select(*on).schema
         ).withColumn("__hot", F.lit(True))
-        spread = F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")
         # flagged holds at most 1 / share rows
-        left = left.join(F.broadcast(flagged), on, "left").select(
+        flagged = F.broadcast(flagged)
+        spread = F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")
+        left = _left_join(left, flagged, on, null_safe).select(
             *left.columns, F.when(F.col("__hot"), spread).otherwise(F.lit(0)).alias(_SALT)
         )
         copies = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-        right = right.join(F.broadcast(flagged), on, "left").select(
+        right = _left_join(right, flagged, on, null_safe).select(
             *right.columns, F.explode(copies).alias(_SALT)
         )
-        return left_join_unique(left, right, [*on, _SALT], null_safe).drop(_SALT)
+        return _left_join(left, right, [*on, _SALT], null_safe).drop(_SALT)
+    return _left_join(left, right, on, null_safe)
+
+
+def _left_join(left: DataFrame, right: DataFrame, on: list[str], null_safe: bool) -> DataFrame:
     if not null_safe:
         return left.join(right, on, "left")
     names = {k: f"__r_{k}" for k in on}

@@ -104,13 +104,23 @@ def compact_types(df: DataFrame, keep: tuple[str, ...] = ("target",)) -> DataFra
     ])
 
 
-def write_features(df: DataFrame, path: str, mode: str = "errorifexists", by_month: bool = True) -> None:
-    """The feature table as Parquet, one folder per month of ``date``."""
+def write_features(
+    df: DataFrame, path: str, mode: str = "errorifexists", by_month: bool = True, rebalance: bool = False
+) -> None:
+    """The feature table as Parquet, one folder per month of ``date``.
+
+    Tasks of the lag step hold a few months each and so write few files.
+    ``rebalance`` shuffles once more to even out the files; large months are
+    split over several tasks.
+    """
     if not by_month:
         df.write.mode(mode).parquet(path)
         return
     month = F.date_format("date", "yyyy-MM")
-    df.withColumn("date_month", month).write.mode(mode).partitionBy("date_month").parquet(path)
+    df = df.withColumn("date_month", month)
+    if rebalance:
+        df = df.hint("rebalance", "date_month")
+    df.write.mode(mode).partitionBy("date_month").parquet(path)
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:

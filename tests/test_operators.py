@@ -254,3 +254,38 @@ def test_dedupe(spark):
     df = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "c")], "k int, o int, v string")
     assert upsert.dedupe(df, ["k"]).count() == 2
     assert rows(upsert.dedupe(df, ["k"], ["o"])) == [(1, 2, "b"), (2, 1, "c")]
+
+
+def test_a_hot_null_key_is_spread_too(spark):
+    left = spark.range(3000).select(F.when(F.col("id") % 2 == 0, F.col("id") % 50).alias("k"), "id")
+    right = left.groupBy("k").agg(F.count("*").alias("n"))
+    hot = right.filter("n > 1000").select("k").collect()
+    assert hot == [(None,)]
+    plain = align.left_join_unique(left, right, ["k"], null_safe=True)
+    spread = align.left_join_unique(left, right, ["k"], null_safe=True, hot=hot, salts=4)
+    assert rows(spread.select("k", "id", "n")) == rows(plain.select("k", "id", "n"))
+    assert spread.filter("n is null").isEmpty()
+
+
+def test_hot_keys_need_many_rows(spark):
+    df = spark.range(1000).select(F.when(F.col("id") < 400, 0).otherwise(F.col("id")).alias("k"))
+    assert align.hot_keys(df, ["k"]) == []
+    assert [r["k"] for r in align.hot_keys(df, ["k"], rows_per_task=100)] == [0]
+
+
+def test_newest_rows_of_a_period_are_filtered_in_the_scan(spark):
+    from panelspark.session import scratch_dir
+    path = scratch_dir(spark, "t")
+    spark.createDataFrame([(1, datetime(2024, 1, 1), 0, 1.0)], "k int, t timestamp_ntz, b int, v double").write.parquet(path)
+    current = upsert.newest_by_key(spark.read.parquet(path), ["k", "t"], ["b"])
+    cut = align.lookback(current, "t", (datetime(2024, 1, 1), datetime(2024, 1, 2)))
+    assert "GreaterThanOrEqual(t" in cut._jdf.queryExecution().executedPlan().toString()
+    assert cut.count() == 1
+
+
+def test_lags_of_all_columns_take_one_shuffle(spark):
+    from panelspark.operators import lags as L
+    df = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("user_id", "ts", "value", "event_id")
+    plan = L.exact_lag(df, ["user_id"], "ts", ["value", "event_id"], list(range(2, 15)))
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning") == 1 and text.count("Window [") == 1
