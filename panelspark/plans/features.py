@@ -161,6 +161,16 @@ def lag_features(
     on the series' own earlier row, so a single shuffle by series and time
     block serves all of them.
     """
+    return unpack_lags(packed_lag_features(enriched, own, n_lags, at), n_lags)
+
+
+def packed_lag_features(
+    enriched: DataFrame, own: list[str], n_lags: int = 14, at: DataFrame | None = None
+) -> DataFrame:
+    """``lag_features`` with the looked-up statistics of each day still in one column.
+
+    Steps that follow copy 13 packs instead of 325 columns; see ``unpack_lags``.
+    """
     offsets = list(range(2, n_lags + 1))
     looked_up = ["target", *DAY_STATS, *MARGINAL_STATS]
     carried = enriched.select(*dict.fromkeys([*SERIES_KEYS, "datetime", *own, *looked_up])) if at is None else enriched
@@ -174,29 +184,34 @@ def lag_features(
     target_lags = L.logged_lags(
         blanked.selectExpr("*", *[f"{L.lagged(d, 'target')} AS target_lag_{d}" for d in offsets]), n_lags
     )
-    derived = L.lag_ratios(L.lag_list_stats(L.lag_diffs(target_lags, n_lags), n_lags))
-    return derived.selectExpr(
-        *L.quoted([c for c in derived.columns if c not in packs]),
-        *[
-            f"{L.lagged(d, c)} AS `{c}_lag_{d}`"
-            for d in offsets
-            for c in looked_up
-            if c != "target"
-        ],
-    )
+    return L.lag_ratios(L.lag_list_stats(L.lag_diffs(target_lags, n_lags), n_lags))
 
 
-def ratio_features(
-    df: DataFrame, n_lags: int, hours: tuple[int, int] = LEAD_HOURS
-) -> DataFrame:
-    lead = range(hours[0], hours[1] + 1)
+def unpack_lags(df: DataFrame, n_lags: int, also: list[str] = []) -> DataFrame:
+    """Packed statistics as columns of their own, with further expressions ``also``,
+    in one projection of the wide row."""
+    offsets = range(2, n_lags + 1)
+    packs = [f"__lag_{d}" for d in offsets]
     return df.selectExpr(
-        "*",
+        *L.quoted([c for c in df.columns if c not in packs]),
+        *[f"{L.lagged(d, c)} AS `{c}_lag_{d}`" for d in offsets for c in DAY_STATS + MARGINAL_STATS],
+        *also,
+    )
+
+
+def ratio_expressions(n_lags: int, hours: tuple[int, int] = LEAD_HOURS) -> list[str]:
+    return [
         *ratios.production_proxy(
-            lead, "surface_solar_radiation_downwards_hours_ahead_{h}", "temperature_hours_ahead_{h}"
+            range(hours[0], hours[1] + 1),
+            "surface_solar_radiation_downwards_hours_ahead_{h}",
+            "temperature_hours_ahead_{h}",
         ),
         *ratios.per_capacity(n_lags),
-    )
+    ]
+
+
+def ratio_features(df: DataFrame, n_lags: int, hours: tuple[int, int] = LEAD_HOURS) -> DataFrame:
+    return df.selectExpr("*", *ratio_expressions(n_lags, hours))
 
 
 def with_side_tables(
