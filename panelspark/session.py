@@ -1,5 +1,7 @@
 """Session defaults and the shared scratch folder."""
 
+import os
+import re
 import tempfile
 import uuid
 
@@ -18,6 +20,8 @@ DEFAULTS = {
     "spark.sql.codegen.maxFields": "400",
 }
 
+SCRATCH_SETTING = "spark.checkpoint.dir"
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the defaults that can be set on a running session."""
@@ -26,15 +30,23 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new folder path below the one the cluster shares (``spark.checkpoint.dir``).
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only a session without that setting, as in tests, gets a local folder.
+    Only where the driver is the one executor (a local master) may it be unset;
+    anywhere else a folder of one machine would lose rows, so that is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="run-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    base = spark.conf.get(SCRATCH_SETTING, None) or spark.sparkContext.getConf().get(SCRATCH_SETTING)
+    if base:
+        return base.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError(f"set {SCRATCH_SETTING} to a folder that the driver and all executors share")
+    return os.path.join(tempfile.gettempdir(), "panelspark", spark.sparkContext.applicationId)
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new folder path below the shared one."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def land(df, spark: SparkSession, name: str):
@@ -43,3 +55,10 @@ def land(df, spark: SparkSession, name: str):
     path = scratch_dir(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a scratch folder, in whatever file system holds it."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
