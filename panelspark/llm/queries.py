@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from panelspark.llm import bpe, minhash, pii, toxicity
+from panelspark.llm import bpe, minhash, mixing, pii, toxicity
 
 
 def _table(spark, sf_dir, name):
@@ -44,6 +44,14 @@ def op3_bpe(spark, sf_dir, path=public_tokenizers.path("word_bpe_49k.json")):
     )
 
 
+def op8_mixing(spark, sf_dir):
+    mixed = mixing.sampled(spark, _table(spark, sf_dir, "documents"))
+    return mixed.select(
+        "doc_id", "source", "lang", "mixing.topic", F.col("mixing.tokens").alias("n_tokens"),
+        F.round("mixing.probability", 9).alias("probability"), "mixing.kept",
+    )
+
+
 def op10_minmax(spark, sf_dir):
     return minhash.classes(spark, _table(spark, sf_dir, "documents"))
 
@@ -52,7 +60,10 @@ QUERIES = {
     "op1_pii": op1_pii,
     "op2_toxicity": op2_toxicity,
     "op3_bpe": op3_bpe,
+    "op8_mixing": op8_mixing,
     "op10_minmax": op10_minmax,
 }
 
-ORACLES = {}
+ORACLES = {
+    "op8_mixing": mixing.oracle(),
+}
