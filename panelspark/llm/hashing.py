@@ -104,7 +104,7 @@ def window_hashes(words: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
     n = len(words) - width + 1
     if n <= 0:
         return np.empty(0, dtype=np.uint64)
-    factor = np.uint64((0xC2B2AE3D27D4EB4F + 0x165667B19E3779F9 * 2 * seed) | 1)
+    factor = np.uint64((0xC2B2AE3D27D4EB4F + 0x165667B19E3779F9 * 2 * seed) % (1 << 64) | 1)
     out = np.full(n, np.uint64(width + seed * 0x1F123BB5), dtype=np.uint64)
     for k in range(width):
         out *= factor

@@ -212,3 +212,15 @@ def deduplicated(spark: SparkSession, documents: DataFrame, similar: int = SIMIL
     """The rows of documents of which their component keeps the id, with all their columns."""
     dropped = classes(spark, documents, similar).where("NOT kept").select("doc_id").distinct()
     return documents.join(dropped, "doc_id", "left_anti").select(documents.columns)
+
+
+def oracle(similar: int = SIMILAR) -> str:
+    return rf"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(ws[i : i + {WIDTH - 1}], ' ') AS shingle FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - {WIDTH - 2}, 2))) AS i FROM w WHERE len(ws) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s AS a JOIN s AS b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS MATERIALIZED (SELECT a, b FROM o JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * common >= {similar} * (x.n + y.n - common)),
+r AS (SELECT a AS node, a AS reached FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.reached),
+c AS (SELECT node, min(reached) AS component FROM r GROUP BY node)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.component, w.doc_id) AS component_id, coalesce(c.component, w.doc_id) = w.doc_id AS kept
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.node = w.doc_id"""

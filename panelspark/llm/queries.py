@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from panelspark.llm import bpe, minhash, mixing, pii, toxicity
+from panelspark.llm import bpe, embedding_dedup, minhash, mixing, pii, substrings, toxicity, vafile
 
 
 def _table(spark, sf_dir, name):
@@ -44,6 +44,15 @@ def op3_bpe(spark, sf_dir, path=public_tokenizers.path("word_bpe_49k.json")):
     )
 
 
+def op4_substrings(spark, sf_dir):
+    clean = substrings.remove_repeats(spark, _table(spark, sf_dir, "documents"))
+    return clean.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op6_embeddings(spark, sf_dir):
+    return embedding_dedup.groups(spark, _table(spark, sf_dir, "embeddings"))
+
+
 def op8_mixing(spark, sf_dir):
     mixed = mixing.sampled(spark, _table(spark, sf_dir, "documents"))
     return mixed.select(
@@ -52,6 +61,10 @@ def op8_mixing(spark, sf_dir):
     )
 
 
+def op9_topk(spark, sf_dir):
+    return vafile.nearest(spark, _table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 def op10_minmax(spark, sf_dir):
     return minhash.classes(spark, _table(spark, sf_dir, "documents"))
 
@@ -60,10 +73,17 @@ QUERIES = {
     "op1_pii": op1_pii,
     "op2_toxicity": op2_toxicity,
     "op3_bpe": op3_bpe,
+    "op4_substrings": op4_substrings,
+    "op6_embeddings": op6_embeddings,
     "op8_mixing": op8_mixing,
+    "op9_topk": op9_topk,
     "op10_minmax": op10_minmax,
 }
 
 ORACLES = {
+    "op4_substrings": substrings.oracle(),
+    "op6_embeddings": embedding_dedup.oracle(),
+    "op9_topk": vafile.oracle(),
+    "op10_minmax": minhash.oracle(),
     "op8_mixing": mixing.oracle(),
 }
