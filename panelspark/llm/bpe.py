@@ -31,6 +31,8 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from panelspark.llm.memo import Memo
+
 # Fixed values of the vocabulary's file format: bytes that stand for themselves in byte-level symbols,
 # and the pieces that the file's splitting pattern names, white space spelt out.
 PLAIN_BYTES = (*range(33, 127), *range(161, 173), *range(174, 256))
@@ -38,7 +40,7 @@ WHITE_SPACE = r"\t-\r \x85\xa0  -     　"
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^" + WHITE_SPACE + r"\p{L}\p{N}]+"
 
 END = "\x00"  # closes a word inside the automaton; no byte symbol looks like it
-CACHE_SIZE, CACHE_CHARS = 400_000, 64
+MEMO_SIZE = 250_000
 INFINITE = 1 << 60
 
 
@@ -81,7 +83,7 @@ class Vocabulary:
             self.automaton.add_word(key, (i, len(key)))
         self.automaton.make_automaton()
         self.symbol = {b: s for b, s in enumerate(byte_symbols())}
-        self.pieces, self.chunks = {}, {}
+        self.pieces, self.chunks = Memo(MEMO_SIZE), Memo(MEMO_SIZE)
         self.find_special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
 
     def _spine(self, token: int, side: int) -> list[tuple[int, int]]:
@@ -135,25 +137,28 @@ class Vocabulary:
 
     def encode_piece(self, piece: str) -> bytes:
         """The ids of one piece as little-endian 32-bit numbers; short pieces are remembered."""
-        ids = self.pieces.get(piece)
+        ids = self.pieces.young.get(piece) or self.pieces.recall(piece)
         if ids is None:
             found = self.encode_symbols(piece.encode("utf-8").decode("latin-1").translate(self.symbol) + END)
             ids = struct.pack(f"<{len(found)}I", *found)
-            _remember(self.pieces, piece, ids)
+            self.pieces.keep(piece, ids)
         return ids
 
     def encode_chunk(self, chunk: str) -> bytes:
         """The ids of text without special tokens; short chunks are remembered."""
+        ids = self.chunks.recall(chunk)
+        if ids is not None:
+            return ids
         # each letter is lowered by itself: a sigma that ends a word gets no other form
         plain = unicodedata.normalize("NFC", chunk).replace("\u03a3", "\u03c3").lower()
         ids = b"".join(map(self.encode_piece, _pieces(plain)))
-        _remember(self.chunks, chunk, ids)
+        self.chunks.keep(chunk, ids)
         return ids
 
     def _plain(self, text: str) -> bytes:
         if _has_separators(text):  # these count as symbols, but split() would take them for blanks
             return self.encode_chunk(text)
-        known, slow = self.chunks, self.encode_chunk
+        known, slow = self.chunks.young, self.encode_chunk
         # no piece and no composed letter reaches over white space
         return b"".join([known.get(w) or slow(w) for w in text.split()])
 
@@ -177,12 +182,6 @@ _pieces = regex.compile(PIECES).findall
 _has_separators = re.compile("[\x1c-\x1f]").search
 
 
-def _remember(cache: dict, key: str, value: bytes) -> None:
-    if len(key) <= CACHE_CHARS:
-        if len(cache) >= CACHE_SIZE:
-            cache.clear()
-        cache[key] = value
-
 
 @functools.lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:

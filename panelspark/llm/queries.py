@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from panelspark.llm import bpe, embedding_dedup, minhash, mixing, pii, substrings, toxicity, vafile
+from panelspark.llm import bpe, embedding_dedup, minhash, mixing, pii, substrings, toxicity, vafile, wavelet
 
 
 def _table(spark, sf_dir, name):
@@ -49,6 +49,11 @@ def op4_substrings(spark, sf_dir):
     return clean.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op5_tokens(spark, sf_dir, path=public_tokenizers.path("byte_bpe_50k.json")):
+    tokens = wavelet.write_and_read(spark, _table(spark, sf_dir, "documents"), path)
+    return tokens.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op6_embeddings(spark, sf_dir):
     return embedding_dedup.groups(spark, _table(spark, sf_dir, "embeddings"))
 
@@ -74,6 +79,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_bpe": op3_bpe,
     "op4_substrings": op4_substrings,
+    "op5_tokens": op5_tokens,
     "op6_embeddings": op6_embeddings,
     "op8_mixing": op8_mixing,
     "op9_topk": op9_topk,
