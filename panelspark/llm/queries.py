@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from panelspark.llm import bpe, embedding_dedup, minhash, mixing, pii, substrings, toxicity, vafile, wavelet
+from panelspark.llm import bpe, embedding_dedup, minhash, mixing, pii, quality, substrings, toxicity, vafile, wavelet
 
 
 def _table(spark, sf_dir, name):
@@ -58,6 +58,14 @@ def op6_embeddings(spark, sf_dir):
     return embedding_dedup.groups(spark, _table(spark, sf_dir, "embeddings"))
 
 
+def op7_quality(spark, sf_dir):
+    documents = _table(spark, sf_dir, "documents")
+    sample = toxicity.labelled_sample(documents, _table(spark, sf_dir, "labels"), "quality", _remainder(5) != 0, quality.SAMPLE_PER_CLASS)
+    model = quality.fit(spark, sample)
+    scored = documents.select("doc_id", F.coalesce(_remainder(5) == 0, F.lit(False)).alias("held_out"), model.score(F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op8_mixing(spark, sf_dir):
     mixed = mixing.sampled(spark, _table(spark, sf_dir, "documents"))
     return mixed.select(
@@ -81,6 +89,7 @@ QUERIES = {
     "op4_substrings": op4_substrings,
     "op5_tokens": op5_tokens,
     "op6_embeddings": op6_embeddings,
+    "op7_quality": op7_quality,
     "op8_mixing": op8_mixing,
     "op9_topk": op9_topk,
     "op10_minmax": op10_minmax,
