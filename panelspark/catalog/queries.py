@@ -17,7 +17,7 @@ from panelspark.ml import train as M
 from panelspark.ml.features import vector_names
 from panelspark.operators import aggregates as A
 from panelspark.operators import align, folds, lags, ratios, upsert
-from panelspark.operators.lags import clock_seconds
+from panelspark.operators.lags import clock_micros
 from panelspark.plans import build
 from panelspark.plans import features as P
 from panelspark.session import land, scratch_dir
@@ -59,17 +59,22 @@ def rounded(df: DataFrame, digits: int, *parts: str) -> DataFrame:
 
 @query
 def conform_types(spark, d):
+    """Half of the rows come as text, as from a CSV file."""
     narrow = table_schema(
         l_orderkey="long", l_linenumber="short", l_quantity="short",
         l_extendedprice="int", l_shipdate="date",
     )
-    return io.conform(V.read(spark, d, "lineitem"), narrow)
+    lines = V.read(spark, d, "lineitem").select(*narrow.fieldNames())
+    whole = [F.floor(c).alias(c) if c in ("l_quantity", "l_extendedprice") else F.col(c) for c in lines.columns]
+    typed, text = lines.filter("l_orderkey % 2 = 0"), lines.filter("l_orderkey % 2 = 1").select(*whole)
+    text = text.select(*[F.col(c).cast("string").alias(c) for c in text.columns])
+    return io.conform(typed, narrow).union(io.conform(text, narrow))
 
 
 @query
 def parse_epoch_or_iso(spark, d):
     events = V.read(spark, d, "events")
-    micros = clock_seconds(F.col("ts")) * 1_000_000 + F.date_format("ts", "SSSSSS").cast("long")
+    micros = clock_micros(F.col("ts"))
     text = F.when(
         F.col("event_id") % 2 == 0, F.concat(micros.cast("string"), F.lit("000"))
     ).otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
@@ -587,15 +592,15 @@ def gbt_importance(spark, d):
 # ---------------------------------------------------------------- streaming
 
 def _arrivals(df, spark, name, by):
-    """Rows written as files, grouped by ``by``, for a stream to pick up."""
+    """Rows written as files, in ranges of ``by``, for a stream to pick up."""
     path = scratch_dir(spark, name)
-    df.repartition(by).write.parquet(path)
+    df.repartitionByRange(by).write.parquet(path)
     return path
 
 
 def _event_batches(spark, d):
     events = V.read(spark, d, "events").select("event_id", "ts", "user_id", "event_type", "value")
-    path = _arrivals(events, spark, "arrivals", F.to_date("ts"))
+    path = _arrivals(events, spark, "arrivals", F.col("ts"))
     stream = replay.read_stream(spark, path, events.schema, files_per_batch=2)
     table = scratch_dir(spark, "events")
     replay.run(stream, replay.upsert_sink(table), scratch_dir(spark, "progress"))
@@ -626,7 +631,7 @@ def stream_score(spark, d):
     tables = V.all_tables(spark, d)
     schema = tables["target"].schema
     history = replay.read_stream(
-        spark, _arrivals(tables["target"], spark, "target_in", F.to_date("datetime")), schema, files_per_batch=4
+        spark, _arrivals(tables["target"], spark, "target_in", F.col("datetime")), schema, files_per_batch=4
     )
     stored = scratch_dir(spark, "target")
     replay.run(history, replay.upsert_sink(stored), scratch_dir(spark, "progress"))
@@ -637,7 +642,7 @@ def stream_score(spark, d):
         "row_id", (F.col("row_id") % 4 != 0).alias("currently_scored"),
     )
     stream = replay.read_stream(
-        spark, _arrivals(asked, spark, "asked", F.to_date("datetime")), asked.schema, files_per_batch=4
+        spark, _arrivals(asked, spark, "asked", F.col("datetime")), asked.schema, files_per_batch=4
     )
     out = scratch_dir(spark, "scores")
 

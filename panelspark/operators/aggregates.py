@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.operators.align import hot_keys, left_join_unique
+from panelspark.session import land
 
 _STATS = {"avg": "avg", "sum": "sum", "min": "min", "max": "max", "std": "stddev_samp"}
 
@@ -70,50 +71,36 @@ def row_index(df: DataFrame, keys: list[str], order: list[Column], out: str) ->
     return df.withColumn(out, F.row_number().over(window) - 1)
 
 
-def running_total(
-    df: DataFrame, order: str, value: str, out: str, rows_per_bucket: int = 500_000, rows: int | None = None
-) -> DataFrame:
-    """Cumulative sum of ``value`` in the order of ``order`` (numeric, distinct).
+def running_total(df: DataFrame, order: str, value: str, out: str) -> DataFrame:
+    """Cumulative sum of ``value`` in the order of ``order``, whose values are distinct.
 
-    Small inputs use one ordered window. Larger ones are cut into value ranges
-    at approximate quantiles; each range sums on its own and starts from the
-    total of the ranges before it, so no task orders the whole column.
+    Rows are cut into ranges of the order, one a task. Each range sums on its own
+    and starts from the total of the ranges before it.
     """
-    rows = df.count() if rows is None else rows
-    if rows <= rows_per_bucket:
-        window = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumn(out, F.sum(value).over(window))
-    pieces = -(-rows // rows_per_bucket)
-    cuts = sorted(set(df.approxQuantile(order, [i / pieces for i in range(1, pieces)], 1 / (4 * pieces))))
-    bucket = F.lit(0)
-    for cut in cuts:
-        bucket = bucket + F.when(F.col(order) > F.lit(cut), 1).otherwise(0)
-    cut_up = df.withColumn("__bucket", bucket)
-    totals = cut_up.groupBy("__bucket").agg(F.sum(value).alias("__total"))
+    ranged = df.repartitionByRange(order).withColumn("__bucket", F.spark_partition_id())
+    # written out, so that every use sees the same ranges
+    ranged = land(ranged, df.sparkSession, "ranges")
+    totals = ranged.groupBy("__bucket").agg(F.sum(value).alias("__total"))
     before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(
         "__bucket", F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__start")
     )
     inside = Window.partitionBy("__bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    # starts has one row per bucket, at most len(cuts) + 1 rows
+    # starts has one row per shuffle partition
     return (
-        cut_up.join(F.broadcast(starts), "__bucket")
+        ranged.join(F.broadcast(starts), "__bucket")
         .withColumn(out, F.col("__start") + F.sum(value).over(inside))
         .drop("__bucket", "__start")
     )
 
 
-def average_rank(df: DataFrame, col: str, out: str, rows_per_bucket: int = 500_000) -> DataFrame:
+def average_rank(df: DataFrame, col: str, out: str) -> DataFrame:
     """Ascending rank from 1; equal values share the mean of their ranks.
 
     Values are counted first, so ties never meet in one task as rows.
     """
     counted = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count("*").alias("__n"))
-    values = counted.count()
-    ranked = running_total(counted, col, "__n", "__upto", rows_per_bucket, values).select(
+    ranked = running_total(counted, col, "__n", "__upto").select(
         col, (F.col("__upto") - (F.col("__n") - 1) / 2).alias(out)
     )
-    if values <= rows_per_bucket:
-        # two numbers per value and no more values than just counted
-        return left_join_unique(df, F.broadcast(ranked), [col])
     return left_join_unique(df, ranked, [col], hot=hot_keys(df, [col]))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _SALT = "__salt"
+_SALTS = "__salts"
 
 
 def publish_shift(df: DataFrame, col: str, days: int, out: str, to_date: bool = False) -> DataFrame:
@@ -86,19 +87,16 @@ def station_to_county(df: DataFrame, stations: DataFrame) -> DataFrame:
     return keyed.join(mapped, ["__lat", "__lon"]).drop("__lat", "__lon")
 
 
-def hot_keys(df: DataFrame, on: list[str], share: float = 0.002, rows_per_task: int = 1_000_000) -> list:
-    """Keys that hold more than ``share`` of all rows; at most ``1 / share`` of them.
+def hot_keys(df: DataFrame, on: list[str], rows_per_task: int = 1_000_000, total: int | None = None) -> DataFrame | None:
+    """Keys that hold more than ``rows_per_task`` rows, and over how many tasks to spread each.
 
-    A key of up to ``rows_per_task`` rows is no burden to a task and never hot.
-    Counts are partial before the shuffle, and only keys over the share, of
-    which arithmetic allows 1 / share, come to the driver.
+    There is at most one such key for every ``rows_per_task`` rows of ``df``.
+    ``total`` is its number of rows, if known; none can be hot if it is no larger.
     """
-    total = df.count()
-    if total <= rows_per_task:
-        return []
-    counts = df.groupBy(*on).count()
-    limit = max(rows_per_task, int(total * share))
-    return counts.filter(F.col("count") > limit).drop("count").collect()
+    if (df.count() if total is None else total) <= rows_per_task:
+        return None
+    counts = df.groupBy(*on).agg(F.count("*").alias("__count")).filter(F.col("__count") > rows_per_task)
+    return counts.select(*on, F.ceil(F.col("__count") / rows_per_task).cast("int").alias(_SALTS))
 
 
 def fits_broadcast(df: DataFrame, max_bytes: int = 128 << 20) -> bool:
@@ -120,27 +118,21 @@ def left_join_unique(
     right: DataFrame,
     on: list[str],
     null_safe: bool = False,
-    hot: list | None = None,
-    salts: int = 32,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Left join to a side with at most one row per key, keeping the row count.
 
-    ``hot`` (from ``hot_keys``) lists keys too frequent for one task: their
-    left rows are spread over ``salts`` tasks and their right rows copied to each.
+    ``hot`` (from ``hot_keys``) lists keys too frequent for one task: their left
+    rows are spread over as many tasks as it says, their right row copied to each.
     """
-    if hot:
-        flagged = left.sparkSession.createDataFrame(
-            hot, left.select(*on).schema
-        ).withColumn("__hot", F.lit(True))
-        # flagged holds at most 1 / share rows
-        flagged = F.broadcast(flagged)
-        spread = F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")
-        left = _left_join(left, flagged, on, null_safe).select(
-            *left.columns, F.when(F.col("__hot"), spread).otherwise(F.lit(0)).alias(_SALT)
+    if hot is not None:
+        hot = F.broadcast(hot)  # a row for every rows_per_task rows at most
+        salts = F.coalesce(F.col(_SALTS), F.lit(1))
+        left = _left_join(left, hot, on, null_safe).select(
+            *left.columns, F.pmod(F.xxhash64(*left.columns), salts).cast("int").alias(_SALT)
         )
-        copies = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-        right = _left_join(right, flagged, on, null_safe).select(
-            *right.columns, F.explode(copies).alias(_SALT)
+        right = _left_join(right, hot, on, null_safe).select(
+            *right.columns, F.explode(F.sequence(F.lit(0), salts - 1)).alias(_SALT)
         )
         return _left_join(left, right, [*on, _SALT], null_safe).drop(_SALT)
     return _left_join(left, right, on, null_safe)

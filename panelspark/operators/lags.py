@@ -11,27 +11,28 @@ more than one block of one series however long that series is.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SECONDS = {"hour": 3_600, "day": 86_400}
+DAY_MICROS = 86_400_000_000
 _BLOCK = "__block"
 _TICK = "__tick"
 _ROW = "__answer"
 _VALUES = "__values"
 
 
-def clock_seconds(time: Column) -> Column:
-    """Seconds on the wall clock since 1970-01-01; no time zone is involved."""
+def clock_micros(time: Column) -> Column:
+    """Microseconds on the wall clock since 1970-01-01; no time zone is involved."""
     days = F.datediff(F.to_date(time), F.lit("1970-01-01").cast("date")).cast("long")
-    return days * 86_400 + F.hour(time) * 3_600 + F.minute(time) * 60 + F.second(time)
+    second = (F.date_part(F.lit("SECOND"), time) * 1_000_000).cast("long")
+    return days * DAY_MICROS + (F.hour(time) * 60 + F.minute(time)).cast("long") * 60_000_000 + second
 
 
 def _ticks(time: str, unit: str) -> Column:
     if unit == "day":
         return F.datediff(F.col(time), F.lit("1970-01-01").cast("date")).cast("long")
-    return clock_seconds(F.col(time))
+    return clock_micros(F.col(time))
 
 
 def _step(unit: str) -> int:
-    return 1 if unit == "day" else SECONDS["day"]
+    return 1 if unit == "day" else DAY_MICROS
 
 
 def exact_lag(

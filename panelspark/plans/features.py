@@ -127,21 +127,20 @@ def main_features(
     return rows.withColumn("holiday", is_holiday(F.col("date")))
 
 
-def with_current_statistics(target: DataFrame, largest_group: int = 1_000_000) -> DataFrame:
+def with_current_statistics(target: DataFrame) -> DataFrame:
     """The panel with its daily and leave-one-key-out statistics at each instant.
 
     A statistic over one key groups at most as many rows as the key has values,
-    because a series has one row per instant. Only for a key with more values
-    than ``largest_group`` are hot groups looked for and spread over tasks.
+    because a series has one row per instant; a group with more than a task
+    should hold is spread over several.
     """
     panel = target.withColumn("__day", F.to_date("datetime"))
     by_day = [*SERIES_KEYS, "__day"]
     panel = left_join_unique(panel, stats(panel, by_day, "target", "day_target"), by_day)
-    sizes = target.agg(*[F.approx_count_distinct(k).alias(k) for k in SERIES_KEYS]).first()
+    total = target.count()
     for key, over in marginals(target, SERIES_KEYS, "datetime", "target").items():
         on = [*[k for k in SERIES_KEYS if k != key], "datetime"]
-        hot = hot_keys(target, on) if sizes[key] > largest_group else None
-        panel = left_join_unique(panel, over, on, hot=hot)
+        panel = left_join_unique(panel, over, on, hot=hot_keys(target, on, total=total))
     return panel.drop("__day")
 
 
@@ -210,12 +209,9 @@ def ratio_expressions(n_lags: int, hours: tuple[int, int] = LEAD_HOURS) -> list[
     ]
 
 
-def ratio_features(df: DataFrame, n_lags: int, hours: tuple[int, int] = LEAD_HOURS) -> DataFrame:
-    return df.selectExpr("*", *ratio_expressions(n_lags, hours))
-
-
 def with_side_tables(
-    rows: DataFrame, client: DataFrame, electricity: DataFrame, gas: DataFrame, history: DataFrame
+    rows: DataFrame, client: DataFrame, electricity: DataFrame, gas: DataFrame, history: DataFrame,
+    panel: DataFrame | None = None,
 ) -> DataFrame:
     """The narrow side tables joined to rows that have ``datetime`` and ``date``.
 
@@ -224,18 +220,20 @@ def with_side_tables(
     out = left_join_unique(rows, client, ["county", "is_business", "product_type", "date"])
     out = left_join_unique(out, electricity, ["datetime"])
     out = left_join_unique(out, gas, ["date"])
-    return with_weather(out, history)
+    return with_weather(out, history, panel)
 
 
-def with_weather(rows: DataFrame, weather: DataFrame) -> DataFrame:
+def with_weather(rows: DataFrame, weather: DataFrame, panel: DataFrame | None = None) -> DataFrame:
     """A table of one row per date and county joined to ``rows``.
 
     Date and county together are the coarsest join key. A weather table counted
     to be small is broadcast and the rows stay where they are. Otherwise both
-    sides are shuffled, and the rows of a date and county with a large share
-    are spread over tasks.
+    sides are shuffled, and a date and county with more rows than a task should
+    hold is spread over several. ``panel`` are the rows as they were before any
+    join: it is cheaper to count dates and counties there.
     """
     on = ["date", "county"]
     if fits_broadcast(weather):
         return left_join_unique(rows, F.broadcast(weather), on)
-    return left_join_unique(rows, weather, on, hot=hot_keys(rows.select(*on), on))
+    counted = rows if panel is None else panel.withColumn("date", F.to_date("datetime"))
+    return left_join_unique(rows, weather, on, hot=hot_keys(counted.select(*on), on))

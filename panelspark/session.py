@@ -4,6 +4,7 @@ import os
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -21,6 +22,7 @@ DEFAULTS = {
 }
 
 SCRATCH_SETTING = "spark.checkpoint.dir"
+_scopes: list[list[str]] = []
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -53,10 +55,23 @@ def land(df, spark: SparkSession, name: str):
     """Write a table to the shared scratch folder and read it back: the lineage
     ends there, and a lost executor costs no recomputation."""
     path = scratch_dir(spark, name)
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Tables that are landed inside are removed at its end."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            discard(spark, path)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Remove a scratch folder, in whatever file system holds it."""
     jvm = spark.sparkContext._jvm

@@ -19,6 +19,8 @@ CSV_FILES = {
 }
 # --- end of fixed values ---
 
+GATE = "currently_scored"  # marks the rows of a live batch that are to be scored
+
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """A CSV file with header as text columns; ``conform`` gives them types.
@@ -70,8 +72,10 @@ def _cast(col: Column, have: T.DataType, want: T.DataType) -> Column:
         return F.to_date(parse_epoch_or_iso(col))
     if isinstance(want, (T.ShortType, T.IntegerType, T.LongType)) and isinstance(have, T.StringType):
         # whole numbers may be written as "3.0" and flags as "True"
-        number = F.when(F.lower(col) == "true", F.lit("1")).when(F.lower(col) == "false", F.lit("0"))
-        return F.coalesce(number, col).cast("double").cast(want)
+        flag = F.when(F.lower(col) == "true", F.lit("1")).when(F.lower(col) == "false", F.lit("0"))
+        number = F.coalesce(flag, col).cast("decimal(38,18)")
+        broken = F.raise_error(F.concat(F.lit("not a whole number: "), col)).cast(want)
+        return F.when(number.isNull() | (number == F.floor(number)), number.cast(want)).otherwise(broken)
     if isinstance(have, T.BooleanType) and isinstance(want, T.NumericType):
         return col.cast("int").cast(want)
     return col.cast(want)
@@ -86,12 +90,18 @@ def parse_epoch_or_iso(col: Column) -> Column:
     return F.when(col.rlike(r"^-?\d+$"), from_epoch).otherwise(col.cast("timestamp_ntz"))
 
 
-def conform_batch(df: DataFrame, name: str) -> DataFrame:
-    """A live batch brought to the stored table's names, order and types."""
+def conform_batch(df: DataFrame, name: str, keep_gate: bool = False) -> DataFrame:
+    """A live batch brought to the stored table's names, order and types.
+
+    With ``keep_gate`` the flag of the rows to score is kept, last, where a batch has it.
+    """
     for old, new in BATCH_RENAMES.items():
         if old in df.columns:
             df = df.withColumnRenamed(old, new)
-    return conform(df, SCHEMAS[name])
+    schema = SCHEMAS[name]
+    if keep_gate and GATE in df.columns and GATE not in schema.fieldNames():
+        schema = T.StructType([*schema.fields, T.StructField(GATE, T.BooleanType())])
+    return conform(df, schema)
 
 
 def compact_types(df: DataFrame, keep: tuple[str, ...] = ("target",)) -> DataFrame:

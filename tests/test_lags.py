@@ -118,3 +118,15 @@ def test_zero_denominator_gives_null(spark):
     out = L.lag_ratios(L.lag_list_stats(L.lag_diffs(L.logged_lags(df, 4), 4), 4)).first()
     assert out["target_lag_2_vs_mean_all"] is None
     assert out["target_lag_2_vs_sum_all"] == pytest.approx(0.5)
+
+
+def test_instants_match_to_the_microsecond(spark):
+    from datetime import datetime, timedelta
+    from panelspark.operators import lags as L
+    at = datetime(2024, 1, 5, 0, 0, 0, 250_000)
+    df = spark.createDataFrame(
+        [("a", at, 1.0), ("a", at + timedelta(days=2), 2.0), ("a", at + timedelta(days=2, microseconds=1), 3.0), ("a", at + timedelta(days=2, microseconds=650_000), 4.0)],
+        "k string, t timestamp_ntz, v double",
+    )
+    got = {r["v"]: r["v_lag_2"] for r in L.exact_lag(df, ["k"], "t", ["v"], [2]).collect()}
+    assert got == {1.0: None, 2.0: 1.0, 3.0: None, 4.0: None}

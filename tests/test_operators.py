@@ -51,10 +51,10 @@ def test_stations_match_in_either_float_width(spark):
 def test_hot_keys_are_spread_without_changing_the_result(spark):
     left = spark.range(5000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 100).alias("k"), "id")
     right = spark.range(50).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
-    hot = left.groupBy("k").count().filter("count > 500").select("k").collect()
-    assert len(hot) == 1
+    hot = align.hot_keys(left, ["k"], rows_per_task=500)
+    assert rows(hot) == [(0, 4)]
     plain = align.left_join_unique(left, right, ["k"])
-    spread = align.left_join_unique(left, right, ["k"], hot=hot, salts=8)
+    spread = align.left_join_unique(left, right, ["k"], hot=hot)
     assert spread.count() == 5000
     assert rows(spread.select("k", "id", "v")) == rows(plain.select("k", "id", "v"))
 
@@ -93,12 +93,19 @@ def test_group_means_return_to_every_row(spark):
     assert got == sorted([(1, 2.0, 3.5, 3), (1, 5.0, 3.5, 3), (None, 1.0, 2.0, 2), (None, 3.0, 2.0, 2)], key=repr)
 
 
-@pytest.mark.parametrize("bucket", [7, 10_000])
-def test_average_rank(spark, bucket):
+@pytest.mark.parametrize("partitions", [1, 8, 2000])
+@pytest.mark.parametrize("kind", ["double", "date", "string"])
+def test_average_rank(spark, partitions, kind):
     rng = random.Random(5)
     values = [rng.randrange(40) for _ in range(300)]
     df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "i int, v double")
-    got = {r["i"]: r["rank"] for r in A.average_rank(df, "v", "rank", rows_per_bucket=bucket).collect()}
+    of_kind = {"double": F.col("v"), "date": F.date_add(F.lit("2024-01-01").cast("date"), F.col("v").cast("int")), "string": F.format_string("%05.1f", "v")}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = {r["i"]: r["rank"] for r in A.average_rank(df.withColumn("v", of_kind[kind]), "v", "rank").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     count = Counter(values)
     for i, v in enumerate(values):
         below = sum(n for w, n in count.items() if w < v)
@@ -259,18 +266,26 @@ def test_dedupe(spark):
 def test_a_hot_null_key_is_spread_too(spark):
     left = spark.range(3000).select(F.when(F.col("id") % 2 == 0, F.col("id") % 50).alias("k"), "id")
     right = left.groupBy("k").agg(F.count("*").alias("n"))
-    hot = right.filter("n > 1000").select("k").collect()
-    assert hot == [(None,)]
+    hot = align.hot_keys(left, ["k"], rows_per_task=1000)
+    assert rows(hot) == [(None, 2)]
     plain = align.left_join_unique(left, right, ["k"], null_safe=True)
-    spread = align.left_join_unique(left, right, ["k"], null_safe=True, hot=hot, salts=4)
+    spread = align.left_join_unique(left, right, ["k"], null_safe=True, hot=hot)
     assert rows(spread.select("k", "id", "n")) == rows(plain.select("k", "id", "n"))
     assert spread.filter("n is null").isEmpty()
 
 
 def test_hot_keys_need_many_rows(spark):
     df = spark.range(1000).select(F.when(F.col("id") < 400, 0).otherwise(F.col("id")).alias("k"))
-    assert align.hot_keys(df, ["k"]) == []
-    assert [r["k"] for r in align.hot_keys(df, ["k"], rows_per_task=100)] == [0]
+    assert align.hot_keys(df, ["k"]) is None
+    assert rows(align.hot_keys(df, ["k"], rows_per_task=100)) == [(0, 4)]
+
+
+def test_a_key_of_many_tasks_is_cut_into_as_many(spark):
+    left = spark.range(6000).select(F.when(F.col("id") < 5000, 0).otherwise(F.col("id")).alias("k"), "id")
+    right = left.select("k").distinct().withColumn("v", F.col("k") + 1)
+    hot = align.hot_keys(left, ["k"], rows_per_task=100)
+    assert rows(hot) == [(0, 50)]
+    assert rows(align.left_join_unique(left, right, ["k"], hot=hot).select("k", "id", "v")) == rows(left.withColumn("v", F.col("k") + 1))
 
 
 def test_newest_rows_of_a_period_are_filtered_in_the_scan(spark):

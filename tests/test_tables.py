@@ -214,10 +214,42 @@ def test_a_leaking_fold_is_refused(spark):
         train.fit_folds(df, ["target"], {"maxIter": 1}, 3)
 
 
-def test_too_many_categories_become_a_number(spark):
-    df = spark.range(1000).select(F.col("id").cast("int").alias("county"))
+def test_categories_stay_categories_however_many(spark):
+    df = spark.range(5000).select(F.col("id").cast("int").alias("county"))
     enc = learn_encoding(df, ["county"])
-    assert enc.categories == [] and enc.fill == {"county": -1.0}
+    assert enc.categories == ["county"] and enc.fill == {} and enc.max_bins == 5002
+
+
+def test_text_integers_are_exact(spark):
+    from panelspark.sources.schema import table_schema
+    text = spark.createDataFrame([("9007199254740993",), ("3.0",), ("True",), (None,), ("-7",)], "i string")
+    assert rows(io.conform(text, table_schema(i="long"))) == sorted([(9007199254740993,), (3,), (1,), (None,), (-7,)], key=repr)
+    for bad in ("3.7", "x", "9223372036854775808"):
+        with pytest.raises(Exception):
+            io.conform(spark.createDataFrame([(bad,)], "i string"), table_schema(i="long")).collect()
+
+
+def test_a_batch_can_keep_its_gate(spark):
+    batch = spark.createDataFrame(
+        [(5, True, 2, False, "2023-05-28 01:00:00", 9, False)],
+        "county int, is_business boolean, product_type int, is_consumption boolean, prediction_datetime string, row_id int, currently_scored boolean")
+    assert rows(io.conform_batch(batch, "test", keep_gate=True)) == [(5, 1, 2, 0, datetime(2023, 5, 28, 1), 9, False)]
+
+
+def test_scratch_of_a_scope_is_removed(spark):
+    import os
+    from panelspark.session import land, scratch_scope, shared_folder
+    with scratch_scope(spark):
+        assert land(spark.range(3), spark, "scoped").count() == 3
+    assert not [f for f in os.listdir(shared_folder(spark)) if f.startswith("scoped-")]
+
+
+def test_no_local_scratch_off_local_mode():
+    from types import SimpleNamespace
+    from panelspark.session import shared_folder
+    context = SimpleNamespace(master="spark://host:7077", getConf=lambda: SimpleNamespace(get=lambda k: None))
+    with pytest.raises(ValueError):
+        shared_folder(SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: d), sparkContext=context))
 
 
 def test_best_round_is_the_earliest_least(spark):
