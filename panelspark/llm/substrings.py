@@ -59,9 +59,14 @@ def _cuts(values: np.ndarray, bits: int, buckets: int) -> np.ndarray:
 
 
 class Block:
-    """The documents of one block by id, with their words' hashes."""
+    """The documents of one block in order of their ids and texts, with their words' hashes.
+
+    Every step sees a block's rows in an order of its own, as they happen to arrive;
+    bits that stand for places need this one order.
+    """
 
     def __init__(self, table: pa.Table):
+        table = table.take(pc.sort_indices(table, [("doc_id", "ascending"), ("text", "ascending")]))
         ids = table.column("doc_id").combine_chunks()
         texts = table.column("text").combine_chunks()
         self.row_ids, self.texts = ids, texts

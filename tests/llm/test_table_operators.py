@@ -5,6 +5,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,6 +150,17 @@ def test_substrings_equal_brute_force(spark):
     assert sorted(map(tuple, got), key=repr) == sorted(brute_removed(zip(ids, texts)), key=repr)
 
 
+def test_a_block_does_not_depend_on_the_order_of_its_rows():
+    rng = random.Random(6)
+    ids, texts = [3, 1, None, 2, 2, 2, None], ["c d", "a", "n", "y", "x z", "x z", None]
+    order = list(range(7))
+    want = substrings.Block(pa.table({"doc_id": ids, "text": texts}))
+    for _ in range(10):
+        rng.shuffle(order)
+        got = substrings.Block(pa.table({"doc_id": [ids[i] for i in order], "text": [texts[i] for i in order]}))
+        assert got.row_ids == want.row_ids and got.texts == want.texts and (got.words == want.words).all()
+
+
 def test_substrings_of_an_empty_table(spark):
     assert substrings.remove_repeats(spark, documents(spark, [])).count() == 0
 
