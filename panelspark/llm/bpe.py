@@ -40,7 +40,7 @@ WHITE_SPACE = r"\t-\r \x85\xa0  -     　"
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^" + WHITE_SPACE + r"\p{L}\p{N}]+"
 
 END = "\x00"  # closes a word inside the automaton; no byte symbol looks like it
-MEMO_SIZE = 250_000
+MEMO_SIZE, PAIRS = 120_000, 400_000
 INFINITE = 1 << 60
 
 
@@ -125,6 +125,8 @@ class Vocabulary:
                 pair = before << 20 | token
                 ok = fits.get(pair)
                 if ok is None:
+                    if len(fits) >= PAIRS:
+                        fits.clear()
                     ok = fits[pair] = self.compatible(before, token)
                 if not ok:
                     continue

@@ -63,21 +63,22 @@ def _grams(codes: np.ndarray, text: np.ndarray):
             yield bucket, text[:size], whole
 
 
-def present(texts: list[str], wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct (text number, bucket) pairs; only of wanted buckets if a mask is given."""
-    found = [np.empty(0, dtype=np.int64)]
+def present(texts: list[str], wanted: np.ndarray | None = None):
+    """The distinct (text number, bucket) pairs, for a bounded number of characters, or one longer text, at a
+    time; only of wanted buckets if a mask is given."""
     i = 0
     while i < len(texts):
         j, size = i, 0
         while j < len(texts) and (j == i or size + len(texts[j]) <= PIECE):
             size += len(texts[j])
             j += 1
+        found = [np.empty(0, dtype=np.int64)]
         for bucket, text, whole in _grams(*_codes(texts[i:j])):
             keep = whole if wanted is None else whole & wanted[bucket]
             found.append(np.unique((text[keep].astype(np.int64) + i) << BUCKET_BITS | bucket[keep]))
+        pairs = np.unique(np.concatenate(found))
+        yield pairs >> BUCKET_BITS, pairs & ((1 << BUCKET_BITS) - 1)
         i = j
-    pairs = np.unique(np.concatenate(found))
-    return pairs >> BUCKET_BITS, pairs & ((1 << BUCKET_BITS) - 1)
 
 
 @dataclass
@@ -94,8 +95,10 @@ class Model:
         return table
 
     def log_odds(self, texts: list[str], table: np.ndarray) -> np.ndarray:
-        text, bucket = present(texts, table != 0)
-        return self.bias + np.bincount(text, weights=table[bucket], minlength=len(texts))
+        out = np.full(len(texts), self.bias)
+        for text, bucket in present(texts, table != 0):
+            np.add.at(out, text, table[bucket])
+        return out
 
     def score(self, text: Column) -> Column:
         """The probability of label 1 for each text."""
@@ -135,9 +138,9 @@ def _counts(batches):
     n = np.zeros((2, 1 << BUCKET_BITS), dtype=np.int64)
     for batch in batches:
         labels = np.asarray(batch.column("label"))
-        text, bucket = present([t or "" for t in batch.column("text").to_pylist()])
-        for v in (0, 1):
-            n[v] += np.bincount(bucket[labels[text] == v], minlength=n.shape[1])
+        for text, bucket in present([t or "" for t in batch.column("text").to_pylist()]):
+            for v in (0, 1):
+                np.add.at(n[v], bucket[labels[text] == v], 1)
     at = np.flatnonzero(n.any(axis=0))
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[0, at]), pa.array(n[1, at])], ["bucket", "n0", "n1"])
 
@@ -147,9 +150,11 @@ def _rows(wanted_buckets):
         wanted = np.zeros(1 << BUCKET_BITS, dtype=bool)
         wanted[wanted_buckets] = True
         for batch in batches:
-            text, bucket = present([t or "" for t in batch.column("text").to_pylist()], wanted)
-            cut = np.searchsorted(text, np.arange(batch.num_rows + 1))
-            packed = [bucket[a:b].astype("<i4").tobytes() for a, b in zip(cut[:-1], cut[1:])]
+            packed = [b""] * batch.num_rows
+            for text, bucket in present([t or "" for t in batch.column("text").to_pylist()], wanted):
+                for part in np.split(np.arange(len(text)), np.flatnonzero(np.diff(text)) + 1):
+                    if len(part):
+                        packed[text[part[0]]] = bucket[part].astype("<i4").tobytes()
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(packed, type=pa.binary())], ["label", "buckets"])
 
     return run

@@ -9,21 +9,24 @@ A shard is one row of a compressed Parquet file, written and committed by Spark:
 number of documents and tokens, document ids and ends, planes, ranks, and each
 plane's number of zeros. A shard has at most ``SHARD_TOKENS`` ids or one document.
 
-Texts are encoded by the tokenizers library, each different stretch between blanks
-once for a while, and an end id follows each document. Null and empty texts have the
+Texts are encoded by the tokenizers library, each different piece once for a while,
+and an end id follows each document. Null and empty texts have the
 end id alone. Rows without an id come first; rows that share an id follow each other
 by text. An empty table gives files without shards. Only doc_id and text are read.
 """
 
 import functools
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from panelspark.llm.bpe import WHITE_SPACE, byte_symbols
 from panelspark.llm.memo import Memo
 from panelspark.llm.substrings import block_bounds
 from panelspark.session import scratch_dir
@@ -31,7 +34,10 @@ from panelspark.session import scratch_dir
 END_ID = 0
 SHARD_TOKENS = 1 << 22
 STEP = 512  # bits between two stored ranks
-MEMO_SIZE = 250_000
+STRETCHES, PIECES = 150_000, 250_000  # remembered in each of two generations
+
+# Fixed value of the vocabulary's kind: what splits a text before the merges, white space spelt out.
+PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE_SPACE}\p{{L}}\p{{N}}]+|[{WHITE_SPACE}]+(?![^{WHITE_SPACE}])|[{WHITE_SPACE}]+"
 
 FILE_SCHEMA = (
     "block int, part int, n_docs long, n_tokens long, doc_ids binary, known binary, ends binary, "
@@ -131,38 +137,67 @@ class WaveletMatrix:
 
 
 _double_blank = re.compile(r"\s\s").search
+_pieces = regex.compile(PATTERN).findall
 _single_blanks = re.compile(r"(?<=\S) (?=\S)").split
 
 
 class Encoder:
-    """The library's ids of whole texts, from its ids of the stretches between single blanks.
+    """The library's ids of whole texts, from its ids of their pieces.
 
-    The vocabulary's pattern never joins what a blank between two other characters parts:
-    such a blank always begins the next piece. So stretches can be encoded by themselves.
+    Merges stay within the pieces that the vocabulary's pattern finds, and a blank between
+    two other characters always begins a piece. So the stretches between such blanks, and
+    the pieces within them, can be encoded by themselves.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo = Memo(MEMO_SIZE)
+        self.stretches, self.pieces = Memo(STRETCHES), Memo(PIECES)
         self.size = self.tokenizer.get_vocab_size()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.special]
-        self.type = np.uint16 if self.size <= 1 << 16 else np.uint32
-
-    def _ids(self, text: str) -> bytes:
-        ids = self.memo.recall(text)
-        if ids is None:
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.type).tobytes()
-            self.memo.keep(text, ids)
+        self.code = "H" if self.size <= 1 << 16 else "I"
+        self.type = np.dtype(self.code).type
+        self.model, self.symbol = self.tokenizer.model, dict(enumerate(byte_symbols()))
+
+    def _whole(self, text: str) -> bytes:
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _new(self, piece: str) -> bytes:
+        """What the library's model makes of a piece that is not remembered."""
+        symbols = piece.encode("utf-8").decode("latin-1").translate(self.symbol)
+        ids = array(self.code, [t.id for t in self.model.tokenize(symbols)]).tobytes()
+        self.pieces.keep(piece, ids)
         return ids
 
+    def _piece(self, piece: str) -> bytes | None:
+        return self.pieces.young.get(piece) or self.pieces.recall(piece)
+
+    def _stretch(self, stretch: str) -> bytes:
+        """The ids of a stretch; it is remembered once its pieces have been."""
+        ids = self.stretches.recall(stretch)
+        if ids is not None:
+            return ids
+        body = stretch[1:] if stretch[:1] == " " else stretch
+        if body.isalpha():  # letters, with the blank before them, are one piece
+            parts = (stretch,)
+        elif body[:-1].isalpha() and body[-1] in ".,;:!?":
+            parts = (stretch[:-1], stretch[-1])
+        else:
+            parts = _pieces(stretch)
+        known = [self._piece(p) for p in parts]
+        if all(known):
+            ids = b"".join(known)
+            self.stretches.keep(stretch, ids)
+            return ids
+        return b"".join([k or self._new(p) for k, p in zip(known, parts)])
+
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
         if any(s in text for s in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.type).tobytes()
+            return self._whole(text)
         first, *rest = _single_blanks(text) if _double_blank(text) or text[0] == " " or text[-1] == " " else text.split(" ")
-        known, slow = self.memo.young, self._ids
-        return b"".join([self._ids(first), *[known.get(w) or slow(w) for w in [" " + w for w in rest]]])
+        known, slow = self.stretches.young, self._stretch
+        return b"".join([slow(first), *[known.get(w) or slow(w) for w in [" " + w for w in rest]]])
 
 
 @functools.lru_cache(maxsize=2)
@@ -249,9 +284,9 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of every document in the files; ids are little-endian 32-bit numbers."""
     shards = spark.read.schema(FILE_SCHEMA).parquet(path)
     order = Window.orderBy("block", "part").rowsBetween(Window.unboundedPreceding, -1)
-    # a row for each shard, that is for millions of tokens
+    # 16 bytes for each shard of some million tokens: the shards themselves stay where they are read
     starts = shards.select("block", "part", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)).alias("shard_start"))
-    return shards.join(starts, ["block", "part"]).mapInArrow(_documents_of, "doc_id long, start long, n_tokens long, ids binary")
+    return shards.join(F.broadcast(starts), ["block", "part"]).mapInArrow(_documents_of, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def write_and_read(spark: SparkSession, documents: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFrame:
