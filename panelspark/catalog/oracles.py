@@ -113,15 +113,6 @@ for _out in KEYS:
         + " FROM panel GROUP BY ALL"
     )
 
-VIEWS["lagged"] = (
-    "SELECT p.*, " + ", ".join(f"j{d}.target AS target_lag_{d}" for d in OFFSETS) + " FROM panel p "
-    + " ".join(
-        f"LEFT JOIN panel j{d} ON "
-        + " AND ".join(f"j{d}.{k} = p.{k}" for k in KEYS)
-        + f" AND j{d}.datetime = p.datetime - INTERVAL {d} DAY"
-        for d in OFFSETS
-    )
-)
 VIEWS["complete"] = "SELECT * FROM lagged WHERE " + " AND ".join(f"target_lag_{d} IS NOT NULL" for d in OFFSETS)
 
 
@@ -219,81 +210,59 @@ def first_of(expr):
     return "CASE " + " ".join(f"WHEN contains({expr}, '{n}') THEN '{n}'" for n in NOUNS) + " END"
 
 
-# every feature of a panel row, taken by self joins; used by three queries
-def _wide(rows, row_cols):
-    """FROM clause joining each row of ``rows`` to all its lagged statistics."""
-    parts = [f"FROM {rows} p"]
-    for d in OFFSETS:
-        same = " AND ".join(f"j{d}.{k} = p.{k}" for k in KEYS)
-        parts.append(f"LEFT JOIN panel j{d} ON {same} AND j{d}.datetime = p.datetime - INTERVAL {d} DAY")
-    return " ".join(parts)
+# every feature of a panel row: one join with the list of offsets, and one grouping
+_DAY_COLS = [f"{s}_day_target" for s in STATS]
+_OVER_COLS = [f"{s}_{k}_target" for k in KEYS for s in STATS]
 
 
-def _features_from(rows):
-    lag_cols = ", ".join(f"j{d}.target AS target_lag_{d}" for d in OFFSETS)
-    return f"SELECT p.*, CAST(p.datetime AS DATE) AS date, {lag_cols} {_wide(rows, '')}"
+def _without(key):
+    return [k for k in KEYS if k != key]
 
 
-ALL_THERE = " AND ".join(f"target_lag_{d} IS NOT NULL" for d in OFFSETS)
+VIEWS["enriched"] = (
+    f"SELECT {', '.join('p.' + c for c in [*KEYS, 'datetime', 'target'])}, {', '.join('d.' + c for c in _DAY_COLS)}, "
+    + ", ".join(f"o_{k}.{s}_{k}_target" for k in KEYS for s in STATS)
+    + " FROM panel p LEFT JOIN day d ON " + " AND ".join(f"d.{k} = p.{k}" for k in KEYS)
+    + " AND d.date = CAST(p.datetime AS DATE) "
+    + " ".join(
+        f"LEFT JOIN over_{k} o_{k} ON o_{k}.datetime = p.datetime AND " + " AND ".join(f"o_{k}.{o} = p.{o}" for o in _without(k))
+        for k in KEYS)
+)
 
 
-def _look(name, table, stat, keys, d, time="datetime", unit=""):
-    """Correlated-free lookup: an extra join alias and its column."""
-    alias = f"x_{name}"
-    when = "CAST(f.datetime - INTERVAL {0} DAY AS DATE)".format(d) if time == "date" else f"f.datetime - INTERVAL {d} DAY"
-    cond = " AND ".join(f"{alias}.{k} = f.{k}" for k in keys)
-    return alias, f"LEFT JOIN {table} {alias} ON {cond} AND {alias}.{time} = {when}", f"{alias}.{stat}"
+def _features_from(rows, cols=("target",), source="panel"):
+    """Each row of ``rows`` with ``cols`` of ``source`` as they were 2 to 14 days before."""
+    same = " AND ".join(f"e.{k} = q.{k}" for k in KEYS)
+    lagged = ", ".join(f"max(CASE WHEN o.d = {d} THEN e.{c} END) AS {c}_lag_{d}" for d in OFFSETS for c in cols)
+    return f"""SELECT p.*, CAST(p.datetime AS DATE) AS date, g.* EXCLUDE ({KEY_LIST}, datetime) FROM {rows} p JOIN (
+        SELECT q.{', q.'.join(KEYS)}, q.datetime, {lagged}
+        FROM (SELECT {KEY_LIST}, datetime FROM {rows}) q CROSS JOIN (SELECT CAST(unnest(range(2, {N + 1})) AS INTEGER) AS d) o
+        LEFT JOIN {source} e ON {same} AND e.datetime = q.datetime - to_days(o.d) GROUP BY ALL) g
+        ON {" AND ".join(f"g.{k} = p.{k}" for k in KEYS)} AND g.datetime = p.datetime"""
 
 
-def _without(key):
-    return [k for k in KEYS if k != key]
+VIEWS["lagged"] = f"SELECT * EXCLUDE (date) FROM ({_features_from('panel')})"
+ALL_THERE = " AND ".join(f"target_lag_{d} IS NOT NULL" for d in OFFSETS)
 
 
-_EXTRA = {
-    "avg_day_target_lag_2": ("day", "avg_day_target", KEYS, 2, "date"),
-    "avg_day_target_lag_4": ("day", "avg_day_target", KEYS, 4, "date"),
-    "max_day_target_lag_9": ("day", "max_day_target", KEYS, 9, "date"),
-    "sum_county_target_lag_3": ("over_county", "sum_county_target", _without("county"), 3, "datetime"),
-    "max_county_target_lag_6": ("over_county", "max_county_target", _without("county"), 6, "datetime"),
-    "max_is_business_target_lag_5": ("over_is_business", "max_is_business_target", _without("is_business"), 5, "datetime"),
-    "min_product_type_target_lag_8": ("over_product_type", "min_product_type_target", _without("product_type"), 8, "datetime"),
-    "avg_is_consumption_target_lag_14": ("over_is_consumption", "avg_is_consumption_target", _without("is_consumption"), 14, "datetime"),
-}
+def lag_features():
+    """Name and formula of every lag feature."""
+    out = {f"target_lag_{d}": f"target_lag_{d}" for d in OFFSETS}
+    out |= {f"target_log1p_lag_{d}": f"round({_log(d)}, 6)" for d in OFFSETS}
+    out |= {f"target_lag_{d}_diff": e for e, d in zip(_DIFFS, OFFSETS)}
+    out |= {f"target_log1p_lag_{d}_diff": f"round({e}, 6) + 0.0" for e, d in zip(_LOG_DIFFS, OFFSETS)}
+    for d in OFFSETS:
+        for c in [*_DAY_COLS, *_OVER_COLS]:
+            out[f"{c}_lag_{d}"] = f"round({c}_lag_{d}, 3)" if c.startswith("std_") else f"{c}_lag_{d}"
+    return out | LIST_STATS | LIST_RATIOS
 
 
-def sample(rows, names, extra_joins="", plain=()):
-    """The named features for every row of ``rows``."""
-    joins, cols = [], []
-    for name in names:
-        if name in plain:
-            cols.append(f"{plain[name]} AS {name}")
-            continue
-        if name in _EXTRA:
-            table, stat, keys, d, time = _EXTRA[name]
-            _, join, expr = _look(name, table, stat, keys, d, time)
-            joins.append(join)
-        elif name in LIST_STATS:
-            expr = LIST_STATS[name]
-        elif name in LIST_RATIOS:
-            expr = LIST_RATIOS[name]
-        elif name.startswith("target_log1p_lag_"):
-            expr = f"round({_log(name.rsplit('_', 1)[1])}, 6)"
-        elif name.endswith("_diff"):
-            d = int(name.split("_")[2])
-            expr = f"target_lag_{d} - target_lag_{d + 1}"
-        else:
-            expr = name
-        cols.append(f"CASE WHEN {ALL_THERE} THEN {expr} END AS {name}")
-    return f"{', '.join(cols)} FROM ({_features_from(rows)}) f {' '.join(joins)} {extra_joins}"
-
-
-TARGET_SAMPLE = [
-    "target_lag_2", "target_lag_14", "target_log1p_lag_7",
-    "avg_day_target_lag_2", "max_day_target_lag_9", "sum_county_target_lag_3",
-    "max_is_business_target_lag_5", "min_product_type_target_lag_8",
-    "avg_is_consumption_target_lag_14", "target_lag_2_diff", "target_argmax_all_lag",
-    "target_argmin_all_lag_2_4", "target_sum_all_lag", "target_lag_2_vs_sum_all",
-]
+def all_features(rows, plain=None, extra_joins=""):
+    """Every lag feature, and the formulas ``plain``, for every row of ``rows``."""
+    cols = [f"CASE WHEN {ALL_THERE} THEN {e} END AS {n}" for n, e in lag_features().items()]
+    cols += [f'{e} AS "{n}"' for n, e in (plain or {}).items()]
+    return f"{', '.join(cols)} FROM ({_features_from(rows, ['target', *_DAY_COLS, *_OVER_COLS], 'enriched')}) f {extra_joins}"
+
 
 # Easter Sundays of the years the orders span, from the church calendar
 EASTER = ["1995-04-16", "1996-04-07", "1997-03-30", "1998-04-12", "1999-04-04", "2000-04-23", "2001-04-15"]
@@ -310,41 +279,43 @@ _SIDE = """
     LEFT JOIN gas_f g ON g.date = f.date
     LEFT JOIN forecast_f w ON w.date = f.date AND w.county = f.county
     LEFT JOIN history_f hw ON hw.date = f.date AND hw.county = f.county"""
+_ANGLES = {"ordinal_day": "dayofyear(f.datetime) / 183", "hour": "hour(f.datetime) / 12"}
+_CALENDAR = {
+    "year": "year", "quarter": "quarter", "month": "month", "week": "week", "hour": "hour", "day": "day",
+    "ordinal_day": "dayofyear", "weekday": "isodow",
+}
+_FORECAST = [f"{v}_hours_ahead_{h}" for v in ("temperature", "surface_solar_radiation_downwards", "cloudcover_total") for h in LEAD]
+
+
+def _proxy(capacity, h):
+    return (
+        f"({capacity} * w.surface_solar_radiation_downwards_hours_ahead_{h})"
+        f" / nullif(w.temperature_hours_ahead_{h} + CAST(273.15 AS DOUBLE), 0)"
+    )
+
+
+# everything beside the lags
 _PLAIN = {
-    "holiday": JANUARY_HOLIDAY,
-    "weekday": "CAST(isodow(f.datetime) AS INTEGER)",
-    "date_order_kfold": "CAST(date_diff('day', DATE '2024-01-01', f.date) AS INTEGER)",
-    "eic_count": "c.eic_count",
-    "installed_capacity": "c.installed_capacity",
-    "eic_count_mean_date": "c.eic_count_mean_date",
+    "date": "CAST(f.date AS TIMESTAMP)",
+    **{c: f"c.{c}" for c in (
+        "eic_count", "installed_capacity", "eic_count_mean_date", "installed_capacity_mean_date",
+        "installed_capacity_log1p", "installed_capacity_log1p_mean_date")},
     "euros_per_mwh": "e.euros_per_mwh",
-    "mean_price_per_mwh": "g.mean_price_per_mwh",
-    "range_price_per_mwh": "g.range_price_per_mwh",
-    "temperature_hours_ahead_22": "w.temperature_hours_ahead_22",
-    "temperature_hours_ahead_45_max": "w.temperature_hours_ahead_45_max",
-    "surface_solar_radiation_downwards_hours_ahead_30_min": "w.surface_solar_radiation_downwards_hours_ahead_30_min",
-    "cloudcover_total_hours_ahead_33": "w.cloudcover_total_hours_ahead_33",
-    "temperature_hours_ago_mean": "hw.temperature_hours_ago_mean",
-    "cloudcover_total_hours_ago_mean": "hw.cloudcover_total_hours_ago_mean",
-    "rain_hours_ago_mean": "hw.rain_hours_ago_mean",
-    "production_capacity_temperature_22":
-        "(c.installed_capacity * w.surface_solar_radiation_downwards_hours_ahead_22)"
-        " / nullif(w.temperature_hours_ahead_22 + CAST(273.15 AS DOUBLE), 0)",
-    "target_lag_14_vs_installed":
-        f"CASE WHEN {ALL_THERE} THEN target_lag_14 / nullif(1 + c.installed_capacity, 0) END",
-    "target_lag_3_vs_eic": f"CASE WHEN {ALL_THERE} THEN target_lag_3 / nullif(1 + c.eic_count, 0) END",
+    **{c: f"g.{c}" for c in ("lowest_price_per_mwh", "highest_price_per_mwh", "mean_price_per_mwh", "range_price_per_mwh")},
+    **{c: f"hw.{c}" for c in ("temperature_hours_ago_mean", "cloudcover_total_hours_ago_mean", "rain_hours_ago_mean")},
+    **{n: f"CAST({fn}(f.datetime) AS INTEGER)" for n, fn in _CALENDAR.items()},
+    **{f"{fn}({n})": f"round({fn}(pi() * {angle}), 6) + 0.0" for n, angle in _ANGLES.items() for fn in ("sin", "cos")},
+    "date_order_kfold": "CAST(date_diff('day', DATE '2024-01-01', f.date) AS INTEGER)",
+    "holiday": JANUARY_HOLIDAY,
+    **{f"{c}{s}": f"round(w.{c}{s}, 3)" if s == "_std" else f"w.{c}{s}" for s in ("", "_min", "_max", "_std") for c in _FORECAST},
+    **{f"production_capacity_temperature_{h}": _proxy("c.installed_capacity", h) for h in LEAD},
+    **{f"production_capacity_log1p_temperature_{h}": f"round({_proxy('c.raw_log1p', h)}, 4)" for h in LEAD},
+    **{
+        f"target_lag_{d}_vs_{n}": f"CASE WHEN {ALL_THERE} THEN target_lag_{d} / nullif(1 + c.{col}, 0) END"
+        for col, n in (("installed_capacity", "installed"), ("eic_count", "eic")) for d in OFFSETS
+    },
     "installed_vs_eic": "c.installed_capacity / nullif(1 + c.eic_count, 0)",
 }
-ASSEMBLED_SAMPLE = [
-    "holiday", "weekday", "date_order_kfold", "eic_count", "installed_capacity",
-    "eic_count_mean_date", "euros_per_mwh", "mean_price_per_mwh", "range_price_per_mwh",
-    "temperature_hours_ahead_22", "temperature_hours_ahead_45_max",
-    "surface_solar_radiation_downwards_hours_ahead_30_min", "cloudcover_total_hours_ahead_33",
-    "temperature_hours_ago_mean", "cloudcover_total_hours_ago_mean", "rain_hours_ago_mean",
-    "target_lag_2", "target_lag_13", "avg_day_target_lag_4", "max_county_target_lag_6",
-    "target_mean_all_lag", "production_capacity_temperature_22",
-    "target_lag_14_vs_installed", "target_lag_3_vs_eic", "installed_vs_eic",
-]
 VIEWS["later"] = f"SELECT {KEY_LIST}, datetime + INTERVAL 10 DAY AS datetime FROM panel"
 VIEWS["asked"] = f"SELECT {KEY_LIST}, datetime + INTERVAL 16 DAY AS datetime, row_id FROM panel"
 
@@ -353,15 +324,6 @@ def _rounded_std(cols):
     return ", ".join(f"round({c}, 3) AS {c}" if c.startswith("std_") else c for c in cols)
 
 
-def _proxy(capacity, h):
-    return (
-        f"({capacity} * w.surface_solar_radiation_downwards_hours_ahead_{h})"
-        f" / nullif(w.temperature_hours_ahead_{h} + CAST(273.15 AS DOUBLE), 0)"
-    )
-
-
-_DAY_COLS = [f"{s}_day_target" for s in STATS]
-
 SQL = {
     "conform_types": """
         SELECT l_orderkey, CAST(l_linenumber AS SMALLINT) AS l_linenumber, CAST(trunc(l_quantity) AS SMALLINT) AS l_quantity,
@@ -436,7 +398,7 @@ SQL = {
         CROSS JOIN (SELECT unnest(generate_series(min(datetime) - INTERVAL 2 DAY, max(datetime) + INTERVAL 2 DAY, INTERVAL 1 HOUR)) AS datetime FROM ev) t""",
     "exact_lag_hourly": "SELECT * EXCLUDE (row_id), "
         + ", ".join(f"round({_log(d)}, 6) AS target_log1p_lag_{d}" for d in OFFSETS) + " FROM lagged",
-    "exact_lag_future": "SELECT p.*, " + ", ".join(f"j{d}.target AS target_lag_{d}" for d in OFFSETS) + " " + _wide("later", ""),
+    "exact_lag_future": f"SELECT * EXCLUDE (date) FROM ({_features_from('later')})",
     "exact_lag_daily": f"SELECT p.{', p.'.join(KEYS)}, p.date, " + ", ".join(
         (f"round(j{d}.{c}, 3)" if c.startswith("std") else f"j{d}.{c}") + f" AS {c}_lag_{d}" for d in OFFSETS for c in _DAY_COLS
     ) + " FROM day p " + " ".join(
@@ -445,15 +407,14 @@ SQL = {
     ),
     "exact_lag_marginal": " UNION ALL ".join(
         f"SELECT '{out}' AS over_key, "
-        + ", ".join("NULL AS " + k if k == out else f"p.{k}" for k in KEYS)
-        + ", p.datetime, "
+        + ", ".join("NULL AS " + k if k == out else f"q.{k}" for k in KEYS)
+        + ", q.datetime, "
         + ", ".join(
-            (f"round(j{d}.{s}_{out}_target, 3)" if s == "std" else f"j{d}.{s}_{out}_target") + f" AS {s}_target_lag_{d}"
-            for d in OFFSETS for s in ("avg", "max", "std"))
-        + f" FROM over_{out} p "
-        + " ".join(
-            f"LEFT JOIN over_{out} j{d} ON " + " AND ".join(f"j{d}.{k} = p.{k}" for k in _without(out))
-            + f" AND j{d}.datetime = p.datetime - INTERVAL {d} DAY" for d in OFFSETS)
+            (f"round({v}, 3)" if s == "std" else v) + f" AS {s}_target_lag_{d}"
+            for d in OFFSETS for s in STATS for v in [f"max(CASE WHEN o.d = {d} THEN e.{s}_{out}_target END)"])
+        + f" FROM over_{out} q CROSS JOIN (SELECT CAST(unnest(range(2, {N + 1})) AS INTEGER) AS d) o LEFT JOIN over_{out} e ON "
+        + " AND ".join(f"e.{k} = q.{k}" for k in _without(out))
+        + f" AND e.datetime = q.datetime - to_days(o.d) GROUP BY {', '.join('q.' + k for k in _without(out))}, q.datetime"
         for out in KEYS
     ),
     "lag_complete": "SELECT * EXCLUDE (row_id) FROM complete",
@@ -465,7 +426,7 @@ SQL = {
         + ", ".join(f"{e} AS {n}" for n, e in LIST_STATS.items()) + " FROM complete",
     "lag_ratios": f"SELECT {KEY_LIST}, datetime, "
         + ", ".join(f"{e} AS {n}" for n, e in LIST_RATIOS.items()) + " FROM complete",
-    "target_features": f"SELECT f.{', f.'.join(KEYS)}, f.datetime, " + sample("panel", TARGET_SAMPLE),
+    "target_features": f"SELECT f.{', f.'.join(KEYS)}, f.datetime, f.target, f.row_id, " + all_features("panel"),
     "join_client": f"""
         SELECT p.*, CAST(p.datetime AS DATE) AS date, c.eic_count, c.installed_capacity, c.eic_count_mean_date,
                c.installed_capacity_mean_date, c.installed_capacity_log1p, c.installed_capacity_log1p_mean_date
@@ -475,9 +436,9 @@ SQL = {
         SELECT p.*, CAST(p.datetime AS DATE) AS date, e.euros_per_mwh, g.lowest_price_per_mwh, g.highest_price_per_mwh,
                g.mean_price_per_mwh, g.range_price_per_mwh
         FROM panel p LEFT JOIN electricity_f e ON e.datetime = p.datetime LEFT JOIN gas_f g ON g.date = CAST(p.datetime AS DATE)""",
-    "assemble_features": "SELECT f.row_id, f.target, " + sample("panel", ASSEMBLED_SAMPLE, _SIDE, _PLAIN),
-    "scoring_features": "SELECT f.row_id, " + sample(
-        "asked", [c for c in ASSEMBLED_SAMPLE if c != "date_order_kfold"], _SIDE, _PLAIN),
+    "assemble_features": f"SELECT f.{', f.'.join(KEYS)}, f.datetime, f.row_id, f.target, " + all_features("panel", _PLAIN, _SIDE),
+    "scoring_features": f"SELECT f.{', f.'.join(KEYS)}, f.datetime, f.row_id, "
+        + all_features("asked", {n: e for n, e in _PLAIN.items() if n != "date_order_kfold"}, _SIDE),
     "per_capacity_ratios": "SELECT p.county, p.is_business, p.product_type, p.is_consumption, p.datetime, "
         + ", ".join(f"p.target_lag_{d} / nullif(1 + c.installed_capacity, 0) AS target_lag_{d}_vs_installed" for d in OFFSETS) + ", "
         + ", ".join(f"p.target_lag_{d} / nullif(1 + c.eic_count, 0) AS target_lag_{d}_vs_eic" for d in OFFSETS)

@@ -256,7 +256,7 @@ def exact_lag_daily(spark, d):
 @query
 def exact_lag_marginal(spark, d):
     stacked = A.marginal_stats(V.panel(spark, d), SERIES_KEYS, "datetime", "target")
-    cols = ["avg_target", "max_target", "std_target"]
+    cols = [f"{s}_target" for s in STATS]
     return rounded(
         lags.exact_lag(
             stacked.select("over_key", *SERIES_KEYS, "datetime", *cols),
@@ -295,19 +295,10 @@ def lag_ratios(spark, d):
     return rows.select(*SERIES_KEYS, "datetime", *kept)
 
 
-TARGET_SAMPLE = [
-    "target_lag_2", "target_lag_14", "target_log1p_lag_7",
-    "avg_day_target_lag_2", "max_day_target_lag_9", "sum_county_target_lag_3",
-    "max_is_business_target_lag_5", "min_product_type_target_lag_8",
-    "avg_is_consumption_target_lag_14", "target_lag_2_diff", "target_argmax_all_lag",
-    "target_argmin_all_lag_2_4", "target_sum_all_lag", "target_lag_2_vs_sum_all",
-]
-
-
 @query
 def target_features(spark, d):
-    rows = P.target_features(V.panel(spark, d), N)
-    return rounded(rows.select(*SERIES_KEYS, "datetime", *TARGET_SAMPLE), 6, "log1p")
+    """Every lag feature of the panel."""
+    return rounded(rounded(P.target_features(V.panel(spark, d), N), 6, "log1p"), 3, "std_")
 
 
 # ---------------------------------------------------------------- joins
@@ -328,18 +319,6 @@ def join_prices(spark, d):
     return align.left_join_unique(rows, P.gas_features(V.gas(spark, d)), ["date"])
 
 
-ASSEMBLED_SAMPLE = [
-    "holiday", "weekday", "date_order_kfold", "eic_count", "installed_capacity",
-    "eic_count_mean_date", "euros_per_mwh", "mean_price_per_mwh", "range_price_per_mwh",
-    "temperature_hours_ahead_22", "temperature_hours_ahead_45_max",
-    "surface_solar_radiation_downwards_hours_ahead_30_min", "cloudcover_total_hours_ahead_33",
-    "temperature_hours_ago_mean", "cloudcover_total_hours_ago_mean", "rain_hours_ago_mean",
-    "target_lag_2", "target_lag_13", "avg_day_target_lag_4", "max_county_target_lag_6",
-    "target_mean_all_lag", "production_capacity_temperature_22",
-    "target_lag_14_vs_installed", "target_lag_3_vs_eic", "installed_vs_eic",
-]
-
-
 def _assembled(spark, d):
     tables = V.all_tables(spark, d)
     return build.feature_rows(
@@ -347,9 +326,16 @@ def _assembled(spark, d):
     )
 
 
+def _comparable(rows):
+    """Logarithms, angles and deviations to the digits in which two engines agree."""
+    rows = rounded(rows, 4, "production_capacity_log1p")
+    return rounded(rounded(rows, 6, "log1p", "sin(", "cos("), 3, "std_", "_std")
+
+
 @query
 def assemble_features(spark, d):
-    return _assembled(spark, d).select("row_id", "target", *ASSEMBLED_SAMPLE)
+    """The whole feature table of the panel."""
+    return _comparable(_assembled(spark, d))
 
 
 @query
@@ -362,8 +348,7 @@ def scoring_features(spark, d):
     rows = build.scoring_table(
         asked, tables, N, forecast_variables=V.FORECAST_COLUMNS, history_variables=V.HISTORY_COLUMNS,
     )
-    kept = [c for c in ASSEMBLED_SAMPLE if c != "date_order_kfold"]
-    return rows.select("row_id", *kept)
+    return _comparable(rows)
 
 
 def _client_lags(spark, d):
