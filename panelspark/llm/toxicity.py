@@ -29,6 +29,7 @@ FEATURES = 8192
 SMOOTHING = 1.0
 L2 = 1.0
 NEWTON_STEPS, CG_STEPS = 12, 15
+ROWS_AT_A_TIME = 500
 PIECE = 1 << 18  # texts are turned into features this many characters at a time
 
 _CHAR = np.arange(0x3000, dtype=np.uint32)
@@ -165,17 +166,25 @@ def logistic(rows: list[np.ndarray], labels: np.ndarray, scale: np.ndarray, l2:
 
     Newton steps; each solves its linear system by conjugate gradients.
     """
-    sizes = np.array([len(r) for r in rows])
-    column = np.concatenate(rows) if len(rows) else np.empty(0, dtype=np.int64)
-    row = np.repeat(np.arange(len(rows)), sizes)
-    value = scale[column]
     n, k = len(rows), len(scale)
+    # a share of the rows at a time, columns as small numbers: the driver holds little more than the rows
+    parts = []
+    for at in range(0, n, ROWS_AT_A_TIME):
+        some = rows[at : at + ROWS_AT_A_TIME]
+        sizes = np.array([len(r) for r in some])
+        parts.append((slice(at, at + len(some)), np.concatenate(some).astype(np.int32), np.repeat(np.arange(len(some)), sizes).astype(np.int32)))
 
     def forward(w):
-        return np.bincount(row, weights=value * w[column], minlength=n) + w[k]
+        z, scaled = np.empty(n), scale * w[:k]
+        for where, column, row in parts:
+            z[where] = np.bincount(row, weights=scaled[column], minlength=where.stop - where.start)
+        return z + w[k]
 
     def backward(g):
-        return np.append(np.bincount(column, weights=value * g[row], minlength=k), g.sum())
+        total = np.zeros(k)
+        for where, column, row in parts:
+            total += np.bincount(column, weights=g[where][row], minlength=k)
+        return np.append(total * scale, g.sum())
 
     def loss(w, z):
         return np.logaddexp(0, z).sum() - labels @ z + penalty @ (w * w) / 2
@@ -226,6 +235,7 @@ def fit(spark: SparkSession, sample: DataFrame, features: int = FEATURES) -> Mod
     )
     buckets, ratios = chosen["bucket"].to_numpy(np.int64), chosen["ratio"].to_numpy(float)
     rows = sample.mapInArrow(_rows(buckets), "label int, buckets binary").toPandas()
-    place = [np.searchsorted(buckets, np.frombuffer(b, dtype="<i4")) for b in rows["buckets"]]
-    weights, bias = logistic(place, rows["label"].to_numpy(float), ratios)
+    labels = rows["label"].to_numpy(float)
+    place = [np.searchsorted(buckets, np.frombuffer(b, dtype="<i4")).astype(np.int32) for b in rows.pop("buckets")]
+    weights, bias = logistic(place, labels, ratios)
     return Model(buckets, weights.astype(np.float32), float(bias))
