@@ -503,6 +503,22 @@ SQL["stream_score"] = f"""
     SELECT row_id, CASE WHEN row_id % 4 <> 0 AND {ALL_THERE} THEN {LIST_STATS['target_mean_all_lag']} ELSE 0.0 END AS target
     FROM ({_features_from('asked')})"""
 
+VIEWS["panel_steps"] = """
+    SELECT *, CAST(dense_rank() OVER (ORDER BY CAST(datetime AS DATE)) - 1 AS INTEGER) AS step FROM panel"""
+VIEWS["panel_limits"] = row_limits("panel_steps", 3)
+VIEWS["panel_labels"] = labelled("panel_steps", "panel_limits", 3, 2)
+SQL["training_table"] = f"""
+    SELECT a.*, l.f0 || ', ' || l.f1 || ', ' || l.f2 AS fold_info FROM ({SQL['assemble_features']}) a JOIN panel_labels l USING (row_id)"""
+SQL["train_job"] = " UNION ALL ".join(
+    f"""SELECT {i} AS fold, count(*) FILTER (f{i} = 't' AND target IS NOT NULL) AS n_train,
+        count(*) FILTER (f{i} = 'v' AND target IS NOT NULL) AS n_valid, 1.0 AS importance, count(*) AS n_scored FROM panel_labels"""
+    for i in range(3)
+)
+SQL["live_loop"] = f"""
+    SELECT 'score' AS what, row_id AS id, target AS value FROM ({SQL['stream_score']})
+    UNION ALL SELECT 'electricity', CAST(epoch(forecast_date) / 3600 AS BIGINT), CAST(CAST(euros_per_mwh AS FLOAT) AS DOUBLE) FROM electricity
+    UNION ALL SELECT 'gas', date_diff('day', DATE '1970-01-01', forecast_date), CAST(CAST(lowest_price_per_mwh AS FLOAT) AS DOUBLE) FROM gas"""
+
 VIEWS["naive"] = """
     SELECT target, target_lag_2, CAST(dense_rank() OVER (ORDER BY CAST(datetime AS DATE)) - 1 AS INTEGER) AS step FROM complete"""
 VIEWS["naive_limits"] = row_limits("naive", 3)

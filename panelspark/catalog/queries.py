@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 from panelspark.catalog import views as V
 from panelspark.functions import calendar as C
 from panelspark.ml import explain as X
+from panelspark.ml import job as J
 from panelspark.ml import score as S
 from panelspark.ml import train as M
 from panelspark.ml.features import vector_names
+from panelspark.ml.store import load as load_models
 from panelspark.operators import aggregates as A
 from panelspark.operators import align, folds, lags, ratios, upsert
 from panelspark.operators.lags import clock_micros
@@ -22,14 +24,23 @@ from panelspark.plans import build
 from panelspark.plans import features as P
 from panelspark.session import land, scratch_dir
 from panelspark.sources import tables as io
-from panelspark.sources.schema import SERIES_KEYS, TABLE_KEYS, table_schema
-from panelspark.streaming import replay
+from panelspark.sources.schema import (
+    FORECAST_VARIABLES,
+    HISTORY_VARIABLES,
+    SCHEMAS,
+    SERIES_KEYS,
+    TABLE_KEYS,
+    TABLE_TIME,
+    table_schema,
+)
+from panelspark.streaming import live, replay
 
 N = 14
 OFFSETS = list(range(2, N + 1))
 STATS = ("avg", "sum", "min", "max", "std")
 K = 5
 EMBARGO = 30
+MODEL_FOLDS, EMBARGO_DAYS = 3, 2
 
 QUERIES = {}
 
@@ -351,6 +362,22 @@ def scoring_features(spark, d):
     return _comparable(rows)
 
 
+def _training_table(spark, d, path=None):
+    """The labelled table written by month and read back."""
+    rows = build.training_table(
+        V.all_tables(spark, d), N, EMBARGO_DAYS, MODEL_FOLDS,
+        forecast_variables=V.FORECAST_COLUMNS, history_variables=V.HISTORY_COLUMNS,
+    )
+    path = path or scratch_dir(spark, "training")
+    io.write_features(rows, path)
+    return io.read_features(spark, path)
+
+
+@query
+def training_table(spark, d):
+    return _comparable(_training_table(spark, d))
+
+
 def _client_lags(spark, d):
     rows = _complete_lags(spark, d).withColumn("date", F.to_date("datetime"))
     return align.left_join_unique(
@@ -539,13 +566,11 @@ MODEL_FEATURES = [
     "target_lag_2", "target_lag_7", "target_mean_all_lag", "avg_day_target_lag_2",
     "avg_county_target_lag_2", "target_lag_2_vs_mean_all", "target_lag_2_vs_eic",
 ]
-MODEL_FOLDS = 3
 
 
 def _model_table(spark, d):
-    rows = folds.time_folds(_assembled(spark, d), "date_order_kfold", MODEL_FOLDS, 2)
     kept = [*dict.fromkeys(["row_id", "date", "datetime", "target", "fold_info", *MODEL_FEATURES])]
-    return land(rows.select(*kept), spark, "features")
+    return _training_table(spark, d).select(*kept)
 
 
 def _fitted(table):
@@ -574,6 +599,27 @@ def gbt_importance(spark, d):
     return X.importance_mean(X.importance(spark, fitted.models, vector_names(fitted.encoding)), MODEL_FOLDS)
 
 
+@query
+def train_job(spark, d):
+    """What must hold of the whole training job: rows of each fold's parts, rounds, importance, and scored rows."""
+    out = scratch_dir(spark, "job")
+    rows = land(_model_table(spark, d), spark, "model-table")
+    params = {"maxIter": 3, "maxDepth": 4, "subsamplingRate": 0.8, "stepSize": 0.1}
+    J.train_and_explain(spark, rows, f"{out}/first", params, MODEL_FOLDS)
+    J.train_and_explain(spark, rows, f"{out}/second", params, MODEL_FOLDS, f"{out}/first/importance", 8)
+    fitted = load_models(spark, f"{out}/second/models")
+    scored = S.blend(rows, fitted)
+    facts = spark.createDataFrame([(i,) for i in range(MODEL_FOLDS)], "fold int")
+    parts = rows.filter("target IS NOT NULL").select(
+        F.posexplode(F.array(*[folds.fold_of(i) for i in range(MODEL_FOLDS)])).alias("fold", "part")
+    ).groupBy("fold").agg(F.count_if(F.col("part") == "t").alias("n_train"), F.count_if(F.col("part") == "v").alias("n_valid"))
+    shares = X.importance(spark, fitted.models, vector_names(fitted.encoding)).groupBy("fold").agg(
+        F.round(F.sum("importance"), 6).alias("importance")
+    )
+    good = scored.agg(F.count_if(F.col("prediction") >= 0).alias("n_scored"))
+    return facts.join(parts, "fold").join(shares, "fold").join(F.broadcast(good))  # one row
+
+
 # ---------------------------------------------------------------- streaming
 
 def _arrivals(df, spark, name, by):
@@ -641,3 +687,42 @@ def stream_score(spark, d):
     replay.run(stream, sink, scratch_dir(spark, "progress"))
     scored = table_schema(row_id="long", target="double")
     return replay.stored(spark, out, scored).drop(replay.BATCH)
+
+
+def _with_all(df, wanted, base):
+    """The columns a view lacks, each with values of its own."""
+    missing = [v for v in wanted if v not in df.columns]
+    return df.select("*", *[(F.col(base) + i + 1).alias(v) for i, v in enumerate(missing)])
+
+
+@query
+def live_loop(spark, d):
+    """All tables come in as streams, then rows are asked for: the scores, and two tables as they then stand."""
+    tables = V.all_tables(spark, d)
+    tables["forecast_weather"] = _with_all(tables["forecast_weather"], FORECAST_VARIABLES, "temperature")
+    tables["historical_weather"] = _with_all(tables["historical_weather"], HISTORY_VARIABLES, "temperature")
+    arrivals = {
+        n: (_arrivals(tables[n], spark, f"in-{n}", F.col(TABLE_TIME[n])), tables[n].schema) for n in live.STORED
+    }
+    store, progress, out = (scratch_dir(spark, n) for n in ("store", "progress", "scores"))
+    live.collect(spark, arrivals, store, progress, files_per_batch=4)
+    asked = tables["train"].select(
+        *SERIES_KEYS, (F.col("datetime") + F.make_dt_interval(F.lit(V.DAYS - 14))).alias("prediction_datetime"),
+        "row_id", (F.col("row_id") % 4 != 0).alias("currently_scored"),
+    )
+    trained = []
+    live.serve(
+        spark, (_arrivals(asked, spark, "asked", F.col("prediction_datetime")), asked.schema), store,
+        io.conform(tables["location"], SCHEMAS["location"]), lambda: bool(trained), lambda: trained.append(1),
+        lambda rows: rows.select("row_id", S.clip(F.col("target_mean_all_lag")).alias("prediction")),
+        out, progress, N, {"files_per_batch": 4},
+        forecast_variables=V.FORECAST_COLUMNS, history_variables=V.HISTORY_COLUMNS,
+    )
+    now = live.tables(spark, store, tables["location"])
+    scores = replay.stored(spark, out, table_schema(row_id="long", target="double"))
+    hour = (clock_micros(F.col("forecast_date")) / 3_600_000_000).cast("long")
+    return (
+        scores.select(F.lit("score").alias("what"), F.col("row_id").alias("id"), F.col("target").alias("value"))
+        .union(now["electricity"].select(F.lit("electricity"), hour, F.col("euros_per_mwh").cast("double")))
+        .union(now["gas"].select(F.lit("gas"), F.datediff("forecast_date", F.lit("1970-01-01")).cast("long"), F.col("lowest_price_per_mwh").cast("double")))
+    )
