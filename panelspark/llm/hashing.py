@@ -82,8 +82,11 @@ def word_hashes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.nd
     """A 64-bit hash of every word, and the word number at which each text begins (one more than texts)."""
     raw, at = text_bytes(texts)
     starts, ends, first = word_spans(raw, at)
-    if lower:
-        raw = lower_ascii(raw)
+    return span_hashes(lower_ascii(raw) if lower else raw, starts, ends), first
+
+
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span; spans are in ascending order and do not overlap."""
     out = np.empty(len(starts), dtype=np.uint64)
     i = 0
     while i < len(starts):  # a piece spans a bounded number of bytes, or one longer word
@@ -96,7 +99,7 @@ def word_hashes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.nd
         s, e = starts[i:j] - low, ends[i:j] - low
         out[i:j] = mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
         i = j
-    return out, first
+    return out
 
 
 def window_hashes(words: np.ndarray, width: int, seed: int = 0) -> np.ndarray:

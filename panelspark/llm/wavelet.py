@@ -20,6 +20,7 @@ import re
 from array import array
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from panelspark.llm.bpe import WHITE_SPACE, byte_symbols
+from panelspark.llm.hashing import mix, span_hashes, text_bytes
 from panelspark.llm.memo import Memo
 from panelspark.llm.substrings import block_bounds
 from panelspark.session import scratch_dir
@@ -34,7 +36,7 @@ from panelspark.session import scratch_dir
 END_ID = 0
 SHARD_TOKENS = 1 << 22
 STEP = 512  # bits between two stored ranks
-STRETCHES, PIECES = 150_000, 250_000  # remembered in each of two generations
+PIECES = 300_000  # remembered, in each of two generations
 
 # Fixed value of the vocabulary's kind: what splits a text before the merges, white space spelt out.
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE_SPACE}\p{{L}}\p{{N}}]+|[{WHITE_SPACE}]+(?![^{WHITE_SPACE}])|[{WHITE_SPACE}]+"
@@ -151,7 +153,7 @@ class Encoder:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.stretches, self.pieces = Memo(STRETCHES), Memo(PIECES)
+        self.pieces = Memo(PIECES)
         self.size = self.tokenizer.get_vocab_size()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.special]
         self.code = "H" if self.size <= 1 << 16 else "I"
@@ -168,36 +170,72 @@ class Encoder:
         self.pieces.keep(piece, ids)
         return ids
 
-    def _piece(self, piece: str) -> bytes | None:
-        return self.pieces.young.get(piece) or self.pieces.recall(piece)
+    def _piece(self, piece: str) -> bytes:
+        return self.pieces.recall(piece) or self._new(piece)
 
     def _stretch(self, stretch: str) -> bytes:
-        """The ids of a stretch; it is remembered once its pieces have been."""
-        ids = self.stretches.recall(stretch)
-        if ids is not None:
-            return ids
         body = stretch[1:] if stretch[:1] == " " else stretch
+        known, slow = self.pieces.young, self._piece
         if body.isalpha():  # letters, with the blank before them, are one piece
-            parts = (stretch,)
-        elif body[:-1].isalpha() and body[-1] in ".,;:!?":
-            parts = (stretch[:-1], stretch[-1])
-        else:
-            parts = _pieces(stretch)
-        known = [self._piece(p) for p in parts]
-        if all(known):
-            ids = b"".join(known)
-            self.stretches.keep(stretch, ids)
-            return ids
-        return b"".join([k or self._new(p) for k, p in zip(known, parts)])
+            return known.get(stretch) or slow(stretch)
+        if body[:-1].isalpha() and body[-1] in ".,;:!?":
+            return (known.get(stretch[:-1]) or slow(stretch[:-1])) + (known.get(body[-1]) or slow(body[-1]))
+        return b"".join([known.get(p) or slow(p) for p in _pieces(stretch)])
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
         if any(s in text for s in self.special):
             return self._whole(text)
-        first, *rest = _single_blanks(text) if _double_blank(text) or text[0] == " " or text[-1] == " " else text.split(" ")
-        known, slow = self.stretches.young, self._stretch
-        return b"".join([slow(first), *[known.get(w) or slow(w) for w in [" " + w for w in rest]]])
+        first, *rest = _single_blanks(text)
+        return b"".join([self._stretch(first), *[self._stretch(" " + w) for w in rest]])
+
+    def encode_all(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and how many each text has.
+
+        Stretches are told apart by their hash, length and first letters. Each different one is encoded once,
+        and all ids are then put in place together. Texts with other blanks are encoded one by one.
+        """
+        plain = [t if t and t[0] != " " and t[-1] != " " and not _double_blank(t) and not any(s in t for s in self.special) else "" for t in texts]
+        alone = {i: self.encode(t) for i, t in enumerate(texts) if t and not plain[i]}
+        raw, at = text_bytes(pa.array(plain, type=pa.large_string()))
+        blank = np.flatnonzero(raw == 32)
+        full = np.flatnonzero(np.diff(at))
+        starts = np.sort(np.concatenate((at[full], blank + 1)))
+        ends = np.sort(np.concatenate((at[full + 1], blank)))
+        follows = ~np.isin(starts, at[full], assume_unique=True)  # a blank stands before it
+        padded = np.concatenate((raw, np.zeros(8, dtype=np.uint8)))
+        head = np.zeros(len(starts), dtype=np.uint64)
+        for k in range(8):
+            head |= np.where(starts + k < ends, padded[starts + k], 0).astype(np.uint64) << np.uint64(8 * k)
+        key = mix(span_hashes(raw, starts, ends) + follows.astype(np.uint64)) ^ mix(head) + (ends - starts).astype(np.uint64)
+        name, distinct = pd.factorize(key)
+        chosen = np.empty(len(distinct), dtype=np.int64)
+        chosen[name] = np.arange(len(name))
+        same = (head == head[chosen][name]) & (ends - starts == (ends - starts)[chosen][name]) & (follows == follows[chosen][name])
+        if not same.all():
+            raise RuntimeError("two stretches share a hash")
+        data = raw.tobytes()
+        parts = [
+            self._stretch((" " if f else "") + data[i:j].decode("utf-8"))
+            for i, j, f in zip(starts[chosen].tolist(), ends[chosen].tolist(), follows[chosen].tolist())
+        ]
+        text = np.searchsorted(at, starts, side="right") - 1
+        # the texts encoded alone are one stretch each
+        lone = np.array(sorted(alone), dtype=np.int64)
+        parts += [alone[i] for i in lone.tolist()]
+        name = np.concatenate((name, np.arange(len(lone)) + len(chosen)))
+        text = np.concatenate((text, lone))
+        order = np.argsort(text, kind="stable")
+        name, text = name[order], text[order]
+        width = np.dtype(self.type).itemsize
+        sizes = np.array([len(p) for p in parts], dtype=np.int64) // width
+        flat = np.frombuffer(b"".join(parts), dtype=self.type)
+        begin = np.concatenate(([0], np.cumsum(sizes)))[:-1]
+        count = sizes[name]
+        upto = np.cumsum(count)
+        source = np.repeat(begin[name] - (upto - count), count) + np.arange(int(count.sum()))
+        return flat[source], np.bincount(text, weights=count, minlength=len(texts)).astype(np.int64)
 
 
 @functools.lru_cache(maxsize=2)
@@ -212,32 +250,28 @@ def _shard_rows(path: str, end_id: int):
     def run(table: pa.Table) -> pa.Table:
         e = encoder(path)
         bits = int(e.size - 1).bit_length()
-        end = np.array([end_id], dtype=e.type).tobytes()
         table = table.sort_by([("known", "ascending"), ("doc_id", "ascending"), ("text", "ascending")])
-        ids, known = table.column("doc_id").to_pylist(), []
-        rows, held, sizes, doc_ids = [], [], [], []
-
-        def close():
-            matrix = WaveletMatrix.build(np.frombuffer(b"".join(held), dtype=e.type), bits)
+        ids = table.column("doc_id").to_pylist()
+        flat, count = e.encode_all(table.column("text").to_pylist())
+        # an end id after each document
+        total = np.cumsum(count + 1)
+        tokens = np.full(int(total[-1]), end_id, dtype=e.type)
+        inside = np.ones(len(tokens), dtype=bool)
+        inside[total - 1] = False
+        tokens[inside] = flat
+        rows, low = [], 0
+        while low < len(total):
+            start = int(total[low - 1]) if low else 0
+            high = max(low + 1, int(np.searchsorted(total, start + SHARD_TOKENS, side="right")))
+            matrix = WaveletMatrix.build(tokens[start : int(total[high - 1])], bits)
             planes, ranks, zeros = matrix.to_row()
             rows.append({
-                "block": table.column("block")[0].as_py(), "part": len(rows), "n_docs": len(sizes), "n_tokens": matrix.n,
-                "doc_ids": np.array(doc_ids, dtype="<i8").tobytes(), "known": np.array(known, dtype=np.uint8).tobytes(),
-                "ends": np.cumsum(sizes).astype("<i8").tobytes(), "planes": planes, "ranks": ranks, "zeros": zeros,
+                "block": table.column("block")[0].as_py(), "part": len(rows), "n_docs": high - low, "n_tokens": matrix.n,
+                "doc_ids": np.array([i or 0 for i in ids[low:high]], dtype="<i8").tobytes(),
+                "known": np.array([i is not None for i in ids[low:high]], dtype=np.uint8).tobytes(),
+                "ends": (total[low:high] - start).astype("<i8").tobytes(), "planes": planes, "ranks": ranks, "zeros": zeros,
             })
-            held.clear(), sizes.clear(), doc_ids.clear(), known.clear()
-
-        total = 0
-        for doc_id, text in zip(ids, table.column("text")):
-            packed = e.encode(text.as_py()) + end
-            n = len(packed) // np.dtype(e.type).itemsize
-            if sizes and total + n > SHARD_TOKENS:
-                close()
-                total = 0
-            held.append(packed), sizes.append(n), doc_ids.append(doc_id or 0), known.append(doc_id is not None)
-            total += n
-        if sizes:
-            close()
+            low = high
         return pa.Table.from_pylist(rows, schema=_ARROW)
 
     return run

@@ -203,9 +203,11 @@ def test_wavelet_matrix(n):
 def test_encoder_equals_the_library():
     rng, e, t = random.Random(2), wavelet.encoder(BYTE), Tokenizer.from_file(BYTE)
     parts = ["a", "the", " ", " ", "  ", "\n", "\t", "'s", "'", ".", "!!", "1", "é", "\x1c", "\xa0", "　", "<|endoftext|>", "日"]
-    for _ in range(4000):
-        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
-        assert np.frombuffer(e.encode(text), dtype=e.type).tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
+    texts = [None, ""] + ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(4000)]
+    ids, count = e.encode_all(texts)
+    for text, got in zip(texts, np.split(ids, np.cumsum(count)[:-1])):
+        want = t.encode(text or "", add_special_tokens=False).ids
+        assert got.tolist() == want == np.frombuffer(e.encode(text), dtype=e.type).tolist(), repr(text)
 
 
 def brute_tokens(rows):
