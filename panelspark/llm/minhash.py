@@ -211,7 +211,8 @@ def classes(spark: SparkSession, documents: DataFrame, similar: int = SIMILAR) -
 def deduplicated(spark: SparkSession, documents: DataFrame, similar: int = SIMILAR) -> DataFrame:
     """The rows of documents of which their component keeps the id, with all their columns."""
     dropped = classes(spark, documents, similar).where("NOT kept").select("doc_id").distinct()
-    return documents.join(dropped, "doc_id", "left_anti").select(documents.columns)
+    # as many ids as there are near copies: never sent to every task, however few they look
+    return documents.join(dropped.hint("shuffle_hash"), "doc_id", "left_anti").select(documents.columns)
 
 
 def oracle(similar: int = SIMILAR) -> str:
