@@ -16,7 +16,7 @@ from panelspark.session import discard, scratch_dir
 def _told(links: DataFrame, least: DataFrame) -> DataFrame:
     """Each link with what its node ``a`` is told. A node may have a large share of all links: with an exchange of
     its own on either side of the join, the optimizer can split the tasks of such a node."""
-    return links.join(least.repartition("m"), "a")
+    return links.join(least.repartition(F.xxhash64("a")), "a")
 
 
 def _large_star(links: DataFrame) -> DataFrame:
