@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from panelspark.llm.bpe import WHITE_SPACE, byte_symbols
-from panelspark.llm.hashing import mix, span_hashes, text_bytes
+from panelspark.llm.hashing import mix, pieces, span_hashes, text_bytes
 from panelspark.llm.memo import Memo
 from panelspark.llm.substrings import block_bounds
 from panelspark.session import scratch_dir
@@ -36,6 +36,7 @@ from panelspark.session import scratch_dir
 END_ID = 0
 SHARD_TOKENS = 1 << 22
 STEP = 512  # bits between two stored ranks
+TEXT_BYTES = 1 << 23  # encoded together, so that the arrays of a block of long texts stay small
 PIECES = 300_000  # remembered, in each of two generations
 
 # Fixed value of the vocabulary's kind: what splits a text before the merges, white space spelt out.
@@ -252,7 +253,8 @@ def _shard_rows(path: str, end_id: int):
         bits = int(e.size - 1).bit_length()
         table = table.sort_by([("known", "ascending"), ("doc_id", "ascending"), ("text", "ascending")])
         ids = table.column("doc_id").to_pylist()
-        flat, count = e.encode_all(table.column("text").to_pylist())
+        parts = [e.encode_all(some.to_pylist()) for some in pieces(table.column("text").combine_chunks(), TEXT_BYTES)]
+        flat, count = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         # an end id after each document
         total = np.cumsum(count + 1)
         tokens = np.full(int(total[-1]), end_id, dtype=e.type)
