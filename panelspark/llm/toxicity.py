@@ -7,7 +7,9 @@ logistic regression on the presence of the buckets, scaled by these ratios, give
 the score.
 
 Fitting uses a bounded sample of the labelled rows, at most ``SAMPLE_PER_CLASS`` of
-each label, taken by a hash of the id. Scoring covers every text whole. Null, empty
+each label, taken by a hash of the id; a sampled row counts as often as there are
+labelled rows for each one taken of its label, so the share of a label is the same
+however many rows there are. Scoring covers every text whole. Null, empty
 and letterless texts get the score of no features. Without rows of both labels the
 score is the share of label 1, or 0.5 if there is no label at all. Repeated ids
 count once in the fit, with their largest label; extra columns are not read.
@@ -116,8 +118,9 @@ class Model:
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, train: Column, per_class: int = SAMPLE_PER_CLASS) -> DataFrame:
-    """(text, label) of at most ``per_class`` labelled rows of each label that ``train`` holds for.
+    """(text, label, stands_for) of at most ``per_class`` labelled rows of each label that ``train`` holds for.
 
+    ``stands_for`` is the number of such rows over the number taken, so that a bounded sample keeps the labels' shares.
     The sample of ids has at most twice ``per_class`` rows, so it is small enough to send to every task.
     """
     known = (
@@ -126,11 +129,16 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, train:
         .where(train)
     )
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    ids = [known.where(F.col("label_of_id") == v).orderBy(*order).limit(per_class) for v in (0, 1)]
+    n = {r["label_of_id"]: r["count"] for r in known.groupBy("label_of_id").count().collect()}
+    ids = [
+        known.where(F.col("label_of_id") == v).orderBy(*order).limit(per_class)
+        .withColumn("stands_for", F.lit(max(1.0, n.get(v, 0) / per_class)))
+        for v in (0, 1)
+    ]
     return (
         documents.select("doc_id", "text")
         .join(F.broadcast(ids[0].union(ids[1])), "doc_id")
-        .select("text", F.col("label_of_id").cast("int").alias("label"))
+        .select("text", F.col("label_of_id").cast("int").alias("label"), "stands_for")
     )
 
 
@@ -156,17 +164,19 @@ def _rows(wanted_buckets):
                 for part in np.split(np.arange(len(text)), np.flatnonzero(np.diff(text)) + 1):
                     if len(part):
                         packed[text[part[0]]] = bucket[part].astype("<i4").tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(packed, type=pa.binary())], ["label", "buckets"])
+            columns = [batch.column("label"), batch.column("stands_for"), pa.array(packed, type=pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["label", "stands_for", "buckets"])
 
     return run
 
 
-def logistic(rows: list[np.ndarray], labels: np.ndarray, scale: np.ndarray, l2: float = L2) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic regression on present features times their scale.
+def logistic(rows: list[np.ndarray], labels: np.ndarray, scale: np.ndarray, l2: float = L2, times: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic regression on present features times their scale; a row counts ``times`` times.
 
     Newton steps; each solves its linear system by conjugate gradients.
     """
     n, k = len(rows), len(scale)
+    times = np.ones(n) if times is None else times
     # a share of the rows at a time, columns as small numbers: the driver holds little more than the rows
     parts = []
     for at in range(0, n, ROWS_AT_A_TIME):
@@ -187,14 +197,14 @@ def logistic(rows: list[np.ndarray], labels: np.ndarray, scale: np.ndarray, l2:
         return np.append(total * scale, g.sum())
 
     def loss(w, z):
-        return np.logaddexp(0, z).sum() - labels @ z + penalty @ (w * w) / 2
+        return times @ (np.logaddexp(0, z) - labels * z) + penalty @ (w * w) / 2
 
     penalty = np.append(np.full(k, l2), 1e-6)
     w = np.zeros(k + 1)
     z = forward(w)
     for _ in range(NEWTON_STEPS):
         p = 1 / (1 + np.exp(-np.clip(z, -60, 60)))
-        gradient, curve = backward(p - labels) + penalty * w, p * (1 - p)
+        gradient, curve = backward(times * (p - labels)) + penalty * w, times * p * (1 - p)
         step, left = np.zeros(k + 1), -gradient
         direction, size = left.copy(), left @ left
         first = size
@@ -217,13 +227,16 @@ def logistic(rows: list[np.ndarray], labels: np.ndarray, scale: np.ndarray, l2:
 
 
 def fit(spark: SparkSession, sample: DataFrame, features: int = FEATURES) -> Model:
-    """The classifier of a bounded (text, label) table."""
+    """The classifier of a bounded (text, label) table; with a column stands_for a row counts that many times."""
+    if "stands_for" not in sample.columns:
+        sample = sample.withColumn("stands_for", F.lit(1.0))
     sample = land(sample, spark, "toxicity-sample")
-    totals = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
-    n0, n1 = totals.get(0, 0), totals.get(1, 0)
+    totals = {r["label"]: r for r in sample.groupBy("label").agg(F.count("*").alias("n"), F.sum("stands_for").alias("all")).collect()}
+    n0, n1 = (totals[v]["n"] if v in totals else 0 for v in (0, 1))
     none = np.empty(0, dtype=np.int64)
     if not n0 or not n1:
-        share = (n1 + 0.5) / (n0 + n1 + 1)
+        all0, all1 = (totals[v]["all"] if v in totals else 0 for v in (0, 1))
+        share = (all1 + 0.5) / (all0 + all1 + 1)
         return Model(none, none.astype(np.float32), float(np.log(share / (1 - share))))
     counts = sample.mapInArrow(_counts, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     p, q = F.col("n1") + SMOOTHING, F.col("n0") + SMOOTHING
@@ -234,8 +247,8 @@ def fit(spark: SparkSession, sample: DataFrame, features: int = FEATURES) -> Mod
         .orderBy(F.desc("weight"), "bucket").limit(features).toPandas().sort_values("bucket")
     )
     buckets, ratios = chosen["bucket"].to_numpy(np.int64), chosen["ratio"].to_numpy(float)
-    rows = sample.mapInArrow(_rows(buckets), "label int, buckets binary").toPandas()
+    rows = sample.mapInArrow(_rows(buckets), "label int, stands_for double, buckets binary").toPandas()
     labels = rows["label"].to_numpy(float)
     place = [np.searchsorted(buckets, np.frombuffer(b, dtype="<i4")).astype(np.int32) for b in rows.pop("buckets")]
-    weights, bias = logistic(place, labels, ratios)
+    weights, bias = logistic(place, labels, ratios, times=rows["stands_for"].to_numpy(float))
     return Model(buckets, weights.astype(np.float32), float(bias))

@@ -315,3 +315,31 @@ def test_labels_and_other_columns_do_not_reach_the_score(spark):
     model = toxicity.fit(spark, sample)
     got = documents(spark, ["you fool", "you fool", None, ""]).select(model.score(F.col("text")).alias("s")).toPandas()["s"]
     assert got[0] == got[1] > 0.5 and got[2] == got[3]
+
+
+def _predicted_shares(spark, module, per_class, rare):
+    """The share of predicted ones by kind of text: an eighth has bars, where the rarer label is 40 %, and else 6 %."""
+    rng = np.random.default_rng(7)
+    barred = rng.random(3000) < 1 / 8
+    label = np.where(rng.random(3000) < np.where(barred, 0.4, 0.06), rare, 1 - rare)
+    texts = [" ".join(["tabular | "[: 10 if b else 0] + "words of text"] * 3) for b in barred]
+    docs = documents(spark, texts)
+    labels = spark.createDataFrame([(i, int(v)) for i, v in enumerate(label)], "doc_id long, v int")
+    model = module.fit(spark, toxicity.labelled_sample(docs, labels, "v", F.lit(True), per_class))
+    score = docs.select("doc_id", model.score(F.col("text")).alias("s")).toPandas().sort_values("doc_id")["s"].to_numpy()
+    return [(score[barred == b] >= 0.3).mean() for b in (True, False)]
+
+
+@pytest.mark.parametrize("module, rare", [(toxicity, 1)])
+def test_a_small_sample_predicts_the_shares_of_the_full_fit(spark, module, rare):
+    full = _predicted_shares(spark, module, 5000, rare)
+    assert full == [1, 1 - rare]
+    assert _predicted_shares(spark, module, 150, rare) == full
+
+
+@pytest.mark.parametrize("module", [toxicity])
+def test_one_label_has_its_share_of_all_rows_however_few_are_sampled(spark, module):
+    docs = documents(spark, ["a b c"] * 60)
+    labels = spark.createDataFrame([(i, 1) for i in range(60)], "doc_id long, v int")
+    model = module.fit(spark, toxicity.labelled_sample(docs, labels, "v", F.lit(True), 3))
+    assert abs(docs.select(model.score(F.col("text")).alias("s")).first()["s"] - 60.5 / 61) < 1e-9
