@@ -8,7 +8,8 @@ the encodings gives the score. Only documents have labels: which passages matter
 learnt from them.
 
 Fitting uses a bounded sample of labelled rows, at most ``SAMPLE_PER_CLASS`` of each
-label. Scoring covers every passage of every text. Null and empty texts, and those
+label; a sampled row counts as often as there are labelled rows for each one taken of
+its label. Scoring covers every passage of every text. Null and empty texts, and those
 without words, have one passage of zeros. Without rows of both labels the score is
 the share of label 1, or 0.5 without any label. Repeated ids count once in the fit.
 """
@@ -128,11 +129,11 @@ class Model:
         return scores(text)
 
 
-def gradients(model: Model, x: np.ndarray, count: np.ndarray, y: np.ndarray) -> dict:
-    """Of the mean log loss, by every parameter."""
+def gradients(model: Model, x: np.ndarray, count: np.ndarray, y: np.ndarray, times: np.ndarray | float = 1.0) -> dict:
+    """Of the mean log loss, by every parameter; a bag's loss counts ``times`` times."""
     p = model.p
     score, (cut, h, t, s, a, z) = model.forward(x, count)
-    gap = (1 / (1 + np.exp(-np.clip(score, -60, 60))) - y) / len(y)
+    gap = (1 / (1 + np.exp(-np.clip(score, -60, 60))) - y) * times / len(y)
     g = {"c": z.T @ gap, "d": gap.sum()}
     dz = np.repeat(gap[:, None] * p["c"][None], count, axis=0)
     da = (dz * h).sum(axis=1)
@@ -145,8 +146,9 @@ def gradients(model: Model, x: np.ndarray, count: np.ndarray, y: np.ndarray) ->
     return g
 
 
-def train(x: np.ndarray, count: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, seed: int = 0) -> Model:
-    """The model of labelled bags, by Adam on batches of bags."""
+def train(x: np.ndarray, count: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, seed: int = 0, times: np.ndarray | None = None) -> Model:
+    """The model of labelled bags, by Adam on batches of bags; a bag's loss counts in proportion to ``times``."""
+    times = np.ones(len(y)) if times is None else times / times.mean()
     rng = np.random.default_rng(seed)
     scale = x.std(axis=0)
     model = Model(0.0, x.mean(axis=0), (1 / np.where(scale > 1e-6, scale, np.inf)).astype(np.float32))
@@ -164,7 +166,7 @@ def train(x: np.ndarray, count: np.ndarray, y: np.ndarray, epochs: int = EPOCHS,
         for at in range(0, len(order), BATCH):
             bags = order[at : at + BATCH]
             rows = np.concatenate([np.arange(start[i], start[i + 1]) for i in bags])
-            g = gradients(model, x[rows], count[bags], y[bags])
+            g = gradients(model, x[rows], count[bags], y[bags], times[bags])
             step += 1
             for k, p in model.p.items():
                 d = g[k] + DECAY * p
@@ -180,19 +182,22 @@ def _bags(batches):
             x, count = passages(part)
             cut = np.concatenate(([0], np.cumsum(count)))
             bags = [x[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("label").slice(at, len(part)), pa.array(bags, type=pa.binary())], ["label", "bag"])
+            columns = [*(batch.column(c).slice(at, len(part)) for c in ("label", "stands_for")), pa.array(bags, type=pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["label", "stands_for", "bag"])
             at += len(part)
 
 
 def fit(spark: SparkSession, sample: DataFrame) -> Model:
-    """The model of a bounded (text, label) table."""
-    rows = sample.mapInArrow(_bags, "label int, bag binary").toPandas()
-    y = rows["label"].to_numpy(float)
+    """The model of a bounded (text, label) table; with a column stands_for a row counts that many times."""
+    if "stands_for" not in sample.columns:
+        sample = sample.withColumn("stands_for", F.lit(1.0))
+    rows = sample.mapInArrow(_bags, "label int, stands_for double, bag binary").toPandas()
+    y, times = rows["label"].to_numpy(float), rows["stands_for"].to_numpy(float)
     if not 0 < y.sum() < len(y):
-        share = (y.sum() + 0.5) / (len(y) + 1)
+        share = (y @ times + 0.5) / (times.sum() + 1)
         return Model(float(np.log(share / (1 - share))))
     # one order whatever task gave a row first
     order = sorted(range(len(rows)), key=lambda i: (y[i], zlib.crc32(rows["bag"][i])))
     bags = [np.frombuffer(rows["bag"][i], dtype=np.float32).reshape(-1, FEATURES) for i in order]
-    return train(np.concatenate(bags), np.array([len(b) for b in bags]), y[order])
+    return train(np.concatenate(bags), np.array([len(b) for b in bags]), y[order], times=times[order])
 

@@ -330,14 +330,14 @@ def _predicted_shares(spark, module, per_class, rare):
     return [(score[barred == b] >= 0.3).mean() for b in (True, False)]
 
 
-@pytest.mark.parametrize("module, rare", [(toxicity, 1)])
+@pytest.mark.parametrize("module, rare", [(toxicity, 1), (quality, 0)])
 def test_a_small_sample_predicts_the_shares_of_the_full_fit(spark, module, rare):
     full = _predicted_shares(spark, module, 5000, rare)
     assert full == [1, 1 - rare]
     assert _predicted_shares(spark, module, 150, rare) == full
 
 
-@pytest.mark.parametrize("module", [toxicity])
+@pytest.mark.parametrize("module", [toxicity, quality])
 def test_one_label_has_its_share_of_all_rows_however_few_are_sampled(spark, module):
     docs = documents(spark, ["a b c"] * 60)
     labels = spark.createDataFrame([(i, 1) for i in range(60)], "doc_id long, v int")
