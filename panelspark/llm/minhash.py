@@ -3,8 +3,9 @@
 A text's set is its distinct word shingles, lower-cased from A to Z. Every
 permutation of the hash space gives two signature values, the smallest and the
 largest hash of the set, so half as many hash evaluations do. Runs of signature
-values are bands; texts that agree on a band are candidates. With 7 values a band
-and 40 bands a pair at similarity 0.85 is missed once in five million cases.
+values are bands; texts that agree on a band are candidates. The values of a band
+follow from the limit, so that a pair at the limit is missed once in five million
+cases: 7 values in each of 40 bands at 0.85, 5 at 0.80.
 
 1. Texts with equal word sequences are one class, known by its smallest id.
 2. Classes that share a band hang on the band's smallest class; components of these
@@ -22,6 +23,8 @@ Rows that share an id count as one document that has each of their texts. Other
 columns are not read.
 """
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,23 +36,35 @@ from panelspark.session import land
 
 WIDTH = 5
 SIMILAR = 85  # hundredths
-BANDS, ROWS = 40, 7
+BANDS, ROWS = 40, 7  # at least, and at most
 PERMUTATIONS = BANDS * ROWS // 2
+MISSED = 2e-7  # of the pairs whose similarity is the limit
 BLOCK = 128
 PIECE = 1 << 15  # hashes that are permuted at a time, so that they stay in the processor's cache
 
 SIGNATURE = "n_shingles long, high long, low long, bands array<long>"
 
 
-def _multipliers() -> np.ndarray:
-    return mix(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+def banding(similar: int) -> tuple[int, int]:
+    """How many bands of how many values: the longest bands that miss few enough pairs, and more than BANDS of one value at low limits."""
+    if not 1 <= similar <= 100:
+        raise ValueError(f"similar is in hundredths from 1 to 100: {similar}")
+    s = similar / 100
+    for values in range(ROWS, 0, -1):
+        if (1 - s**values) ** BANDS <= MISSED:
+            return BANDS, values
+    return math.ceil(math.log(MISSED) / math.log(1 - s)), 1
+
+
+def _multipliers(permutations: int = PERMUTATIONS) -> np.ndarray:
+    return mix(np.arange(1, permutations + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
-def signatures(hashes: np.ndarray, cut: np.ndarray) -> np.ndarray:
+def signatures(hashes: np.ndarray, cut: np.ndarray, permutations: int = PERMUTATIONS) -> np.ndarray:
     """A row of least and greatest permuted hashes for each non-empty set."""
-    out = np.empty((len(cut) - 1, 2 * PERMUTATIONS), dtype=np.uint64)
+    out = np.empty((len(cut) - 1, 2 * permutations), dtype=np.uint64)
     out[:, 0::2], out[:, 1::2] = np.uint64(0xFFFFFFFFFFFFFFFF), 0
-    factors = _multipliers()
+    factors = _multipliers(permutations)
     for low in range(0, len(hashes), PIECE):
         high = min(low + PIECE, len(hashes))
         first = int(np.searchsorted(cut, low, side="right")) - 1
@@ -63,38 +78,41 @@ def signatures(hashes: np.ndarray, cut: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(signature: np.ndarray) -> np.ndarray:
+def band_keys(signature: np.ndarray, bands: int, values: int) -> np.ndarray:
     """One 64-bit key for each band of each signature."""
     n = len(signature)
-    parts = signature.reshape(n, BANDS, ROWS)
-    keys = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (n, 1))
-    for k in range(ROWS):
+    parts = signature[:, : bands * values].reshape(n, bands, values)
+    keys = np.tile(np.arange(1, bands + 1, dtype=np.uint64), (n, 1))
+    for k in range(values):
         keys = mix(keys * np.uint64(0xD6E8FEB86659FD93) + parts[:, :, k])
     return keys
 
 
-def _described(texts: pa.Array) -> list[pa.Array]:
+def _described(texts: pa.Array, similar: int) -> list[pa.Array]:
+    n_bands, values = banding(similar)
     words, first = word_hashes(texts, lower=True)
     high, low = sequence_hash(words, first, 1), sequence_hash(words, first, 2)
     hashes, cut = shingle_sets(texts, WIDTH)
     size = np.diff(cut)
     full = np.flatnonzero(size)
     sets = cut[np.append(full, len(size))] if len(full) else np.zeros(1, dtype=np.int64)
-    keys = band_keys(signatures(hashes, sets)) if len(full) else np.empty((0, BANDS), dtype=np.uint64)
-    ends = np.concatenate(([0], np.cumsum((size > 0) * BANDS))).astype(np.int32)
+    permutations = -(-n_bands * values // 2)
+    keys = band_keys(signatures(hashes, sets, permutations), n_bands, values) if len(full) else np.empty((0, n_bands), dtype=np.uint64)
+    ends = np.concatenate(([0], np.cumsum((size > 0) * n_bands))).astype(np.int32)
     bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel().view(np.int64)))
     return [pa.array(size.astype(np.int64)), pa.array(high.view(np.int64)), pa.array(low.view(np.int64)), bands]
 
 
-def describe(text):
+def describe(text, similar: int = SIMILAR):
     """Set size, 128-bit hash of the word sequence, and band keys of each text."""
+    banding(similar)
 
     @F.arrow_udf(f"struct<{SIGNATURE.replace(' ', ':').replace(',:', ',')}>")
     def described(texts: pa.Array) -> pa.Array:
-        parts = [_described(p) for p in pieces(texts)]
+        parts = [_described(p, similar) for p in pieces(texts)]
         names = ["n_shingles", "high", "low", "bands"]
         if not parts:
-            parts = [_described(texts)]
+            parts = [_described(texts, similar)]
         return pa.StructArray.from_arrays([pa.concat_arrays(c) for c in zip(*parts)], names)
 
     return described(text)
@@ -183,7 +201,7 @@ def _clusters_in_blocks(clusters: DataFrame, block: int) -> DataFrame:
 
 def classes(spark: SparkSession, documents: DataFrame, similar: int = SIMILAR) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of documents."""
-    rows = documents.select("doc_id", describe(F.col("text")).alias("d")).select("doc_id", "d.*")
+    rows = documents.select("doc_id", describe(F.col("text"), similar).alias("d")).select("doc_id", "d.*")
     rows = land(rows, spark, "minhash-rows")
     linked = rows.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     distinct = land(linked.groupBy("high", "low").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), spark, "minhash-classes")

@@ -117,6 +117,32 @@ def test_signature_takes_both_ends_of_each_permutation():
             assert row[2 * k] == (part * factor).min() and row[2 * k + 1] == (part * factor).max()
 
 
+@pytest.mark.parametrize("similar", [85, 80, 60, 40, 10])
+def test_pairs_at_the_limit_are_as_rarely_missed_at_every_limit(similar):
+    bands, values = minhash.banding(similar)
+    assert (1 - (similar / 100) ** values) ** bands <= 2e-7
+    # keys of 300 pairs of sets whose similarity is the limit
+    n, rng = 300, np.random.default_rng(similar)
+    drawn = rng.integers(0, 2**63, size=(n, 200), dtype=np.uint64)
+    own = (200 - 2 * similar) // 2
+    one, two = drawn[:, : 200 - own], np.concatenate([drawn[:, : 2 * similar], drawn[:, 200 - own :]], axis=1)
+    keys = [minhash.band_keys(minhash.signatures(x.ravel(), np.arange(n + 1) * x.shape[1], -(-bands * values // 2)), bands, values) for x in (one, two)]
+    assert (keys[0] == keys[1]).any(axis=1).all()
+
+
+@pytest.mark.parametrize("similar", [80, 60])
+def test_minhash_equals_brute_force_at_lower_limits(spark, similar):
+    rng = random.Random(similar)
+    texts = []
+    for _ in range(40):
+        base = [f"w{rng.randint(0, 5000)}" for _ in range(rng.choice([40, 120]))]
+        texts += [" ".join(base), mutated(rng, base, rng.choice([0.02, 0.03, 0.05, 0.08]))]
+    want, _ = brute_classes(list(enumerate(texts)), similar)
+    assert want != brute_classes(list(enumerate(texts)))[0]
+    got = {r["doc_id"]: r["component_id"] for r in minhash.classes(spark, documents(spark, texts), similar).collect()}
+    assert got == want
+
+
 # ---------------------------------------------------------------- repeated passages
 
 def brute_removed(rows):
