@@ -34,7 +34,7 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the sample to source, language and topic targets holds."""
-    return mixing.sampled(spark, docs).where("mixing.kept").select(docs.columns)
+    return mixing.sampled(spark, docs, within=True).where("mixing.kept").select(docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,11 +9,14 @@ Everything is DataFrame functions; the cell table is an aggregate and small, and
 documents are never shuffled: a cell's probability comes to them in a join with it.
 Null is a value like any other. A cell without tokens has no weight, and its
 documents are sampled at the overall rate. A cell that would need more than it has is
-taken whole. The sample depends on the id alone: rows that share one stay or go
+taken whole; with ``within`` this limit holds in every scaling, so that the cells with
+tokens to spare take up what full cells cannot, and only targets beyond all cells of a
+value stay out of reach. The sample depends on the id alone: rows that share one stay or go
 together where their cells agree. An empty table gives an empty table. The columns
 read are doc_id, text and the dimensions; others pass through under their names.
 """
 
+import logging
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -28,6 +31,9 @@ RATE = 0.5
 SWEEPS = 12
 CELLS_A_TASK = 500_000
 SEED = "mix"
+LOGGED = 20  # targets out of reach
+
+log = logging.getLogger(__name__)
 
 
 def tokens(text: Column) -> Column:
@@ -63,18 +69,34 @@ def smoothed_shares(cells: DataFrame, targets: dict[str, float]) -> DataFrame:
     return cells.select("*", *[(own[k] / F.nullif(F.lit(whole.get(k, 0.0)), F.lit(0.0))).alias(f"{k}_share") for k in targets])
 
 
-def rake(cells: DataFrame, dimensions: list[str], sweeps: int = SWEEPS) -> DataFrame:
-    """The cells' ``tokens`` scaled to a ``weight`` whose sums by each dimension approach its <dimension>_share."""
+def rake(cells: DataFrame, dimensions: list[str], sweeps: int = SWEEPS, wanted: float | None = None) -> DataFrame:
+    """The cells' ``tokens`` scaled to a ``weight`` whose sums by each dimension approach its <dimension>_share.
+
+    With ``wanted``, the tokens of the whole sample, no weight passes the share of them that its cell has.
+    """
     kept = cells.columns
     cells = cells.select("*", F.col("tokens").cast("double").alias("weight"))
     for _ in range(sweeps):
         for k in dimensions:
             total = F.sum("weight").over(Window.partitionBy(k))
             scaled = F.col("weight") * F.col(f"{k}_share") / F.nullif(total, F.lit(0.0))
+            if wanted is not None:
+                limit = F.col("tokens") / F.nullif(F.lit(float(wanted)), F.lit(0.0))
+                scaled = F.least(limit, F.coalesce(scaled, F.lit(0.0)))
             cells = cells.select(*kept, F.coalesce(scaled, F.lit(0.0)).alias("weight"))
     return cells
 
 
+def out_of_reach(fitted: DataFrame, dimensions: list[str], least: float = 0.01) -> DataFrame:
+    """(dimension, value, target, reached): the shares that raked cells miss by more than ``least`` of the target."""
+    sums = [
+        fitted.groupBy(F.lit(k).alias("dimension"), F.col(k).cast("string").alias("value"))
+        .agg(F.first(f"{k}_share").alias("target"), F.sum("weight").alias("reached"))
+        for k in dimensions
+    ]
+    return reduce(DataFrame.union, sums).where(F.abs(F.col("reached") - F.col("target")) > F.lit(least) * F.col("target"))
+
+
 def uniform(doc_id: Column, seed: str = SEED) -> Column:
     """A number from 0 to below 1 that depends on the id alone."""
     digest = F.md5(F.concat(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
@@ -87,8 +109,12 @@ def sampled(
     targets: dict[str, float] = TARGETS,
     rate: float = RATE,
     sweeps: int = SWEEPS,
+    within: bool = False,
 ) -> DataFrame:
-    """documents with a last column ``mixing``: topic, tokens, probability, and whether the row is in the sample."""
+    """documents with a last column ``mixing``: topic, tokens, probability, and whether the row is in the sample.
+
+    With ``within`` the targets that are still missed by a hundredth are logged, the furthest first.
+    """
     own = {"source": F.col("source"), "lang": F.col("lang"), "topic": topic(F.col("text"))}
     keys = list(targets)
     counted = documents.select(*[own[k].alias(k) for k in keys], tokens(F.col("text")).alias("tokens"))
@@ -96,7 +122,11 @@ def sampled(
     total, n_cells = cells.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.count("*")).first()
     # cells in one task need no exchange between the scalings
     few = cells.coalesce(max(1, -(-n_cells // CELLS_A_TASK)))
-    fitted = rake(smoothed_shares(few, targets), keys, sweeps)
+    fitted = rake(smoothed_shares(few, targets), keys, sweeps, rate * total if within else None)
+    if within:
+        fitted = land(fitted, spark, "mixing-fitted")
+        for r in out_of_reach(fitted, keys).orderBy(F.desc(F.abs(F.col("reached") - F.col("target")))).limit(LOGGED).collect():
+            log.warning("%s %s: %.4f of the tokens wanted, %.4f reached", r["dimension"], r["value"], r["target"], r["reached"])
     needed = F.lit(rate * total) * F.col("weight") / F.nullif("tokens", F.lit(0))
     chances = land(
         fitted.select(*[F.col(k).alias(f"cell_{k}") for k in keys], F.coalesce(F.least(F.lit(1.0), needed), F.lit(rate)).alias("probability")),

@@ -292,6 +292,20 @@ def test_raking_meets_the_targets(spark):
             assert abs(r["w"] - r["s"]) < 1e-6
 
 
+@pytest.mark.parametrize("last, missed", [(300, []), (200, [("topic", "n")])])
+def test_cells_with_tokens_to_spare_take_up_what_full_cells_cannot(spark, last, missed):
+    rows = [("a", "m", 1000), ("a", "n", 100), ("b", "m", 100), ("b", "n", last)]
+    cells = spark.createDataFrame(rows, "source string, topic string, tokens long").coalesce(1)
+    keys, wanted = ["source", "topic"], 750
+    fitted = mixing.rake(mixing.smoothed_shares(cells, dict.fromkeys(keys, 0.0)), keys, 12, wanted)
+    got = {(r["source"], r["topic"]): r["weight"] * wanted for r in fitted.collect()}
+    assert all(got[a, b] <= n + 1e-6 for a, b, n in rows)
+    assert abs(got["b", "n"] - last) < 1e-6 and abs(got["a", "m"] + got["b", "m"] - 375) < 3.75
+    assert [(r["dimension"], r["value"]) for r in mixing.out_of_reach(fitted, keys).collect() if r["dimension"] == "topic"] == missed
+    if not missed:
+        assert all(abs(got[a, "m"] + got[a, "n"] - 375) < 3.75 for a in "ab")
+
+
 def test_mixing_odd_tables(spark):
     df = documents(spark, [None, "", "a b c", "a b c", "x | y " * 30_000], [1, None, 2, 2, 3])
     got = mixing.sampled(spark, df)
