@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from panelspark.llm import bpe, embedding_dedup, minhash, mixing, pii, quality, substrings, toxicity, vafile, wavelet
+from panelspark.llm import bpe, codebooks, decontaminate, embedding_dedup, lexical, minhash, mixing, pii, quality, substrings, toxicity, vafile, wavelet
 
 
 def _table(spark, sf_dir, name):
@@ -82,6 +82,24 @@ def op10_minmax(spark, sf_dir):
     return minhash.classes(spark, _table(spark, sf_dir, "documents"))
 
 
+def op11_lexical(spark, sf_dir):
+    return lexical.ranked(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), 50)
+
+
+def op12_codebooks(spark, sf_dir):
+    return codebooks.codes(spark, _table(spark, sf_dir, "embeddings"))
+
+
+def op13_decontaminate(spark, sf_dir):
+    found = decontaminate.contaminated(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_toxicity": op2_toxicity,
@@ -93,6 +111,9 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_topk": op9_topk,
     "op10_minmax": op10_minmax,
+    "op11_lexical": op11_lexical,
+    "op12_codebooks": op12_codebooks,
+    "op13_decontaminate": op13_decontaminate,
 }
 
 ORACLES = {
@@ -101,4 +122,7 @@ ORACLES = {
     "op9_topk": vafile.oracle(),
     "op10_minmax": minhash.oracle(),
     "op8_mixing": mixing.oracle(),
+    "op11_lexical": lexical.oracle(),
+    "op12_codebooks": codebooks.oracle(),
+    "op13_decontaminate": decontaminate.oracle(),
 }
