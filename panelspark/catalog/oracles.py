@@ -22,7 +22,7 @@ VIEWS = {
         SELECT CAST(floor(user_id / 32) AS INTEGER) AS county, CAST(user_id % 2 AS INTEGER) AS is_business,
                CAST(CAST(floor(user_id / 2) AS BIGINT) % 4 AS INTEGER) AS product_type,
                CAST(event_id % 2 AS INTEGER) AS is_consumption,
-               CAST(date_trunc('hour', ts) AS TIMESTAMP) AS datetime, {CENTS.format('value')} AS cents
+               CAST(date_trunc('hour', ts) AS TIMESTAMP) AS datetime, {CENTS.format('value')} AS cents, event_id
         FROM events""",
     "panel": f"""
         SELECT k.county, k.is_business, k.product_type, k.is_consumption, h.datetime,
@@ -514,10 +514,34 @@ SQL["train_job"] = " UNION ALL ".join(
         count(*) FILTER (f{i} = 'v' AND target IS NOT NULL) AS n_valid, 1.0 AS importance, count(*) AS n_scored FROM panel_labels"""
     for i in range(3)
 )
-SQL["live_loop"] = f"""
-    SELECT 'score' AS what, row_id AS id, target AS value FROM ({SQL['stream_score']})
+SQL["live_loop"] = """
+    SELECT 'score' AS what, row_id AS id, CAST(1 AS DOUBLE) AS value FROM panel
     UNION ALL SELECT 'electricity', CAST(epoch(forecast_date) / 3600 AS BIGINT), CAST(CAST(euros_per_mwh AS FLOAT) AS DOUBLE) FROM electricity
-    UNION ALL SELECT 'gas', date_diff('day', DATE '1970-01-01', forecast_date), CAST(CAST(lowest_price_per_mwh AS FLOAT) AS DOUBLE) FROM gas"""
+    UNION ALL SELECT 'gas', date_diff('day', DATE '1970-01-01', forecast_date), CAST(CAST(lowest_price_per_mwh AS FLOAT) AS DOUBLE) FROM gas
+    UNION ALL SELECT 'models', 1, 1"""
+_TURN = "(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) // 5)"
+SQL["stream_dedupe"] = f"""
+    SELECT event_id, ts, user_id, event_type, value FROM events WHERE event_id % 11 <> 3
+    UNION ALL SELECT event_id, ts + INTERVAL 20 DAY, user_id, event_type, value FROM events WHERE event_id % 13 = 5 AND {_TURN} <= 1"""
+SQL["stream_hourly_panel"] = f"""
+    SELECT {KEY_LIST}, datetime, count(*) AS n_events, CAST(sum(cents) AS BIGINT) AS cents,
+           (SELECT count(*) FROM events WHERE event_id % 11 = 3 AND {_TURN} + 2 <= 5) AS n_late
+    FROM ev WHERE event_id % 11 <> 3
+      AND datetime + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events WHERE event_id % 11 <> 3) - INTERVAL 2 DAY
+    GROUP BY {KEY_LIST}, datetime"""
+
+
+def _lines_upto(last, reader, where="true"):
+    return f"""SELECT l_suppkey, l_shipdate, l_linenumber, l_orderkey, l_quantity, {reader} AS reader
+        FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey, l_shipdate
+                 ORDER BY l_linenumber DESC, l_orderkey DESC, l_quantity DESC) AS pos FROM lineitem WHERE l_linenumber <= {last})
+        WHERE pos = 1 AND {where}"""
+
+
+SQL["store_versions"] = " UNION ALL ".join([
+    _lines_upto(4, 0), _lines_upto(7, 1),
+    _lines_upto(7, 2, "l_shipdate >= TIMESTAMP '1996-03-01' AND l_shipdate < TIMESTAMP '1996-05-01'"),
+])
 
 VIEWS["naive"] = """
     SELECT target, target_lag_2, CAST(dense_rank() OVER (ORDER BY CAST(datetime AS DATE)) - 1 AS INTEGER) AS step FROM complete"""

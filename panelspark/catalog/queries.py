@@ -5,6 +5,7 @@ logarithms, sines or standard deviations are rounded, all others are exact.
 """
 
 import functools
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from panelspark.catalog import views as V
 from panelspark.functions import calendar as C
 from panelspark.ml import explain as X
 from panelspark.ml import job as J
+from panelspark.ml import registry
 from panelspark.ml import score as S
 from panelspark.ml import train as M
 from panelspark.ml.features import vector_names
@@ -33,7 +35,8 @@ from panelspark.sources.schema import (
     TABLE_TIME,
     table_schema,
 )
-from panelspark.streaming import live, replay
+from panelspark.streaming import events as live_events
+from panelspark.streaming import live, replay, store
 
 N = 14
 OFFSETS = list(range(2, N + 1))
@@ -568,6 +571,9 @@ MODEL_FEATURES = [
 ]
 
 
+MODEL_PARAMS = {"maxIter": 3, "maxDepth": 4, "subsamplingRate": 0.8, "stepSize": 0.1}
+
+
 def _model_table(spark, d):
     kept = [*dict.fromkeys(["row_id", "date", "datetime", "target", "fold_info", *MODEL_FEATURES])]
     return _training_table(spark, d).select(*kept)
@@ -681,7 +687,7 @@ def stream_score(spark, d):
         return features.select("row_id", S.clip(F.col("target_mean_all_lag")).alias("prediction"))
 
     sink = replay.score_sink(
-        lambda: tables, predict, out, N,
+        lambda span: tables, predict, out, N,
         forecast_variables=V.FORECAST_COLUMNS, history_variables=V.HISTORY_COLUMNS,
     )
     replay.run(stream, sink, scratch_dir(spark, "progress"))
@@ -697,32 +703,132 @@ def _with_all(df, wanted, base):
 
 @query
 def live_loop(spark, d):
-    """All tables come in as streams, then rows are asked for: the scores, and two tables as they then stand."""
+    """All tables come in as streams, then rows are asked for in two turns, the second after a restart.
+
+    The first turn trains the fold models on the stored tables through the training job and publishes them.
+    Every asked row is given with whether its score is as it must be: zero where it is not to be scored,
+    else a number that is not negative. Beside them are two stored tables and the number of models.
+    """
     tables = V.all_tables(spark, d)
     tables["forecast_weather"] = _with_all(tables["forecast_weather"], FORECAST_VARIABLES, "temperature")
     tables["historical_weather"] = _with_all(tables["historical_weather"], HISTORY_VARIABLES, "temperature")
     arrivals = {
         n: (_arrivals(tables[n], spark, f"in-{n}", F.col(TABLE_TIME[n])), tables[n].schema) for n in live.STORED
     }
-    store, progress, out = (scratch_dir(spark, n) for n in ("store", "progress", "scores"))
-    live.collect(spark, arrivals, store, progress, files_per_batch=4)
+    kept, progress, out, models, jobs = (scratch_dir(spark, n) for n in ("store", "progress", "scores", "models", "jobs"))
+    live.collect(spark, arrivals, kept, progress, compact_every=2, files_per_batch=4)
+
+    weather = {"forecast_variables": V.FORECAST_COLUMNS, "history_variables": V.HISTORY_COLUMNS}
+
+    def fit(stored):
+        rows = land(build.training_table(
+            stored | {"train": stored["target"]}, N, EMBARGO_DAYS, MODEL_FOLDS, **weather), spark, "live-training")
+        used = rows.select(*dict.fromkeys(["date", "datetime", "target", "fold_info", *MODEL_FEATURES]))
+        return J.train_and_explain(spark, used, jobs, MODEL_PARAMS, MODEL_FOLDS)
+
     asked = tables["train"].select(
         *SERIES_KEYS, (F.col("datetime") + F.make_dt_interval(F.lit(V.DAYS - 14))).alias("prediction_datetime"),
         "row_id", (F.col("row_id") % 4 != 0).alias("currently_scored"),
     )
-    trained = []
-    live.serve(
-        spark, (_arrivals(asked, spark, "asked", F.col("prediction_datetime")), asked.schema), store,
-        io.conform(tables["location"], SCHEMAS["location"]), lambda: bool(trained), lambda: trained.append(1),
-        lambda rows: rows.select("row_id", S.clip(F.col("target_mean_all_lag")).alias("prediction")),
-        out, progress, N, {"files_per_batch": 4},
-        forecast_variables=V.FORECAST_COLUMNS, history_variables=V.HISTORY_COLUMNS,
-    )
-    now = live.tables(spark, store, tables["location"])
+    folder = scratch_dir(spark, "asked")
+    for turn in range(2):
+        asked.filter(F.dayofmonth("prediction_datetime") % 2 == turn).write.mode("append").parquet(folder)
+        live.serve(
+            spark, (folder, asked.schema), kept, io.conform(tables["location"], SCHEMAS["location"]), models, fit,
+            out, progress, N, **weather,
+        )
+    now = live.tables(spark, kept, tables["location"])
     scores = replay.stored(spark, out, table_schema(row_id="long", target="double"))
+    right = F.when(F.col("row_id") % 4 == 0, F.col("target") == 0).otherwise(F.col("target") >= 0)
     hour = (clock_micros(F.col("forecast_date")) / 3_600_000_000).cast("long")
+    fitted = spark.range(1).select(F.lit("models"), F.lit(registry.published(spark, models)[0]).cast("long"), F.lit(1.0))
     return (
-        scores.select(F.lit("score").alias("what"), F.col("row_id").alias("id"), F.col("target").alias("value"))
+        scores.select(F.lit("score").alias("what"), F.col("row_id").alias("id"), right.cast("double").alias("value"))
         .union(now["electricity"].select(F.lit("electricity"), hour, F.col("euros_per_mwh").cast("double")))
         .union(now["gas"].select(F.lit("gas"), F.datediff("forecast_date", F.lit("1970-01-01")).cast("long"), F.col("lowest_price_per_mwh").cast("double")))
+        .union(fitted)
     )
+
+
+TURNS, TURN_DAYS = 6, 5
+
+
+def _turn():
+    """The five days that an event falls into."""
+    return F.floor(F.datediff("ts", F.lit(V.START).cast("date")) / TURN_DAYS).cast("int")
+
+
+def _in_turns(spark, rows, name):
+    """Yields a folder after each turn's rows have arrived in it."""
+    rows = land(rows.filter(F.col("turn") < TURNS), spark, f"{name}-turns")
+    folder = scratch_dir(spark, name)
+    for turn in range(TURNS):
+        rows.filter(F.col("turn") == turn).drop("turn").write.mode("append").parquet(folder)
+        yield folder
+
+
+@query
+def stream_dedupe(spark, d):
+    """Events of five days at a time, each turn after a restart of the stream, repeats remembered for six days.
+
+    Planted: repeats in the same turn and in the next, events that first arrive three turns late, and
+    events that come again after twenty days.
+    """
+    events = V.read(spark, d, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    late, own = F.col("event_id") % 11 == 3, _turn()
+    again = events.filter(F.col("event_id") % 13 == 5).select(
+        "event_id", (F.col("ts") + F.make_dt_interval(F.lit(20))).alias("ts"), "user_id", "event_type", "value", (own + 4).alias("turn"))
+    arrived = (
+        events.withColumn("turn", F.when(late, own + 3).otherwise(own))
+        .union(events.filter(~late & (F.col("event_id") % 5 == 0)).withColumn("turn", own))
+        .union(events.filter(~late & (F.col("event_id") % 7 == 0)).withColumn("turn", own + 1))
+        .union(again)
+    )
+    table, progress = scratch_dir(spark, "deduped"), scratch_dir(spark, "progress")
+    for folder in _in_turns(spark, arrived, "repeats"):
+        stream = replay.read_stream(spark, folder, events.schema)
+        replay.run(live_events.dedupe_within(stream, ["event_id"], "ts", "6 days"), replay.upsert_sink(table), progress)
+    return replay.stored(spark, table, events.schema).drop(replay.BATCH)
+
+
+@query
+def stream_hourly_panel(spark, d):
+    """The hours of each series that are over, rolled up from events of five days at a time, and how many came too late.
+
+    Planted: events that arrive two turns late, under a delay of two days.
+    """
+    events = V.read(spark, d, "events")
+    late, own = F.col("event_id") % 11 == 3, _turn()
+    arrived = V.series_events(events).select(*SERIES_KEYS, "ts", "cents", F.when(late, own + 2).otherwise(own).alias("turn"))
+    schema = arrived.drop("turn").schema
+    table, progress = scratch_dir(spark, "hours"), scratch_dir(spark, "progress")
+    for folder in _in_turns(spark, arrived, "events-in"):
+        stream = replay.read_stream(spark, folder, schema)
+        hours = live_events.hourly_panel(stream, SERIES_KEYS, "ts", {"cents": F.sum("cents")}, "2 days")
+        replay.run(hours, replay.upsert_sink(table), progress)
+    panel = replay.stored(spark, table, hours.schema).drop(replay.BATCH)
+    dropped = live_events.late_rows(spark, spark.read.schema(schema).parquet(folder).count(), panel, progress)
+    return panel.withColumn("n_late", F.lit(dropped).cast("long"))
+
+
+@query
+def store_versions(spark, d):
+    """Line items as they stand in a versioned store: batches by line number, compacted on the way, and read for two months.
+
+    Each key is changed by later batches; a reader from before the last compaction still sees its version.
+    """
+    lines = V.read(spark, d, "lineitem").select("l_suppkey", "l_shipdate", "l_linenumber", "l_orderkey", "l_quantity")
+    lines = upsert.dedupe(lines, ["l_suppkey", "l_shipdate", "l_linenumber"], ["l_orderkey", "l_quantity"])
+    keys, path = ["l_suppkey", "l_shipdate"], scratch_dir(spark, "versions")
+    lines = land(lines, spark, "line-batches")
+    readers = []
+    for batch in range(1, 8):
+        store.append(lines.filter(F.col("l_linenumber") == batch), batch, path, "l_shipdate")
+        if batch in (2, 5):
+            store.compact(spark, path, lines.schema, keys, "l_shipdate", keep=3)
+        if batch in (4, 7):
+            readers.append(store.current(spark, path, lines.schema, keys))
+    store.compact(spark, path, lines.schema, keys, "l_shipdate", keep=3)
+    readers.append(store.current(spark, path, lines.schema, keys, (datetime(1996, 3, 1), datetime(1996, 4, 30))))
+    parts = [df.withColumn("reader", F.lit(i)) for i, df in enumerate(readers)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

@@ -38,15 +38,23 @@ def cents(col):
     return F.round(col * 100).cast("long")
 
 
-def hourly_events(events: DataFrame) -> DataFrame:
-    """Every event with its series and hour."""
+def series_events(events: DataFrame) -> DataFrame:
+    """Every event with its series and instant."""
     return events.select(
         F.floor(F.col("user_id") / USERS_PER_COUNTY).cast("int").alias("county"),
         (F.col("user_id") % 2).cast("int").alias("is_business"),
         (F.floor(F.col("user_id") / 2) % 4).cast("int").alias("product_type"),
         (F.col("event_id") % 2).cast("int").alias("is_consumption"),
-        F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("datetime"),
+        "ts",
         cents(F.col("value")).alias("cents"),
+        "event_id",
+    )
+
+
+def hourly_events(events: DataFrame) -> DataFrame:
+    """Every event with its series and hour."""
+    return series_events(events).select(
+        *SERIES_KEYS, F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("datetime"), "cents"
     )
 
 

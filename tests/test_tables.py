@@ -142,9 +142,6 @@ def test_a_batch_written_twice_counts_once(spark):
     replay.append_batch(batch.withColumn("v", F.lit(3.0)), 1, path)
     assert replay.stored(spark, path, batch.schema).count() == 2
     assert rows(replay.current(spark, path, batch.schema, ["k", "at"])) == [(1, datetime(2024, 1, 1), 3.0)]
-    into = scratch_dir(spark, "compact")
-    replay.compact(spark, path, batch.schema, ["k", "at"], into)
-    assert replay.stored(spark, into, batch.schema).count() == 1
 
 
 def test_batches_are_gated_and_training_happens_once(spark):
