@@ -5,6 +5,9 @@ joins, leave-one-key-out statistics are separate groupings, folds come from
 scalar subqueries.
 """
 
+from panelspark.catalog.views import CENTS_OF, FORECAST_COLUMNS, FORECAST_READINGS, HISTORY_COLUMNS, HISTORY_READINGS
+from panelspark.sources.schema import FORECAST_VARIABLES, HISTORY_VARIABLES, HISTORY_WHOLE_NUMBERS
+
 N = 14
 OFFSETS = list(range(2, N + 1))
 STATS = {"avg": "avg", "sum": "sum", "min": "min", "max": "max", "std": "stddev_samp"}
@@ -17,6 +20,16 @@ LEAD = list(range(22, 46))
 START = "TIMESTAMP '2024-01-01 00:00:00'"
 CENTS = "CAST(round({0} * 100) AS BIGINT)"
 
+_WHOLE = {"short": "SMALLINT", "int": "INTEGER"}
+
+
+def _readings(formulas, whole=()):
+    return ",\n               ".join(
+        f'CAST({formula.format(**CENTS_OF)} AS {"INTEGER" if name in whole else "DOUBLE"}) AS "{name}"'
+        for name, formula in formulas.items()
+    )
+
+
 VIEWS = {
     "ev": f"""
         SELECT CAST(floor(user_id / 32) AS INTEGER) AS county, CAST(user_id % 2 AS INTEGER) AS is_business,
@@ -56,15 +69,11 @@ VIEWS = {
     "forecast": f"""
         SELECT s.latitude, s.longitude, CAST(1 + l_partkey % 48 AS INTEGER) AS hours_ahead,
                {START} + (l_orderkey % 30) * INTERVAL 1 DAY AS origin_datetime,
-               max(l_quantity) - 20 AS temperature,
-               CAST(max(floor(l_extendedprice)) AS DOUBLE) AS surface_solar_radiation_downwards,
-               CAST(max({CENTS.format('l_discount')}) AS DOUBLE) AS cloudcover_total
+               {_readings(FORECAST_READINGS)}
         FROM lineitem JOIN stations s ON s.s_suppkey = l_suppkey GROUP BY 1, 2, 3, 4""",
     "history": f"""
         SELECT s.latitude, s.longitude, {START} + (l_orderkey % 720) * INTERVAL 1 HOUR AS datetime,
-               max(l_quantity) - 20 AS temperature,
-               CAST(max({CENTS.format('l_discount')}) AS INTEGER) AS cloudcover_total,
-               CAST(max({CENTS.format('l_tax')}) AS DOUBLE) AS rain
+               {_readings(HISTORY_READINGS, HISTORY_WHOLE_NUMBERS)}
         FROM lineitem JOIN stations s ON s.s_suppkey = l_suppkey GROUP BY 1, 2, 3""",
     "client_f": """
         SELECT CAST(date + INTERVAL 2 DAY AS DATE) AS date, county, is_business, product_type, eic_count, installed_capacity,
@@ -85,26 +94,28 @@ VIEWS = {
                CAST(CASE WHEN hour(datetime) < 11 THEN datetime + INTERVAL 1 DAY ELSE datetime + INTERVAL 2 DAY END AS DATE) AS date
         FROM history h JOIN stations s ON s.latitude = h.latitude AND s.longitude = h.longitude
         WHERE s.county IS NOT NULL""",
-    "history_f": """
-        SELECT county, date, avg(temperature) AS temperature_hours_ago_mean,
-               CAST(trunc(avg(cloudcover_total)) AS SMALLINT) AS cloudcover_total_hours_ago_mean,
-               avg(rain) AS rain_hours_ago_mean
-        FROM located_history GROUP BY 1, 2""",
+    "history_f": "SELECT county, date, " + ", ".join(
+        (f"CAST(trunc(avg({v})) AS {_WHOLE[HISTORY_WHOLE_NUMBERS[v]]})" if v in HISTORY_WHOLE_NUMBERS else f"avg({v})")
+        + f" AS {v}_hours_ago_mean" for v in HISTORY_VARIABLES
+    ) + " FROM located_history GROUP BY 1, 2",
     "day": f"""
         SELECT {KEY_LIST}, CAST(datetime AS DATE) AS date,
                {', '.join(f'{f}(target) AS {s}_day_target' for s, f in STATS.items())}
         FROM panel GROUP BY ALL""",
 }
 
-VIEWS["forecast_f"] = "SELECT s.county, CAST(f.origin_datetime + INTERVAL 1 DAY AS DATE) AS date, " + ", ".join(
-    f"{fn}({v}) FILTER (WHERE hours_ahead = {h}) AS {v}_hours_ahead_{h}{suffix}"
-    for fn, suffix in (("avg", ""), ("min", "_min"), ("max", "_max"), ("stddev_samp", "_std"))
-    for v in ("temperature", "surface_solar_radiation_downwards", "cloudcover_total")
-    for h in LEAD
+_LEAD_STATS = {"": "avg", "_min": "min", "_max": "max", "_std": "stddev_samp"}
+VIEWS["lead_stats"] = "SELECT s.county, CAST(f.origin_datetime + INTERVAL 1 DAY AS DATE) AS date, hours_ahead, " + ", ".join(
+    f'{fn}("{v}") AS "{v}{suffix}"' for suffix, fn in _LEAD_STATS.items() for v in FORECAST_VARIABLES
 ) + (
     " FROM forecast f JOIN stations s ON s.latitude = f.latitude AND s.longitude = f.longitude"
     " WHERE s.county IS NOT NULL AND hours_ahead BETWEEN 22 AND 45 GROUP BY ALL"
 )
+VIEWS["forecast_f"] = "SELECT b.county, b.date, " + ", ".join(
+    f'h{h}."{v}{suffix}" AS "{v}_hours_ahead_{h}{suffix}"' for suffix in _LEAD_STATS for v in FORECAST_VARIABLES for h in LEAD
+) + " FROM (SELECT DISTINCT county, date FROM lead_stats) b " + " ".join(
+    f"LEFT JOIN lead_stats h{h} ON h{h}.county = b.county AND h{h}.date = b.date AND h{h}.hours_ahead = {h}" for h in LEAD
+)
 for _out in KEYS:
     _others = ", ".join(k for k in KEYS if k != _out)
     VIEWS[f"over_{_out}"] = (
@@ -284,7 +295,6 @@ _CALENDAR = {
     "year": "year", "quarter": "quarter", "month": "month", "week": "week", "hour": "hour", "day": "day",
     "ordinal_day": "dayofyear", "weekday": "isodow",
 }
-_FORECAST = [f"{v}_hours_ahead_{h}" for v in ("temperature", "surface_solar_radiation_downwards", "cloudcover_total") for h in LEAD]
 
 
 def _proxy(capacity, h):
@@ -294,32 +304,41 @@ def _proxy(capacity, h):
     )
 
 
-# everything beside the lags
-_PLAIN = {
-    "date": "CAST(f.date AS TIMESTAMP)",
-    **{c: f"c.{c}" for c in (
-        "eic_count", "installed_capacity", "eic_count_mean_date", "installed_capacity_mean_date",
-        "installed_capacity_log1p", "installed_capacity_log1p_mean_date")},
-    "euros_per_mwh": "e.euros_per_mwh",
-    **{c: f"g.{c}" for c in ("lowest_price_per_mwh", "highest_price_per_mwh", "mean_price_per_mwh", "range_price_per_mwh")},
-    **{c: f"hw.{c}" for c in ("temperature_hours_ago_mean", "cloudcover_total_hours_ago_mean", "rain_hours_ago_mean")},
-    **{n: f"CAST({fn}(f.datetime) AS INTEGER)" for n, fn in _CALENDAR.items()},
-    **{f"{fn}({n})": f"round({fn}(pi() * {angle}), 6) + 0.0" for n, angle in _ANGLES.items() for fn in ("sin", "cos")},
-    "date_order_kfold": "CAST(date_diff('day', DATE '2024-01-01', f.date) AS INTEGER)",
-    "holiday": JANUARY_HOLIDAY,
-    **{f"{c}{s}": f"round(w.{c}{s}, 3)" if s == "_std" else f"w.{c}{s}" for s in ("", "_min", "_max", "_std") for c in _FORECAST},
-    **{f"production_capacity_temperature_{h}": _proxy("c.installed_capacity", h) for h in LEAD},
-    **{f"production_capacity_log1p_temperature_{h}": f"round({_proxy('c.raw_log1p', h)}, 4)" for h in LEAD},
-    **{
-        f"target_lag_{d}_vs_{n}": f"CASE WHEN {ALL_THERE} THEN target_lag_{d} / nullif(1 + c.{col}, 0) END"
-        for col, n in (("installed_capacity", "installed"), ("eic_count", "eic")) for d in OFFSETS
-    },
-    "installed_vs_eic": "c.installed_capacity / nullif(1 + c.eic_count, 0)",
-}
+def _plain(forecast, history):
+    """Everything beside the lags, for some of the weather variables."""
+    leads = [f"{v}_hours_ahead_{h}" for v in forecast for h in LEAD]
+    return {
+        "date": "CAST(f.date AS TIMESTAMP)",
+        **{c: f"c.{c}" for c in (
+            "eic_count", "installed_capacity", "eic_count_mean_date", "installed_capacity_mean_date",
+            "installed_capacity_log1p", "installed_capacity_log1p_mean_date")},
+        "euros_per_mwh": "e.euros_per_mwh",
+        **{c: f"g.{c}" for c in ("lowest_price_per_mwh", "highest_price_per_mwh", "mean_price_per_mwh", "range_price_per_mwh")},
+        **{f"{v}_hours_ago_mean": f"hw.{v}_hours_ago_mean" for v in history},
+        **{n: f"CAST({fn}(f.datetime) AS INTEGER)" for n, fn in _CALENDAR.items()},
+        **{f"{fn}({n})": f"round({fn}(pi() * {angle}), 6) + 0.0" for n, angle in _ANGLES.items() for fn in ("sin", "cos")},
+        "date_order_kfold": "CAST(date_diff('day', DATE '2024-01-01', f.date) AS INTEGER)",
+        "holiday": JANUARY_HOLIDAY,
+        **{f"{c}{s}": f'round(w."{c}{s}", 3)' if s == "_std" else f'w."{c}{s}"' for s in ("", "_min", "_max", "_std") for c in leads},
+        **{f"production_capacity_temperature_{h}": _proxy("c.installed_capacity", h) for h in LEAD},
+        **{f"production_capacity_log1p_temperature_{h}": f"round({_proxy('c.raw_log1p', h)}, 4)" for h in LEAD},
+        **{
+            f"target_lag_{d}_vs_{n}": f"CASE WHEN {ALL_THERE} THEN target_lag_{d} / nullif(1 + c.{col}, 0) END"
+            for col, n in (("installed_capacity", "installed"), ("eic_count", "eic")) for d in OFFSETS
+        },
+        "installed_vs_eic": "c.installed_capacity / nullif(1 + c.eic_count, 0)",
+    }
+
+
+_PLAIN = _plain(FORECAST_COLUMNS, HISTORY_COLUMNS)
 VIEWS["later"] = f"SELECT {KEY_LIST}, datetime + INTERVAL 10 DAY AS datetime FROM panel"
 VIEWS["asked"] = f"SELECT {KEY_LIST}, datetime + INTERVAL 16 DAY AS datetime, row_id FROM panel"
 
 
+def _assembled(plain):
+    return f"SELECT f.{', f.'.join(KEYS)}, f.datetime, f.row_id, f.target, " + all_features("panel", plain, _SIDE)
+
+
 def _rounded_std(cols):
     return ", ".join(f"round({c}, 3) AS {c}" if c.startswith("std_") else c for c in cols)
 
@@ -385,8 +404,7 @@ SQL = {
                      CAST(max({CENTS.format('o_totalprice')}) AS DOUBLE) AS hi
               FROM orders GROUP BY 1, 2)""",
     "weather_pivot": "SELECT * REPLACE (" + ", ".join(
-        f"round({v}_hours_ahead_{h}_std, 3) AS {v}_hours_ahead_{h}_std"
-        for v in ("temperature", "surface_solar_radiation_downwards", "cloudcover_total") for h in LEAD
+        f'round("{v}_hours_ahead_{h}_std", 3) AS "{v}_hours_ahead_{h}_std"' for v in FORECAST_VARIABLES for h in LEAD
     ) + ") FROM forecast_f",
     "history_daily_mean": "SELECT * FROM history_f",
     "hours_ago_rank": """
@@ -436,7 +454,7 @@ SQL = {
         SELECT p.*, CAST(p.datetime AS DATE) AS date, e.euros_per_mwh, g.lowest_price_per_mwh, g.highest_price_per_mwh,
                g.mean_price_per_mwh, g.range_price_per_mwh
         FROM panel p LEFT JOIN electricity_f e ON e.datetime = p.datetime LEFT JOIN gas_f g ON g.date = CAST(p.datetime AS DATE)""",
-    "assemble_features": f"SELECT f.{', f.'.join(KEYS)}, f.datetime, f.row_id, f.target, " + all_features("panel", _PLAIN, _SIDE),
+    "assemble_features": _assembled(_PLAIN),
     "scoring_features": f"SELECT f.{', f.'.join(KEYS)}, f.datetime, f.row_id, "
         + all_features("asked", {n: e for n, e in _PLAIN.items() if n != "date_order_kfold"}, _SIDE),
     "per_capacity_ratios": "SELECT p.county, p.is_business, p.product_type, p.is_consumption, p.datetime, "
@@ -508,7 +526,8 @@ VIEWS["panel_steps"] = """
 VIEWS["panel_limits"] = row_limits("panel_steps", 3)
 VIEWS["panel_labels"] = labelled("panel_steps", "panel_limits", 3, 2)
 SQL["training_table"] = f"""
-    SELECT a.*, l.f0 || ', ' || l.f1 || ', ' || l.f2 AS fold_info FROM ({SQL['assemble_features']}) a JOIN panel_labels l USING (row_id)"""
+    SELECT a.*, l.f0 || ', ' || l.f1 || ', ' || l.f2 AS fold_info FROM ({_assembled(_plain(FORECAST_VARIABLES, HISTORY_VARIABLES))}) a
+    JOIN panel_labels l USING (row_id)"""
 SQL["train_job"] = " UNION ALL ".join(
     f"""SELECT {i} AS fold, count(*) FILTER (f{i} = 't' AND target IS NOT NULL) AS n_train,
         count(*) FILTER (f{i} = 'v' AND target IS NOT NULL) AS n_valid, 1.0 AS importance, count(*) AS n_scored FROM panel_labels"""

@@ -27,8 +27,6 @@ from panelspark.plans import features as P
 from panelspark.session import land, scratch_dir
 from panelspark.sources import tables as io
 from panelspark.sources.schema import (
-    FORECAST_VARIABLES,
-    HISTORY_VARIABLES,
     SCHEMAS,
     SERIES_KEYS,
     TABLE_KEYS,
@@ -63,10 +61,16 @@ def query(fn):
 
 def rounded(df: DataFrame, digits: int, *parts: str) -> DataFrame:
     """Round the double columns whose name contains one of ``parts``."""
-    return df.selectExpr(*[
-        f"round(`{c}`, {digits}) AS `{c}`" if kind == "double" and any(p in c for p in parts) else f"`{c}`"
-        for c, kind in df.dtypes
-    ])
+    return rounded_by(df, {p: digits for p in parts})
+
+
+def rounded_by(df: DataFrame, digits: dict[str, int]) -> DataFrame:
+    """Round the double columns whose name contains a part, by the first part that it contains."""
+    def one(c, kind):
+        found = next((n for part, n in digits.items() if part in c), None) if kind == "double" else None
+        return f"`{c}`" if found is None else f"round(`{c}`, {found}) AS `{c}`"
+
+    return df.selectExpr(*[one(c, kind) for c, kind in df.dtypes])
 
 
 # ---------------------------------------------------------------- sources
@@ -206,16 +210,13 @@ def gas_features(spark, d):
 @query
 def weather_pivot(spark, d):
     return rounded(
-        P.forecast_weather_features(V.forecast_weather(spark, d), V.stations(spark, d), V.FORECAST_COLUMNS),
-        3, "_std",
+        P.forecast_weather_features(V.forecast_weather(spark, d), V.stations(spark, d)), 3, "_std",
     )
 
 
 @query
 def history_daily_mean(spark, d):
-    return P.historical_weather_features(
-        V.historical_weather(spark, d), V.stations(spark, d), V.HISTORY_COLUMNS
-    )
+    return P.historical_weather_features(V.historical_weather(spark, d), V.stations(spark, d))
 
 
 @query
@@ -312,7 +313,8 @@ def lag_ratios(spark, d):
 @query
 def target_features(spark, d):
     """Every lag feature of the panel."""
-    return rounded(rounded(P.target_features(V.panel(spark, d), N), 6, "log1p"), 3, "std_")
+    panel = land(V.panel(spark, d), spark, "panel")  # as a source file would be
+    return rounded_by(P.target_features(panel, N), {"log1p": 6, "std_": 3})
 
 
 # ---------------------------------------------------------------- joins
@@ -342,8 +344,7 @@ def _assembled(spark, d):
 
 def _comparable(rows):
     """Logarithms, angles and deviations to the digits in which two engines agree."""
-    rows = rounded(rows, 4, "production_capacity_log1p")
-    return rounded(rounded(rows, 6, "log1p", "sin(", "cos("), 3, "std_", "_std")
+    return rounded_by(rows, {"production_capacity_log1p": 4, "log1p": 6, "sin(": 6, "cos(": 6, "std_": 3, "_std": 3})
 
 
 @query
@@ -365,19 +366,20 @@ def scoring_features(spark, d):
     return _comparable(rows)
 
 
-def _training_table(spark, d, path=None):
+SOME_WEATHER = {"forecast_variables": V.FORECAST_COLUMNS, "history_variables": V.HISTORY_COLUMNS}
+
+
+def _training_table(spark, d, **weather):
     """The labelled table written by month and read back."""
-    rows = build.training_table(
-        V.all_tables(spark, d), N, EMBARGO_DAYS, MODEL_FOLDS,
-        forecast_variables=V.FORECAST_COLUMNS, history_variables=V.HISTORY_COLUMNS,
-    )
-    path = path or scratch_dir(spark, "training")
+    rows = build.training_table(V.all_tables(spark, d), N, EMBARGO_DAYS, MODEL_FOLDS, **weather)
+    path = scratch_dir(spark, "training")
     io.write_features(rows, path)
     return io.read_features(spark, path)
 
 
 @query
 def training_table(spark, d):
+    """The whole training table, 1,674 columns, written and read back."""
     return _comparable(_training_table(spark, d))
 
 
@@ -576,7 +578,7 @@ MODEL_PARAMS = {"maxIter": 3, "maxDepth": 4, "subsamplingRate": 0.8, "stepSize":
 
 def _model_table(spark, d):
     kept = [*dict.fromkeys(["row_id", "date", "datetime", "target", "fold_info", *MODEL_FEATURES])]
-    return _training_table(spark, d).select(*kept)
+    return _training_table(spark, d, **SOME_WEATHER).select(*kept)
 
 
 def _fitted(table):
@@ -695,12 +697,6 @@ def stream_score(spark, d):
     return replay.stored(spark, out, scored).drop(replay.BATCH)
 
 
-def _with_all(df, wanted, base):
-    """The columns a view lacks, each with values of its own."""
-    missing = [v for v in wanted if v not in df.columns]
-    return df.select("*", *[(F.col(base) + i + 1).alias(v) for i, v in enumerate(missing)])
-
-
 @query
 def live_loop(spark, d):
     """All tables come in as streams, then rows are asked for in two turns, the second after a restart.
@@ -710,19 +706,15 @@ def live_loop(spark, d):
     else a number that is not negative. Beside them are two stored tables and the number of models.
     """
     tables = V.all_tables(spark, d)
-    tables["forecast_weather"] = _with_all(tables["forecast_weather"], FORECAST_VARIABLES, "temperature")
-    tables["historical_weather"] = _with_all(tables["historical_weather"], HISTORY_VARIABLES, "temperature")
     arrivals = {
         n: (_arrivals(tables[n], spark, f"in-{n}", F.col(TABLE_TIME[n])), tables[n].schema) for n in live.STORED
     }
     kept, progress, out, models, jobs = (scratch_dir(spark, n) for n in ("store", "progress", "scores", "models", "jobs"))
     live.collect(spark, arrivals, kept, progress, compact_every=2, files_per_batch=4)
 
-    weather = {"forecast_variables": V.FORECAST_COLUMNS, "history_variables": V.HISTORY_COLUMNS}
-
     def fit(stored):
         rows = land(build.training_table(
-            stored | {"train": stored["target"]}, N, EMBARGO_DAYS, MODEL_FOLDS, **weather), spark, "live-training")
+            stored | {"train": stored["target"]}, N, EMBARGO_DAYS, MODEL_FOLDS, **SOME_WEATHER), spark, "live-training")
         used = rows.select(*dict.fromkeys(["date", "datetime", "target", "fold_info", *MODEL_FEATURES]))
         return J.train_and_explain(spark, used, jobs, MODEL_PARAMS, MODEL_FOLDS)
 
@@ -735,7 +727,7 @@ def live_loop(spark, d):
         asked.filter(F.dayofmonth("prediction_datetime") % 2 == turn).write.mode("append").parquet(folder)
         live.serve(
             spark, (folder, asked.schema), kept, io.conform(tables["location"], SCHEMAS["location"]), models, fit,
-            out, progress, N, **weather,
+            out, progress, N, **SOME_WEATHER,
         )
     now = live.tables(spark, kept, tables["location"])
     scores = replay.stored(spark, out, table_schema(row_id="long", target="double"))

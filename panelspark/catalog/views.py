@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from panelspark.operators.lags import dense_panel
 from panelspark.session import land
-from panelspark.sources.schema import SERIES_KEYS
+from panelspark.sources.schema import HISTORY_WHOLE_NUMBERS, SERIES_KEYS
 
 START = "2024-01-01 00:00:00"
 HOURS = 720
@@ -140,9 +140,51 @@ def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# some variables, for queries whose cost grows with their number
 FORECAST_COLUMNS = ["temperature", "surface_solar_radiation_downwards", "cloudcover_total"]
 HISTORY_COLUMNS = ["temperature", "cloudcover_total", "rain"]
 
+# every variable of a reading, each with values of its own, all whole numbers
+FORECAST_READINGS = {
+    "temperature": "max(l_quantity) - 20",
+    "dewpoint": "min(l_quantity) - 25",
+    "cloudcover_high": "min({cents_discount})",
+    "cloudcover_low": "max(l_linenumber) * 10",
+    "cloudcover_mid": "min(l_linenumber) * 10 + 1",
+    "cloudcover_total": "max({cents_discount})",
+    "10_metre_u_wind_component": "max(l_partkey % 23) - 11",
+    "10_metre_v_wind_component": "min(l_partkey % 29) - 14",
+    "direct_solar_radiation": "min(floor(l_extendedprice))",
+    "surface_solar_radiation_downwards": "max(floor(l_extendedprice))",
+    "snowfall": "max({cents_tax})",
+    "total_precipitation": "sum({cents_tax})",
+}
+HISTORY_READINGS = {
+    "temperature": "max(l_quantity) - 20",
+    "dewpoint": "min(l_quantity) - 25",
+    "rain": "max({cents_tax})",
+    "snowfall": "min({cents_tax})",
+    "surface_pressure": "max(l_linenumber) + 1000",
+    "cloudcover_total": "max({cents_discount})",
+    "cloudcover_low": "min({cents_discount})",
+    "cloudcover_mid": "max(l_linenumber) * 10",
+    "cloudcover_high": "min(l_linenumber) * 10 + 1",
+    "windspeed_10m": "max(l_partkey % 31)",
+    "winddirection_10m": "max(l_partkey % 360)",
+    "shortwave_radiation": "max(floor(l_extendedprice / 100))",
+    "direct_solar_radiation": "min(floor(l_extendedprice / 100))",
+    "diffuse_radiation": "max(l_orderkey % 500)",
+}
+# SQL that both engines read alike
+CENTS_OF = {f"cents_{c}": f"CAST(round(l_{c} * 100) AS BIGINT)" for c in ("discount", "tax")}
+
+
+def _readings(formulas: dict[str, str], whole: dict[str, str] = {}) -> list:
+    return [
+        F.expr(f"CAST({formula.format(**CENTS_OF)} AS {'INT' if name in whole else 'DOUBLE'})").alias(name)
+        for name, formula in formulas.items()
+    ]
+
 
 def forecast_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = (F.col("l_orderkey") % DAYS).cast("int")
@@ -151,11 +193,7 @@ def forecast_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
         _longitude(F.col("l_suppkey")).alias("longitude"),
         (1 + F.col("l_partkey") % 48).cast("int").alias("hours_ahead"),
         (_start() + F.make_dt_interval(day)).alias("origin_datetime"),
-    ).agg(
-        (F.max("l_quantity") - 20).alias("temperature"),
-        F.max(F.floor("l_extendedprice")).cast("double").alias("surface_solar_radiation_downwards"),
-        F.max(cents(F.col("l_discount"))).cast("double").alias("cloudcover_total"),
-    )
+    ).agg(*_readings(FORECAST_READINGS))
 
 
 def historical_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,11 +202,7 @@ def historical_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
         _latitude(F.col("l_suppkey")).alias("latitude"),
         _longitude(F.col("l_suppkey")).alias("longitude"),
         _plus_hours(hour).alias("datetime"),
-    ).agg(
-        (F.max("l_quantity") - 20).alias("temperature"),
-        F.max(cents(F.col("l_discount"))).cast("int").alias("cloudcover_total"),
-        F.max(cents(F.col("l_tax"))).cast("double").alias("rain"),
-    )
+    ).agg(*_readings(HISTORY_READINGS, HISTORY_WHOLE_NUMBERS))
 
 
 def all_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:

@@ -6,15 +6,15 @@ from pyspark.sql import functions as F
 from panelspark.operators.align import hot_keys, left_join_unique
 from panelspark.session import land
 
-_STATS = {"avg": "avg", "sum": "sum", "min": "min", "max": "max", "std": "stddev_samp"}
+STATISTICS = {"avg": "avg", "sum": "sum", "min": "min", "max": "max", "std": "stddev_samp"}
 
 
-def stat_columns(col: str, label: str, stats=tuple(_STATS)) -> list[Column]:
+def stat_columns(col: str, label: str, stats=tuple(STATISTICS)) -> list[Column]:
     """``avg_<label>, sum_<label>, ...`` of ``col``; std of a single value is null."""
-    return [F.expr(f"{_STATS[s]}(`{col}`) AS `{s}_{label}`") for s in stats]
+    return [F.expr(f"{STATISTICS[s]}(`{col}`) AS `{s}_{label}`") for s in stats]
 
 
-def stats(df: DataFrame, keys: list[str], col: str, label: str, stats=tuple(_STATS)) -> DataFrame:
+def stats(df: DataFrame, keys: list[str], col: str, label: str, stats=tuple(STATISTICS)) -> DataFrame:
     return df.groupBy(*keys).agg(*stat_columns(col, label, stats))
 
 
@@ -51,7 +51,7 @@ def marginal_stats(df: DataFrame, keys: list[str], time: str, col: str) -> DataF
     )
     for out in keys:
         over = F.when(F.col("__gid") == bit[out], F.lit(out)).otherwise(over)
-    return grouped.select(over.alias("over_key"), *keys, time, *[f"{s}_{col}" for s in _STATS])
+    return grouped.select(over.alias("over_key"), *keys, time, *[f"{s}_{col}" for s in STATISTICS])
 
 
 def window_mean(df: DataFrame, keys: list[str], means: dict[str, Column]) -> DataFrame:

@@ -99,17 +99,20 @@ def hot_keys(df: DataFrame, on: list[str], rows_per_task: int = 1_000_000, total
     return counts.select(*on, F.ceil(F.col("__count") / rows_per_task).cast("int").alias(_SALTS))
 
 
-def fits_broadcast(df: DataFrame, max_bytes: int = 128 << 20) -> bool:
+def fits_broadcast(df: DataFrame, max_bytes: int = 128 << 20, unjudged: int | None = None) -> bool:
     """Whether the rows of ``df``, counted now, stay under ``max_bytes`` in memory.
 
-    Meant for a table just written, where counting reads file footers only.
+    Meant for a table just written, where counting reads file footers only. ``unjudged``
+    is the size of its columns of open length in a row; a table that has such columns
+    does not fit where it is not given.
     """
     sizes = {"double": 8, "bigint": 8, "timestamp_ntz": 8, "timestamp": 8, "int": 8, "smallint": 8,
              "tinyint": 8, "float": 8, "date": 8, "boolean": 8}
     # rows are held in 8-byte words; anything of open length is not judged here
-    if any(kind not in sizes for _, kind in df.dtypes):
+    open_length = any(kind not in sizes for _, kind in df.dtypes)
+    if open_length and unjudged is None:
         return False
-    per_row = 16 + sum(sizes[kind] for _, kind in df.dtypes) + len(df.columns) // 8
+    per_row = 16 + sum(sizes.get(kind, 0) for _, kind in df.dtypes) + len(df.columns) // 8 + (unjudged or 0)
     return df.count() * per_row <= max_bytes
 
 

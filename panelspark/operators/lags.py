@@ -84,16 +84,22 @@ def lag_structs(
     unit: str = "hour",
     at: DataFrame | None = None,
     blocks: int = 4,
+    daily: dict[str, str] | None = None,
 ) -> DataFrame:
     """``exact_lag`` with the columns of each earlier row still packed together,
-    as ``__lag_<d>``: cheaper to carry until they are needed one by one."""
+    as ``__lag_<d>``: cheaper to carry until they are needed one by one.
+
+    ``daily`` names SQL aggregates over each series' rows of a day (``unit`` hour).
+    They are looked up like ``cols``, and worked out after the shuffle: a block is
+    made of whole days, and a day's rows are copied together.
+    """
+    daily = daily or {}
     longest = max(offsets) * _step(unit)
     shortest = min(offsets) * _step(unit)
     if shortest <= 0:
         raise ValueError("offsets must be positive")
     length = blocks * longest
 
-    values = F.struct(*[F.col(c) for c in cols])
     tick = _ticks(time, unit)
 
     def block(t: Column) -> Column:
@@ -101,14 +107,14 @@ def lag_structs(
 
     if at is None:
         carried = [c for c in df.columns]
-        source = df.select("*", tick.alias(_TICK), values.alias(_VALUES))
-        source = source.select(
+        source = df.select("*", tick.alias(_TICK)).select(
             "*", F.explode(F.sequence(block(F.col(_TICK)), block(F.col(_TICK) + longest))).alias(_BLOCK)
         )
         rows = source.withColumn(_ROW, F.col(_BLOCK) == block(F.col(_TICK)))
     else:
         carried = [c for c in at.columns]
-        history = df.select(*keys, tick.alias(_TICK), values.alias(_VALUES)).select(
+        values = [F.col(c).alias(f"__v_{c}") for c in cols]
+        history = df.select(*keys, tick.alias(_TICK), *values).select(
             "*",
             F.explode(
                 F.sequence(block(F.col(_TICK) + shortest), block(F.col(_TICK) + longest))
@@ -120,12 +126,30 @@ def lag_structs(
         )
         rows = history.unionByName(asked, allowMissingColumns=True)
 
-    over = f"PARTITION BY {', '.join(quoted([*keys, _BLOCK]))} ORDER BY {_TICK}"
-    return rows.selectExpr(
+    # rows of ``at`` have no values of their own
+    held = [c if at is None else f"__v_{c}" for c in cols]
+    by_block = quoted([*keys, _BLOCK])
+    if daily:
+        # one exchange for the days and the lags
+        day = f"PARTITION BY {', '.join(by_block)}, {_TICK} DIV {_step(unit)}"
+        source = {c: f"`{h}`" for c, h in zip(cols, held)}
+        rows = rows.repartition(*[F.col(c) for c in [*keys, _BLOCK]]).selectExpr(
+            "*", *[f"{sql.format(**source)} OVER ({day}) AS `{name}`" for name, sql in daily.items()]
+        )
+    packed = "named_struct(" + ", ".join(f"'{c}', `{h}`" for c, h in zip([*cols, *daily], [*held, *daily])) + ")"
+    if at is not None:
+        packed = f"IF({_ROW}, NULL, {packed})"
+    # of rows at one instant the greatest comes first; the window takes this order as it is
+    placed = rows if daily else rows.repartition(*[F.col(c) for c in [*keys, _BLOCK]])
+    placed = placed.selectExpr("*", f"{packed} AS {_VALUES}").sortWithinPartitions(
+        *keys, _BLOCK, _TICK, F.col(_VALUES).desc_nulls_last()
+    )
+    over = f"PARTITION BY {', '.join(by_block)} ORDER BY {_TICK}"
+    return placed.selectExpr(
         *quoted(carried),
         _ROW,
         *[
-            f"max({_VALUES}) OVER ({over} RANGE BETWEEN {d * _step(unit)} PRECEDING"
+            f"first({_VALUES}) OVER ({over} RANGE BETWEEN {d * _step(unit)} PRECEDING"
             f" AND {d * _step(unit)} PRECEDING) AS __lag_{d}"
             for d in offsets
         ],

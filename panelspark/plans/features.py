@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.calendar import calendar, cyclic, date_index, is_holiday
 from panelspark.operators import lags as L
-from panelspark.operators import ratios
-from panelspark.operators.aggregates import marginals, mean_as, row_index, stats, window_mean
+from panelspark.operators import pivot, ratios
+from panelspark.operators.aggregates import STATISTICS, marginals, mean_as, row_index, window_mean
 from panelspark.operators.align import (
     fits_broadcast,
     hot_keys,
@@ -16,7 +16,6 @@ from panelspark.operators.align import (
     publish_shift_by_hour,
     station_to_county,
 )
-from panelspark.operators.pivot import pivot_stats
 from panelspark.sources.schema import (
     FORECAST_VARIABLES,
     HISTORY_VARIABLES,
@@ -27,6 +26,7 @@ from panelspark.sources.schema import (
 
 CLIENT_KEYS = ["date", "product_type", "county", "is_business"]
 DAY_STATS = [f"{s}_day_target" for s in ("avg", "sum", "min", "max", "std")]
+FORECAST = "__forecast"
 MARGINAL_STATS = [
     f"{s}_{k}_target" for k in SERIES_KEYS for s in ("avg", "sum", "min", "max", "std")
 ]
@@ -75,6 +75,15 @@ def electricity_features(electricity: DataFrame) -> DataFrame:
     )
 
 
+def _located_forecast(weather: DataFrame, stations: DataFrame, variables: list[str], hours: tuple[int, int]) -> DataFrame:
+    lo, hi = hours
+    band = weather.filter(F.col("hours_ahead").between(lo, hi))
+    usable = publish_shift(band, "origin_datetime", 1, "date", to_date=True)
+    return station_to_county(usable, stations).select(
+        "county", "date", "hours_ahead", *[F.col(v).cast("double").alias(v) for v in variables]
+    )
+
+
 def forecast_weather_features(
     weather: DataFrame,
     stations: DataFrame,
@@ -83,13 +92,19 @@ def forecast_weather_features(
 ) -> DataFrame:
     """Statistics over the stations of a county per lead hour, usable the day
     after the forecast was made."""
-    lo, hi = hours
-    band = weather.filter(F.col("hours_ahead").between(lo, hi))
-    usable = publish_shift(band, "origin_datetime", 1, "date", to_date=True)
-    located = station_to_county(usable, stations).select(
-        "county", "date", "hours_ahead", *[F.col(v).cast("double").alias(v) for v in variables]
-    )
-    return pivot_stats(located, ["county", "date"], "hours_ahead", list(range(lo, hi + 1)), variables)
+    located = _located_forecast(weather, stations, variables, hours)
+    return pivot.pivot_stats(located, ["county", "date"], "hours_ahead", list(range(hours[0], hours[1] + 1)), variables)
+
+
+def packed_forecast(
+    weather: DataFrame,
+    stations: DataFrame,
+    variables: list[str] = FORECAST_VARIABLES,
+    hours: tuple[int, int] = LEAD_HOURS,
+) -> DataFrame:
+    """``forecast_weather_features`` with each row's lead hours still in one column; see ``unpack_features``."""
+    located = _located_forecast(weather, stations, variables, hours)
+    return pivot.pack_stats(located, ["county", "date"], "hours_ahead", variables, out=FORECAST)
 
 
 def located_history(history: DataFrame, stations: DataFrame) -> DataFrame:
@@ -127,33 +142,39 @@ def main_features(
     return rows.withColumn("holiday", is_holiday(F.col("date")))
 
 
-def with_current_statistics(target: DataFrame) -> DataFrame:
-    """The panel with its daily and leave-one-key-out statistics at each instant.
+def with_marginals(target: DataFrame) -> DataFrame:
+    """The panel with its leave-one-key-out statistics at each instant.
 
-    A statistic over one key groups at most as many rows as the key has values,
-    because a series has one row per instant; a group with more than a task
-    should hold is spread over several.
+    All series of an instant meet in one exchange, and each statistic is a window
+    inside that partition. Where an instant has more series than a task should hold,
+    the statistics are aggregated apart, with partial reduction, and joined instead;
+    a group with that many rows is then spread over several tasks.
     """
-    panel = target.withColumn("__day", F.to_date("datetime"))
-    by_day = [*SERIES_KEYS, "__day"]
-    panel = left_join_unique(panel, stats(panel, by_day, "target", "day_target"), by_day)
     total = target.count()
+    crowded = hot_keys(target, ["datetime"], total=total)
+    if crowded is None or crowded.isEmpty():
+        windows = [
+            f"{fn}(target) OVER (PARTITION BY datetime, {', '.join(k for k in SERIES_KEYS if k != key)}) AS {s}_{key}_target"
+            for key in SERIES_KEYS for s, fn in STATISTICS.items()
+        ]
+        return target.repartition("datetime").selectExpr("*", *windows)
+    panel = target
     for key, over in marginals(target, SERIES_KEYS, "datetime", "target").items():
         on = [*[k for k in SERIES_KEYS if k != key], "datetime"]
         panel = left_join_unique(panel, over, on, hot=hot_keys(target, on, total=total))
-    return panel.drop("__day")
+    return panel
 
 
 def target_features(target: DataFrame, n_lags: int = 14, at: DataFrame | None = None) -> DataFrame:
     """All lag features of the target, on the rows of ``target`` or of ``at``."""
     own = (target if at is None else at).columns
-    return lag_features(with_current_statistics(target), own, n_lags, at)
+    return lag_features(with_marginals(target), own, n_lags, at)
 
 
 def lag_features(
     enriched: DataFrame, own: list[str], n_lags: int = 14, at: DataFrame | None = None
 ) -> DataFrame:
-    """Lag features from a panel that carries its current statistics.
+    """Lag features from a panel that carries its leave-one-key-out statistics.
 
     The rows keep the columns ``own``. If any of the lags 2..n of the target is
     missing, all lag features of that row are null. Every statistic is looked up
@@ -171,9 +192,10 @@ def packed_lag_features(
     Steps that follow copy 13 packs instead of 325 columns; see ``unpack_lags``.
     """
     offsets = list(range(2, n_lags + 1))
-    looked_up = ["target", *DAY_STATS, *MARGINAL_STATS]
+    looked_up = ["target", *MARGINAL_STATS]
+    days = {f"{s}_day_target": f"{fn}({{target}})" for s, fn in STATISTICS.items()}
     carried = enriched.select(*dict.fromkeys([*SERIES_KEYS, "datetime", *own, *looked_up])) if at is None else enriched
-    packed = L.lag_structs(carried, SERIES_KEYS, "datetime", looked_up, offsets, at=at)
+    packed = L.lag_structs(carried, SERIES_KEYS, "datetime", looked_up, offsets, at=at, daily=days)
 
     present = " AND ".join(f"{L.lagged(d, 'target')} IS NOT NULL" for d in offsets)
     # the statistics stay packed while the narrow target columns are worked on
@@ -186,27 +208,33 @@ def packed_lag_features(
     return L.lag_ratios(L.lag_list_stats(L.lag_diffs(target_lags, n_lags), n_lags))
 
 
-def unpack_lags(df: DataFrame, n_lags: int, also: list[str] = []) -> DataFrame:
-    """Packed statistics as columns of their own, with further expressions ``also``,
-    in one projection of the wide row."""
-    offsets = range(2, n_lags + 1)
-    packs = [f"__lag_{d}" for d in offsets]
-    return df.selectExpr(
-        *L.quoted([c for c in df.columns if c not in packs]),
-        *[f"{L.lagged(d, c)} AS `{c}_lag_{d}`" for d in offsets for c in DAY_STATS + MARGINAL_STATS],
-        *also,
-    )
+def _unpacked_lags(n_lags: int) -> list[str]:
+    return [f"{L.lagged(d, c)} AS `{c}_lag_{d}`" for d in range(2, n_lags + 1) for c in DAY_STATS + MARGINAL_STATS]
+
+
+def unpack_lags(df: DataFrame, n_lags: int) -> DataFrame:
+    """Packed statistics of earlier days as columns of their own."""
+    packs = [f"__lag_{d}" for d in range(2, n_lags + 1)]
+    return df.selectExpr(*L.quoted([c for c in df.columns if c not in packs]), *_unpacked_lags(n_lags))
 
 
-def ratio_expressions(n_lags: int, hours: tuple[int, int] = LEAD_HOURS) -> list[str]:
-    return [
+def unpack_features(
+    df: DataFrame, n_lags: int, variables: list[str] = FORECAST_VARIABLES, hours: tuple[int, int] = LEAD_HOURS
+) -> DataFrame:
+    """Packed lags and lead hours as columns, with the ratios of both, in one projection of the wide row."""
+    leads = list(range(hours[0], hours[1] + 1))
+    packs = [FORECAST, *[f"__lag_{d}" for d in range(2, n_lags + 1)]]
+    return pivot.spread(df, leads, FORECAST).selectExpr(
+        *L.quoted([c for c in df.columns if c not in packs]),
+        *pivot.columns(leads, variables, out=FORECAST),
+        *_unpacked_lags(n_lags),
         *ratios.production_proxy(
-            range(hours[0], hours[1] + 1),
-            "surface_solar_radiation_downwards_hours_ahead_{h}",
-            "temperature_hours_ahead_{h}",
+            leads,
+            pivot.picked("surface_solar_radiation_downwards", "mean", "{h}", FORECAST),
+            pivot.picked("temperature", "mean", "{h}", FORECAST),
         ),
         *ratios.per_capacity(n_lags),
-    ]
+    )
 
 
 def with_side_tables(
@@ -223,17 +251,18 @@ def with_side_tables(
     return with_weather(out, history, panel)
 
 
-def with_weather(rows: DataFrame, weather: DataFrame, panel: DataFrame | None = None) -> DataFrame:
+def with_weather(rows: DataFrame, weather: DataFrame, panel: DataFrame | None = None, packed_bytes: int | None = None) -> DataFrame:
     """A table of one row per date and county joined to ``rows``.
 
     Date and county together are the coarsest join key. A weather table counted
     to be small is broadcast and the rows stay where they are. Otherwise both
     sides are shuffled, and a date and county with more rows than a task should
     hold is spread over several. ``panel`` are the rows as they were before any
-    join: it is cheaper to count dates and counties there.
+    join: it is cheaper to count dates and counties there. ``packed_bytes`` is the size of
+    a row's packed column, where it has one.
     """
     on = ["date", "county"]
-    if fits_broadcast(weather):
+    if fits_broadcast(weather, unjudged=packed_bytes):
         return left_join_unique(rows, F.broadcast(weather), on)
     counted = rows if panel is None else panel.withColumn("date", F.to_date("datetime"))
     return left_join_unique(rows, weather, on, hot=hot_keys(counted.select(*on), on))

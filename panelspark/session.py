@@ -17,8 +17,6 @@ DEFAULTS = {
     # Parquet is some four times smaller on disk than in memory: without this a
     # side is judged small enough to broadcast by its compressed size
     "spark.sql.sources.fileCompressionFactor": "4",
-    # the pivot's first aggregation has more than 100 fields
-    "spark.sql.codegen.maxFields": "400",
 }
 
 SCRATCH_SETTING = "spark.checkpoint.dir"

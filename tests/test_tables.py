@@ -122,7 +122,7 @@ def test_large_weather_tables_are_shuffled_not_broadcast(spark, monkeypatch):
     left = spark.range(100).select((F.col("id") % 7).alias("county"), F.lit(date(2024, 1, 1)).alias("date"), "id")
     weather = spark.range(7).select(F.col("id").alias("county"), F.lit(date(2024, 1, 1)).alias("date"), F.rand(1).alias("w"))
     small = P.with_weather(left, weather)
-    monkeypatch.setattr(P, "fits_broadcast", lambda df: False)
+    monkeypatch.setattr(P, "fits_broadcast", lambda df, unjudged=None: False)
     large = P.with_weather(left, weather)
     assert "ResolvedHint (strategy=broadcast)" in small._jdf.queryExecution().toString()
     assert "strategy=broadcast" not in large._jdf.queryExecution().toString()
