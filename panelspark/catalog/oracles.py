@@ -348,6 +348,12 @@ SQL = {
         SELECT l_orderkey, CAST(l_linenumber AS SMALLINT) AS l_linenumber, CAST(trunc(l_quantity) AS SMALLINT) AS l_quantity,
                CAST(trunc(l_extendedprice) AS INTEGER) AS l_extendedprice, CAST(l_shipdate AS DATE) AS l_shipdate
         FROM lineitem""",
+    "landed_csv": """
+        SELECT 'lines' AS what, strftime(l_shipdate, '%Y-%m') AS month, count(*) AS n_rows, CAST(sum(l_orderkey) AS BIGINT) AS keys,
+               CAST(sum(l_quantity) AS DOUBLE) AS amount
+        FROM lineitem WHERE l_orderkey % 50 NOT IN (7, 9) GROUP BY ALL
+        UNION ALL SELECT 'bad', 'none', count(*), 0, 0 FROM lineitem WHERE l_orderkey % 50 IN (7, 9) HAVING count(*) > 0
+        UNION ALL SELECT 'train', strftime(datetime, '%Y-%m'), count(*), CAST(sum(row_id) AS BIGINT), sum(target) FROM panel GROUP BY ALL""",
     "parse_epoch_or_iso": "SELECT event_id, ts AS parsed FROM events",
     "lookback_filter": """
         SELECT l_orderkey, l_linenumber, l_partkey, l_shipdate FROM lineitem,

@@ -25,6 +25,7 @@ from panelspark.operators.lags import clock_micros
 from panelspark.plans import build
 from panelspark.plans import features as P
 from panelspark.session import land, scratch_dir
+from panelspark.sources import landing
 from panelspark.sources import tables as io
 from panelspark.sources.schema import (
     SCHEMAS,
@@ -89,6 +90,38 @@ def conform_types(spark, d):
     return io.conform(typed, narrow).union(io.conform(text, narrow))
 
 
+@query
+def landed_csv(spark, d):
+    """Line items and the panel written as CSV, landed by month, and read back, the second time from Parquet.
+
+    Planted: columns in another order and one more, whole numbers written as decimals, and records that do not fit.
+    """
+    lines = V.read(spark, d, "lineitem")
+    schema = table_schema(l_orderkey="long", l_linenumber="short", l_suppkey="int", l_quantity="double", l_shipdate="timestamp")
+    text = lines.select(
+        F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss").alias("l_shipdate"),
+        F.when(F.col("l_orderkey") % 50 == 7, F.lit("many")).otherwise(F.col("l_quantity").cast("string")).alias("l_quantity"),
+        F.col("l_returnflag"),
+        F.concat(F.col("l_orderkey").cast("string"), F.when(F.col("l_orderkey") % 3 == 0, ".0").otherwise("")).alias("l_orderkey"),
+        F.when(F.col("l_orderkey") % 50 == 9, F.lit("1.5")).otherwise(F.col("l_suppkey").cast("string")).alias("l_suppkey"),
+        "l_linenumber",
+    )
+    source, folder = f"{scratch_dir(spark, 'csv')}/lines.csv", scratch_dir(spark, "landed")
+    text.write.option("header", True).csv(source)
+    landing.landed(spark, "lines", source, folder, schema, "l_shipdate")
+    good, bad = landing.landed(spark, "lines", source, folder, schema, "l_shipdate")
+    panel = V.panel(spark, d)
+    train = f"{scratch_dir(spark, 'csv')}/train.csv"
+    panel.select("row_id", "datetime", "target", *reversed(SERIES_KEYS)).write.option("header", True).csv(train)
+    main = io.read_table(spark, "train", train, folder)
+    return (
+        good.groupBy(F.lit("lines").alias("what"), F.date_format("l_shipdate", "yyyy-MM").alias("month")).agg(
+            F.count("*").alias("n_rows"), F.sum("l_orderkey").alias("keys"), F.sum("l_quantity").alias("amount"))
+        .union(bad.select(F.lit("bad"), F.lit("none")).groupBy("bad", "none").agg(F.count("*"), F.lit(0), F.lit(0.0)))
+        .union(main.groupBy(F.lit("train"), F.date_format("datetime", "yyyy-MM")).agg(F.count("*"), F.sum("row_id"), F.sum("target")))
+    )
+
+
 @query
 def parse_epoch_or_iso(spark, d):
     events = V.read(spark, d, "events")
@@ -371,9 +404,11 @@ SOME_WEATHER = {"forecast_variables": V.FORECAST_COLUMNS, "history_variables": V
 
 def _training_table(spark, d, **weather):
     """The labelled table written by month and read back."""
-    rows = build.training_table(V.all_tables(spark, d), N, EMBARGO_DAYS, MODEL_FOLDS, **weather)
+    tables = V.all_tables(spark, d)
+    guard = build.guarded(tables)
+    rows = build.training_table(tables, N, EMBARGO_DAYS, MODEL_FOLDS, guard=guard, **weather)
     path = scratch_dir(spark, "training")
-    io.write_features(rows, path)
+    io.write_features(rows, path, guard=guard)
     return io.read_features(spark, path)
 
 

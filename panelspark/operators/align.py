@@ -8,7 +8,7 @@ spread over several tasks first.
 
 from datetime import timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 _SALT = "__salt"
@@ -155,6 +155,36 @@ def duplicate_keys(df: DataFrame, on: list[str]) -> DataFrame:
     return df.groupBy(*on).agg(F.count("*").alias("n_rows")).filter(F.col("n_rows") > 1)
 
 
+class FanoutGuard:
+    """Counts rows before and after a chain of joins while the result is written, without a job of its own.
+
+    ``sides`` are the joined tables with the keys that must be unique in each. After the
+    write, ``check`` compares the two counts. Only if they differ are the sides looked
+    through, and one that has a key twice is an error; tasks that ran twice may count
+    rows twice, which is none. A guard serves one write.
+    """
+
+    def __init__(self, sides: dict[str, tuple[DataFrame, list[str]]]):
+        self.sides = sides
+        self._in, self._out = Observation(), Observation()
+
+    def enter(self, df: DataFrame) -> DataFrame:
+        return df.observe(self._in, F.count(F.lit(1)).alias("rows"))
+
+    def leave(self, df: DataFrame) -> DataFrame:
+        return df.observe(self._out, F.count(F.lit(1)).alias("rows"))
+
+    @property
+    def counts(self) -> tuple[int, int]:
+        return self._in.get["rows"], self._out.get["rows"]
+
+    def check(self) -> None:
+        before, after = self.counts
+        if before != after:
+            for name, (df, on) in self.sides.items():
+                assert_unique(df, on, name)
+
+
 def assert_unique(df: DataFrame, on: list[str], name: str) -> None:
     if not duplicate_keys(df, on).isEmpty():
         raise ValueError(f"{name} has more than one row for some {on}")

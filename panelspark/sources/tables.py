@@ -4,7 +4,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelspark.operators.align import FanoutGuard
 from panelspark.operators.upsert import dedupe
+from panelspark.session import discard
+from panelspark.sources.landing import landed
 from panelspark.sources.schema import BATCH_RENAMES, SCHEMAS, TABLE_KEYS
 
 # --- fixed values: file name of each table in a folder of CSV files ---
@@ -31,22 +34,28 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).csv(path)
 
 
-def read_table(spark: SparkSession, name: str, path: str) -> DataFrame:
+def read_table(spark: SparkSession, name: str, path: str, landing: str | None = None) -> DataFrame:
     """One declared table from Parquet or CSV, projected and cast.
 
-    ``path`` is a ``.csv`` file, or a Parquet file or folder.
+    ``path`` is a ``.csv`` file, or a Parquet file or folder. With a folder ``landing``
+    a CSV file is parsed once and read from there afterwards; a bad record raises.
     """
-    raw = read_csv(spark, path) if path.endswith(".csv") else spark.read.parquet(path)
-    table = conform(raw, SCHEMAS[name])
+    if landing and path.endswith(".csv"):
+        table, bad = landed(spark, name, path, landing)
+        example = bad.first()
+        if example is not None:
+            raise ValueError(f"{path} has records that do not fit {name}, such as {example[0]!r}")
+    else:
+        table = conform(read_csv(spark, path) if path.endswith(".csv") else spark.read.parquet(path), SCHEMAS[name])
     if name == "historical_weather":
         # the published file repeats some station hours
         table = dedupe(table, TABLE_KEYS[name])
     return table
 
 
-def read_tables(spark: SparkSession, folder: str, names=tuple(CSV_FILES)) -> dict[str, DataFrame]:
+def read_tables(spark: SparkSession, folder: str, names=tuple(CSV_FILES), landing: str | None = None) -> dict[str, DataFrame]:
     """All tables of a folder of CSV files, and the target taken from ``train``."""
-    tables = {n: read_table(spark, n, f"{folder.rstrip('/')}/{CSV_FILES[n]}") for n in names}
+    tables = {n: read_table(spark, n, f"{folder.rstrip('/')}/{CSV_FILES[n]}", landing) for n in names}
     if "train" in tables:
         tables["target"] = project(tables["train"], "target")
     return tables
@@ -115,22 +124,31 @@ def compact_types(df: DataFrame, keep: tuple[str, ...] = ("target",)) -> DataFra
 
 
 def write_features(
-    df: DataFrame, path: str, mode: str = "errorifexists", by_month: bool = True, rebalance: bool = False
+    df: DataFrame, path: str, mode: str = "errorifexists", by_month: bool = True, rebalance: bool = False,
+    guard: FanoutGuard | None = None,
 ) -> None:
     """The feature table as Parquet, one folder per month of ``date``.
 
+    A ``guard`` that the table was built with is asked once it is written; if a join
+    multiplied rows, the table is removed again and an error raised.
+
     Tasks of the lag step hold a few months each and so write few files.
     ``rebalance`` shuffles once more to even out the files; large months are
     split over several tasks.
     """
-    if not by_month:
+    if by_month:
+        df = df.withColumn("date_month", F.date_format("date", "yyyy-MM"))
+        if rebalance:
+            df = df.hint("rebalance", "date_month")
+        df.write.mode(mode).partitionBy("date_month").parquet(path)
+    else:
         df.write.mode(mode).parquet(path)
-        return
-    month = F.date_format("date", "yyyy-MM")
-    df = df.withColumn("date_month", month)
-    if rebalance:
-        df = df.hint("rebalance", "date_month")
-    df.write.mode(mode).partitionBy("date_month").parquet(path)
+    if guard is not None:
+        try:
+            guard.check()
+        except ValueError:
+            discard(df.sparkSession, path)
+            raise
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
