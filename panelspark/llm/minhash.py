@@ -31,7 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.llm.components import components
-from panelspark.llm.hashing import mix, pieces, sequence_hash, shingle_sets, word_hashes
+from panelspark.llm.hashing import mix, pieces, sequence_hash, shingle_sets, word_keys
+from panelspark.llm.membership import Members
 from panelspark.session import land
 
 WIDTH = 5
@@ -90,7 +91,7 @@ def band_keys(signature: np.ndarray, bands: int, values: int) -> np.ndarray:
 
 def _described(texts: pa.Array, similar: int) -> list[pa.Array]:
     n_bands, values = banding(similar)
-    words, first = word_hashes(texts, lower=True)
+    words, first = word_keys(texts, lower=True)
     high, low = sequence_hash(words, first, 1), sequence_hash(words, first, 2)
     hashes, cut = shingle_sets(texts, WIDTH)
     size = np.diff(cut)
@@ -193,7 +194,8 @@ def _clusters_in_blocks(clusters: DataFrame, block: int) -> DataFrame:
     sizes = clusters.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     return (
-        clusters.join(sizes, "component")
+        # with an exchange of its own on either side, the optimizer can split the tasks of a large cluster
+        clusters.join(sizes.repartition(F.xxhash64("component")), "component")
         .select("node", "component", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), other.alias("other"))
         .select("node", "component", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
     )
@@ -209,7 +211,8 @@ def classes(spark: SparkSession, documents: DataFrame, similar: int = SIMILAR) -
     least = banded.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most")
     proposed = banded.join(least, "band").where("node <> least").select("node", "least").distinct()
     clusters = components(spark, proposed)
-    texts = documents.select(F.col("doc_id").alias("node"), "text")
+    # only texts that may be of a cluster's members move
+    texts = Members(clusters.select("node")).possible(documents.select(F.col("doc_id").alias("node"), "text"), "node")
     links = (
         _clusters_in_blocks(clusters, BLOCK).join(texts, "node")
         .groupBy("component", "one", "two").applyInArrow(_compare(similar), "a long, b long")
@@ -228,9 +231,11 @@ def classes(spark: SparkSession, documents: DataFrame, similar: int = SIMILAR) -
 
 def deduplicated(spark: SparkSession, documents: DataFrame, similar: int = SIMILAR) -> DataFrame:
     """The rows of documents of which their component keeps the id, with all their columns."""
-    dropped = classes(spark, documents, similar).where("NOT kept").select("doc_id").distinct()
-    # as many ids as there are near copies: never sent to every task, however few they look
-    return documents.join(dropped.hint("shuffle_hash"), "doc_id", "left_anti").select(documents.columns)
+    dropped = land(classes(spark, documents, similar).where("NOT kept").select("doc_id").distinct(), spark, "minhash-dropped")
+    members = Members(dropped)
+    # most rows are none of the dropped for sure and stay where they are; the ids of the others are compared
+    unsure = members.possible(documents, "doc_id").join(dropped.hint("shuffle_hash"), "doc_id", "left_anti")
+    return members.impossible(documents, "doc_id").unionByName(unsure.select(documents.columns))
 
 
 def oracle(similar: int = SIMILAR) -> str:
