@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm.hashing import text_bytes, window_hashes, windows_by_text, word_hashes, word_spans
+from panelspark.llm.hashing import text_bytes, window_hashes, windows_by_text, word_keys, word_spans
 
 WINDOW = 13
 PERIOD = 7
@@ -72,7 +72,7 @@ class Block:
         self.row_ids, self.texts = ids, texts
         known = ~np.asarray(ids.is_null())
         self.ids = np.asarray(ids.fill_null(0), dtype=np.int64)
-        self.words, self.first = word_hashes(texts)
+        self.words, self.first = word_keys(texts)
         self.size = np.diff(self.first) * known  # rows without an id have no windows
 
     def _whole(self, width: int):

@@ -5,17 +5,13 @@ lower-cased. In UTF-8 that is a run of bytes, so no text becomes Python words.
 Terms are told apart by their bytes: a key only proposes that two are equal.
 """
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 
-from panelspark.llm.hashing import lower_ascii, mix, text_bytes
+from panelspark.llm.hashing import LOWEST, by_eight, lower_ascii, span_keys, text_bytes
 
 _IN_TERM = np.zeros(256, dtype=bool)
 _IN_TERM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
-# the lowest 0 to 8 bytes of a word of eight
-_LOWEST = np.array([(1 << (8 * i)) - 1 for i in range(9)], dtype=np.uint64)
 _LONG = 1024
 
 
@@ -35,9 +31,7 @@ class Terms:
         self.starts, self.ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
         self.first = np.searchsorted(self.starts, at)
         self.sizes = self.ends - self.starts
-        self._padded = np.concatenate((raw, np.zeros(8, dtype=np.uint8)))
-        # the eight bytes from each position on
-        self.eight = np.ndarray((len(raw) + 1,), dtype="<u8", buffer=self._padded, strides=(1,))
+        self._padded, self.eight = by_eight(raw)
 
     def __len__(self):
         return len(self.starts)
@@ -46,19 +40,8 @@ class Terms:
         return self._padded[self.starts[i] : self.ends[i]].tobytes()
 
     def keys(self, which: np.ndarray | slice = slice(None), seed: int = 0) -> np.ndarray:
-        """A 64-bit key of each of the terms ``which``; every eight bytes are scrambled before the next join."""
-        starts, sizes = self.starts[which], self.sizes[which]
-        out = mix(sizes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(seed))
-        out = mix(out ^ (self.eight[starts] & _LOWEST[np.minimum(sizes, 8)]))
-        more, step = np.flatnonzero(sizes > 8), 8
-        while len(more) and step < _LONG:
-            out[more] = mix(out[more] ^ (self.eight[starts[more] + step] & _LOWEST[np.minimum(sizes[more] - step, 8)]))
-            step += 8
-            more = more[sizes[more] > step]
-        for i in more:
-            rest = self._padded[starts[i] + step : starts[i] + sizes[i]]
-            out[i] ^= np.uint64(int.from_bytes(hashlib.blake2b(rest.tobytes(), digest_size=8).digest(), "little"))
-        return out
+        """A 64-bit key of each of the terms ``which``."""
+        return span_keys(self._padded, self.eight, self.starts[which], self.sizes[which], seed)
 
     def equal(self, mine: np.ndarray, other: "Terms", theirs: np.ndarray) -> np.ndarray:
         """Whether the terms ``mine`` have the same bytes as the terms ``theirs`` of ``other``."""
@@ -72,7 +55,7 @@ class Terms:
                 break
             a = self.eight[self.starts[mine[left]] + step]
             b = other.eight[other.starts[theirs[left]] + step]
-            alike = ((a ^ b) & _LOWEST[np.minimum(sizes[left] - step, 8)]) == 0
+            alike = ((a ^ b) & LOWEST[np.minimum(sizes[left] - step, 8)]) == 0
             same[left[~alike]] = False
             step += 8
             left = left[alike & (sizes[left] > step)]

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from panelspark.llm.bpe import WHITE_SPACE, byte_symbols
-from panelspark.llm.hashing import mix, pieces, span_hashes, text_bytes
+from panelspark.llm.hashing import LOWEST, by_eight, mix, pieces, span_keys, text_bytes
 from panelspark.llm.memo import Memo
 from panelspark.llm.substrings import block_bounds
 from panelspark.session import scratch_dir
@@ -194,8 +194,8 @@ class Encoder:
     def encode_all(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and how many each text has.
 
-        Stretches are told apart by their hash, length and first letters. Each different one is encoded once,
-        and all ids are then put in place together. Texts with other blanks are encoded one by one.
+        Stretches of equal keys are compared by their bytes. Each different one is encoded once, and all ids are
+        then put in place together. Texts with other blanks are encoded one by one, as are all should keys collide.
         """
         plain = [t if t and t[0] != " " and t[-1] != " " and not _double_blank(t) and not any(s in t for s in self.special) else "" for t in texts]
         alone = {i: self.encode(t) for i, t in enumerate(texts) if t and not plain[i]}
@@ -205,17 +205,21 @@ class Encoder:
         starts = np.sort(np.concatenate((at[full], blank + 1)))
         ends = np.sort(np.concatenate((at[full + 1], blank)))
         follows = ~np.isin(starts, at[full], assume_unique=True)  # a blank stands before it
-        padded = np.concatenate((raw, np.zeros(8, dtype=np.uint8)))
-        head = np.zeros(len(starts), dtype=np.uint64)
-        for k in range(8):
-            head |= np.where(starts + k < ends, padded[starts + k], 0).astype(np.uint64) << np.uint64(8 * k)
-        key = mix(span_hashes(raw, starts, ends) + follows.astype(np.uint64)) ^ mix(head) + (ends - starts).astype(np.uint64)
-        name, distinct = pd.factorize(key)
+        sizes = ends - starts
+        padded, eight = by_eight(raw)
+        name, distinct = pd.factorize(mix(span_keys(padded, eight, starts, sizes) + follows.astype(np.uint64)))
         chosen = np.empty(len(distinct), dtype=np.int64)
         chosen[name] = np.arange(len(name))
-        same = (head == head[chosen][name]) & (ends - starts == (ends - starts)[chosen][name]) & (follows == follows[chosen][name])
-        if not same.all():
-            raise RuntimeError("two stretches share a hash")
+        like = chosen[name]
+        same = (sizes == sizes[like]).all() and (follows == follows[like]).all()
+        left, step = np.flatnonzero(like != np.arange(len(name))) if same else np.empty(0, dtype=np.int64), 0
+        while len(left) and same:
+            alike = (eight[starts[left] + step] ^ eight[starts[like[left]] + step]) & LOWEST[np.minimum(sizes[left] - step, 8)]
+            same, step = not alike.any(), step + 8
+            left = left[sizes[left] > step]
+        if not same:
+            each = [np.frombuffer(self.encode(t), dtype=self.type) for t in texts]
+            return np.concatenate(each), np.array([len(e) for e in each], dtype=np.int64)
         data = raw.tobytes()
         parts = [
             self._stretch((" " if f else "") + data[i:j].decode("utf-8"))
@@ -230,10 +234,10 @@ class Encoder:
         order = np.argsort(text, kind="stable")
         name, text = name[order], text[order]
         width = np.dtype(self.type).itemsize
-        sizes = np.array([len(p) for p in parts], dtype=np.int64) // width
+        length = np.array([len(p) for p in parts], dtype=np.int64) // width
         flat = np.frombuffer(b"".join(parts), dtype=self.type)
-        begin = np.concatenate(([0], np.cumsum(sizes)))[:-1]
-        count = sizes[name]
+        begin = np.concatenate(([0], np.cumsum(length)))[:-1]
+        count = length[name]
         upto = np.cumsum(count)
         source = np.repeat(begin[name] - (upto - count), count) + np.arange(int(count.sum()))
         return flat[source], np.bincount(text, weights=count, minlength=len(texts)).astype(np.int64)

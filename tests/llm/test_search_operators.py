@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from panelspark.llm import codebooks, decontaminate, lexical
 from panelspark.llm.queries import ORACLES, QUERIES
@@ -342,3 +343,55 @@ def test_each_prefix_is_visited_once(monkeypatch):
 
 def test_registered_with_sql():
     assert {"op11_lexical", "op12_codebooks", "op13_decontaminate"} <= set(QUERIES) & set(ORACLES)
+
+
+# ---------------------------------------------------------------- texts that linear hashes confuse
+
+def test_sequences_and_windows_of_patterns_differ():
+    from panelspark.llm import hashing
+    a = thue_morse(4096)
+    b = a.translate(str.maketrans("ab", "ba"))
+    texts = pa.array([" ".join(a), " ".join(b), " ".join(a), "", "a", "a a", "a a a", "x " + a[:2048], "x " + b[:2048]])
+    words, first = hashing.word_keys(texts)
+    for seed in (1, 2):
+        keys = hashing.sequence_hash(words, first, seed).tolist()
+        assert keys[0] == keys[2] and len(set(keys)) == 8
+    alone = [hashing.sequence_hash(*hashing.word_keys(texts[i : i + 1]), 1)[0] for i in range(len(texts))]
+    assert alone == hashing.sequence_hash(words, first, 1).tolist()
+
+
+def test_operators_tell_patterns_apart(spark):
+    """Two words of 2,048 letters, and two texts of 4,096 words, that sums of powers cannot tell apart."""
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+    from panelspark.llm import minhash, substrings, wavelet
+    a = thue_morse(2048)
+    b = a.translate(str.maketrans("ab", "ba"))
+    tail = " ".join(f"w{i}" for i in range(12))
+    docs = documents(spark, [f"{a} {tail}", f"{b} {tail}", " ".join(thue_morse(4096)), " ".join(thue_morse(4096).translate(str.maketrans("ab", "ba")))])
+    assert [r["n_removed"] for r in substrings.remove_repeats(spark, docs).orderBy("doc_id").take(2)] == [0, 0]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    flat, count = wavelet.encoder(path).encode_all([f"{a} x", f"{b} x", f"{a} x"])
+    want = [library.encode(t, add_special_tokens=False).ids for t in (f"{a} x", f"{b} x", f"{a} x")]
+    assert flat.tolist() == sum(want, []) and count.tolist() == [len(w) for w in want]
+    first, second = (r["n_shingles"] for r in minhash.classes(spark, docs.where("doc_id >= 2")).orderBy("doc_id").collect())
+    assert first == second
+    from panelspark.llm.hashing import sequence_hash, word_keys
+    keys = word_keys(pa.array([" ".join(thue_morse(4096)), " ".join(thue_morse(4096).translate(str.maketrans("ab", "ba")))]))
+    assert len(set(sequence_hash(*keys, 1).tolist())) == 2
+
+
+def test_members_are_never_missed(spark):
+    from panelspark.llm.membership import Members
+    ids = spark.range(0, 3000, 3).select(F.col("id").alias("node"))
+    rows = spark.range(3000).select("id").union(spark.createDataFrame([(None,)], "id long"))
+    members = Members(ids)
+    some, others = members.possible(rows, "id"), members.impossible(rows, "id")
+    kept = {r["id"] for r in some.collect()}
+    assert {i for i in range(0, 3000, 3)} <= kept and len(kept) < 1400
+    assert some.count() + others.count() == 3001
+    assert not kept & {r["id"] for r in others.where("id IS NOT NULL").collect()}
+    empty = Members(ids.limit(0))
+    assert empty.possible(rows, "id").count() == 0 and empty.impossible(rows, "id").count() == 3001
