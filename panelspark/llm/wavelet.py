@@ -16,7 +16,9 @@ by text. An empty table gives files without shards. Only doc_id and text are rea
 """
 
 import functools
+import json
 import re
+import unicodedata
 from array import array
 
 import numpy as np
@@ -139,8 +141,33 @@ class WaveletMatrix:
         return now
 
 
+@functools.cache
+def newer_characters() -> tuple[frozenset[str], dict[int, str]]:
+    """What this pattern library calls letters or numbers and the tables of the running Python do not know.
+
+    The tokenizers library does not know these either: they belong to no class there. The second value maps
+    them to a character of private use, which has no class.
+    """
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    found = frozenset(c for c in regex.findall(r"[\p{L}\p{N}]", every) if unicodedata.category(c) == "Cn")
+    return found, dict.fromkeys(map(ord, found), "\ue000")
+
+
+class Splitter:
+    """Finds the pieces of a pattern, in which no newer character counts as a letter or number."""
+
+    def __init__(self, pattern: str):
+        self.pattern = regex.compile(pattern)
+
+    def __call__(self, text: str) -> list[str]:
+        newer, without_class = newer_characters()
+        if text.isascii() or newer.isdisjoint(text):
+            return self.pattern.findall(text)
+        return [text[m.start() : m.end()] for m in self.pattern.finditer(text.translate(without_class))]
+
+
 _double_blank = re.compile(r"\s\s").search
-_pieces = regex.compile(PATTERN).findall
+_pieces = Splitter(PATTERN)
 _single_blanks = re.compile(r"(?<=\S) (?=\S)").split
 
 
@@ -154,6 +181,11 @@ class Encoder:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        steps, model = spec["pre_tokenizer"] or {}, spec["model"]
+        if spec["normalizer"] or steps.get("type") != "ByteLevel" or not steps["use_regex"] or steps["add_prefix_space"] or model["dropout"] or model["ignore_merges"]:
+            raise ValueError("not a byte-level BPE file of the kind that this operator encodes")
         self.pieces = Memo(PIECES)
         self.size = self.tokenizer.get_vocab_size()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.special]
