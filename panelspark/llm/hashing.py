@@ -8,6 +8,7 @@ that Arrow hands over; no text is turned into Python words.
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
@@ -138,6 +139,28 @@ def span_keys(padded: np.ndarray, eight: np.ndarray, starts: np.ndarray, sizes:
     return out
 
 
+def distinct_spans(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The class of each span, spans of equal bytes sharing one, and a span of each class.
+
+    Keys propose that spans are equal and their bytes decide: one that only shares the key is a class of its own.
+    """
+    padded, eight = by_eight(raw)
+    name, distinct = pd.factorize(span_keys(padded, eight, starts, sizes))
+    chosen = np.empty(len(distinct), dtype=np.int64)
+    chosen[name] = np.arange(len(name))
+    like = chosen[name]
+    differs = sizes != sizes[like]
+    left, step = np.flatnonzero(~differs & (like != np.arange(len(name)))), 0
+    while len(left):
+        unlike = ((eight[starts[left] + step] ^ eight[starts[like[left]] + step]) & LOWEST[np.minimum(sizes[left] - step, 8)]) != 0
+        differs[left[unlike]] = True
+        step += 8
+        left = left[~unlike & (sizes[left] > step)]
+    alone = np.flatnonzero(differs)
+    name[alone] = len(chosen) + np.arange(len(alone))
+    return name, np.concatenate((chosen, alone))
+
+
 def word_keys(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """``span_keys`` of every word, and the word number at which each text begins (one more than texts)."""
     raw, at = text_bytes(texts)

@@ -166,6 +166,49 @@ def test_long_words_and_pairs(word_tokenizer):
     assert len(v.encode("a" * 300_000)) > 0
 
 
+def some_characters():
+    """Every 31st, all of the first pages, and every fifth that the pattern library knows and Python does not."""
+    newer = sorted(map(ord, wavelet.newer_characters()[0]))
+    return [chr(c) for c in sorted({*range(0, 0x110000, 31), *range(0x600), *newer[::5]}) if not 0xD800 <= c < 0xE000]
+
+
+def test_bpe_equals_the_library_on_characters_of_every_age(word_tokenizer):
+    texts = [f"a{c}b {c}1 é{c}\u0323." for c in some_characters()]
+    ids, count = bpe.vocabulary(WORD).encode_all(pa.array(texts))
+    for text, got in zip(texts, np.split(ids, np.cumsum(count)[:-1])):
+        assert got.tolist() == word_tokenizer.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
+def test_bpe_of_many_texts_at_once(table, word_tokenizer, monkeypatch):
+    texts = ["<|endoftext|>", None, "", " ", "x <|startoftext|>y", "a" * 500, *table["text"][:200], "it's", "  it's\n"]
+    want = [word_tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    v = bpe.Vocabulary(WORD)
+    for slots, short in ((20, 64), (4, 3)):  # a small memory of pairs forgets, short pieces become long ones
+        monkeypatch.setattr(bpe, "SLOTS", slots)
+        monkeypatch.setattr(bpe, "SHORT", short)
+        v.asked = np.full(1 << slots, -1, dtype=np.int64)
+        ids, count = v.encode_all(pa.array(texts, type=pa.string()))
+        assert [g.tolist() for g in np.split(ids, np.cumsum(count)[:-1])] == want
+    assert v.encode_all(pa.array([], type=pa.string()))[0].tolist() == []
+
+
+def test_distinct_spans_trust_bytes_only(monkeypatch):
+    raw = np.frombuffer(b"abcabcabdxyzabc123456789012345678901", dtype=np.uint8)
+    starts, sizes = np.array([0, 3, 6, 9, 12, 15, 25, 35]), np.array([3, 3, 3, 3, 3, 10, 10, 1])
+    spans = [raw[i : i + n].tobytes() for i, n in zip(starts, sizes)]
+    for keys in (hashing.span_keys, lambda p, e, s, z, seed=0: np.zeros(len(s), dtype=np.uint64)):
+        monkeypatch.setattr(hashing, "span_keys", keys)
+        name, chosen = hashing.distinct_spans(raw, starts, sizes)
+        assert [spans[chosen[n]] for n in name] == spans
+
+
+def test_other_kinds_of_files_are_refused():
+    with pytest.raises(ValueError):
+        bpe.Vocabulary(BYTE)
+    with pytest.raises(ValueError):
+        wavelet.Encoder(WORD)
+
+
 def test_bpe_columns(spark):
     df = documents(spark, [None, "", " \n ", LONG, "Hello", "Hello"])
     both = df.select(bpe.encode(F.col("text"), WORD).alias("ids"), bpe.encode_packed(F.col("text"), WORD).alias("packed"))
@@ -210,6 +253,14 @@ def test_encoder_equals_the_library():
         assert got.tolist() == want == np.frombuffer(e.encode(text), dtype=e.type).tolist(), repr(text)
 
 
+def test_encoder_equals_the_library_on_characters_of_every_age():
+    e, t = wavelet.encoder(BYTE), Tokenizer.from_file(BYTE)
+    texts = [f"a{c}b {c}1 {c}." for c in some_characters()]
+    ids, count = e.encode_all(texts)
+    for text, got in zip(texts, np.split(ids, np.cumsum(count)[:-1])):
+        assert got.tolist() == t.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
 def brute_tokens(rows):
     t, at, out = Tokenizer.from_file(BYTE), 0, []
     for doc_id, text in rows:
