@@ -54,7 +54,7 @@ END = 256  # closes a word inside the automaton, after the 256 bytes
 SYMBOLS = 257
 LAST_PLANES = 0x40000
 SHORT = 64  # bytes of a piece whose table is worked out together with others
-TEXT_BYTES = 1 << 23  # of texts encoded together
+TEXT_BYTES = 1 << 22  # of texts encoded together
 SLOTS = 20  # bits of a place in the memory of pairs
 INFINITE = 1 << 60
 
