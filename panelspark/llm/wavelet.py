@@ -38,8 +38,8 @@ from panelspark.session import scratch_dir
 END_ID = 0
 SHARD_TOKENS = 1 << 22
 STEP = 512  # bits between two stored ranks
-TEXT_BYTES = 1 << 23  # encoded together, so that the arrays of a block of long texts stay small
-PIECES = 300_000  # remembered, in each of two generations
+TEXT_BYTES = 1 << 21  # encoded together, so that the arrays of a block of long texts stay small
+PIECES = 150_000  # remembered, in each of two generations
 
 # Fixed value of the vocabulary's kind: what splits a text before the merges, white space spelt out.
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE_SPACE}\p{{L}}\p{{N}}]+|[{WHITE_SPACE}]+(?![^{WHITE_SPACE}])|[{WHITE_SPACE}]+"
