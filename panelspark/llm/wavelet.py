@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from panelspark.llm.bpe import WHITE_SPACE, byte_symbols
+from panelspark.llm.bpe import LAST_PLANES, WHITE_SPACE, byte_symbols
 from panelspark.llm.hashing import LOWEST, by_eight, mix, pieces, span_keys, text_bytes
 from panelspark.llm.memo import Memo
 from panelspark.llm.substrings import block_bounds
@@ -148,7 +148,7 @@ def newer_characters() -> tuple[frozenset[str], dict[int, str]]:
     The tokenizers library does not know these either: they belong to no class there. The second value maps
     them to a character of private use, which has no class.
     """
-    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    every = "".join(chr(c) for c in range(LAST_PLANES) if not 0xD800 <= c < 0xE000)
     found = frozenset(c for c in regex.findall(r"[\p{L}\p{N}]", every) if unicodedata.category(c) == "Cn")
     return found, dict.fromkeys(map(ord, found), "\ue000")
 
@@ -158,11 +158,14 @@ class Splitter:
 
     def __init__(self, pattern: str):
         self.pattern = regex.compile(pattern)
+        self.find_all = self.pattern.findall
 
     def __call__(self, text: str) -> list[str]:
+        if text.isascii():
+            return self.find_all(text)
         newer, without_class = newer_characters()
-        if text.isascii() or newer.isdisjoint(text):
-            return self.pattern.findall(text)
+        if newer.isdisjoint(text):
+            return self.find_all(text)
         return [text[m.start() : m.end()] for m in self.pattern.finditer(text.translate(without_class))]
 
 
