@@ -358,6 +358,11 @@ def test_pipeline_stages(spark):
     assert 0 < len(after) < len(before)
     before, after = seen["bpe"]
     assert set(after["doc_id"]) == set(before["doc_id"]) and (after["n_tokens"] > 0).all()
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(corpus_pipeline.VOCABULARY)
+    ids = {i: library.encode(t, add_special_tokens=False).ids for i, t in zip(before["doc_id"], before["text"])}
+    assert {i: np.frombuffer(b, "<u4").tolist() for i, b in zip(after["doc_id"], after["ids"])} == ids
 
 
 def test_pipeline_runs_on_odd_documents(spark, tmp_path):
