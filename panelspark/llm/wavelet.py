@@ -286,34 +286,59 @@ def encoder(path: str) -> Encoder:
     return e
 
 
+class _Shards:
+    """Rows of the token files, from documents that come in order."""
+
+    def __init__(self, bits: int):
+        self.bits, self.part = bits, 0
+        self.tokens: list[np.ndarray] = []
+        self.docs: list[tuple[int, int | None, int]] = []  # block, id, end in the shard
+        self.held = 0
+
+    def add(self, block: int, doc_id: int | None, tokens: np.ndarray):
+        """The row of the shard that this document does not fit into any more, if it fills one."""
+        done = self.close() if self.docs and self.held + len(tokens) > SHARD_TOKENS else None
+        self.tokens.append(tokens)
+        self.held += len(tokens)
+        self.docs.append((block, doc_id, self.held))
+        return done
+
+    def close(self) -> pa.RecordBatch:
+        blocks, ids, ends = zip(*self.docs)
+        matrix = WaveletMatrix.build(np.concatenate(self.tokens), self.bits)
+        planes, ranks, zeros = matrix.to_row()
+        row = {
+            "block": blocks[0], "part": self.part, "n_docs": len(ids), "n_tokens": matrix.n,
+            "doc_ids": np.array([i or 0 for i in ids], dtype="<i8").tobytes(),
+            "known": np.array([i is not None for i in ids], dtype=np.uint8).tobytes(),
+            "ends": np.array(ends, dtype="<i8").tobytes(), "planes": planes, "ranks": ranks, "zeros": zeros,
+        }
+        self.part, self.held, self.tokens, self.docs = self.part + 1, 0, [], []
+        return pa.RecordBatch.from_pylist([row], schema=_ARROW)
+
+
 def _shard_rows(path: str, end_id: int):
-    def run(table: pa.Table) -> pa.Table:
+    def run(batches):
         e = encoder(path)
-        bits = int(e.size - 1).bit_length()
-        table = table.sort_by([("known", "ascending"), ("doc_id", "ascending"), ("text", "ascending")])
-        ids = table.column("doc_id").to_pylist()
-        parts = [e.encode_all(some.to_pylist()) for some in pieces(table.column("text").combine_chunks(), TEXT_BYTES)]
-        flat, count = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        # an end id after each document
-        total = np.cumsum(count + 1)
-        tokens = np.full(int(total[-1]), end_id, dtype=e.type)
-        inside = np.ones(len(tokens), dtype=bool)
-        inside[total - 1] = False
-        tokens[inside] = flat
-        rows, low = [], 0
-        while low < len(total):
-            start = int(total[low - 1]) if low else 0
-            high = max(low + 1, int(np.searchsorted(total, start + SHARD_TOKENS, side="right")))
-            matrix = WaveletMatrix.build(tokens[start : int(total[high - 1])], bits)
-            planes, ranks, zeros = matrix.to_row()
-            rows.append({
-                "block": table.column("block")[0].as_py(), "part": len(rows), "n_docs": high - low, "n_tokens": matrix.n,
-                "doc_ids": np.array([i or 0 for i in ids[low:high]], dtype="<i8").tobytes(),
-                "known": np.array([i is not None for i in ids[low:high]], dtype=np.uint8).tobytes(),
-                "ends": (total[low:high] - start).astype("<i8").tobytes(), "planes": planes, "ranks": ranks, "zeros": zeros,
-            })
-            low = high
-        return pa.Table.from_pylist(rows, schema=_ARROW)
+        shards = _Shards(int(e.size - 1).bit_length())
+        for batch in batches:
+            blocks, ids = batch.column("block").to_pylist(), batch.column("doc_id").to_pylist()
+            at = 0
+            for some in pieces(batch.column("text"), TEXT_BYTES):
+                flat, count = e.encode_all(some.to_pylist())
+                # an end id after each document
+                total = np.cumsum(count + 1)
+                tokens = np.full(int(total[-1]), end_id, dtype=e.type)
+                inside = np.ones(len(tokens), dtype=bool)
+                inside[total - 1] = False
+                tokens[inside] = flat
+                for document in np.split(tokens, total[:-1]):
+                    full = shards.add(blocks[at], ids[at], document)
+                    at += 1
+                    if full is not None:
+                        yield full
+        if shards.docs:
+            yield shards.close()
 
     return run
 
@@ -325,7 +350,10 @@ _ARROW = pa.schema([
 
 
 def write_tokens(spark: SparkSession, documents: DataFrame, path: str, vocabulary: str, end_id: int = END_ID) -> None:
-    """Write the token files of all documents to a new folder."""
+    """Write the token files of all documents to a new folder.
+
+    A block of ids is one partition, sorted by Spark, which may spill; its task holds a batch and a shard at a time.
+    """
     blocks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bounds = block_bounds(documents, blocks)
 
@@ -334,9 +362,9 @@ def write_tokens(spark: SparkSession, documents: DataFrame, path: str, vocabular
         return pa.array(np.searchsorted(bounds, np.asarray(ids), side="right").astype(np.int32))
 
     known = F.col("doc_id").isNotNull()
-    rows = documents.select("doc_id", "text", known.alias("known"), F.when(known, block_of(F.coalesce("doc_id", F.lit(0)))).otherwise(F.lit(-1)).alias("block"))
-    shards = rows.repartition(blocks, "block").groupBy("block").applyInArrow(_shard_rows(vocabulary, end_id), FILE_SCHEMA)
-    shards.write.option("compression", "zstd").parquet(path)
+    rows = documents.select("doc_id", "text", known.alias("known"), F.when(known, block_of(F.coalesce("doc_id", F.lit(0)))).otherwise(F.lit(0)).alias("block"))
+    ordered = rows.repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "known", "doc_id", "text")
+    ordered.mapInArrow(_shard_rows(vocabulary, end_id), FILE_SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
 def _documents_of(batches):
