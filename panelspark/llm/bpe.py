@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from panelspark.llm.hashing import distinct_spans, pieces, text_bytes, word_spans
+from panelspark.llm.memo import give_back
 from panelspark.llm.terms import positions
 
 # Fixed values of the vocabulary's file format: bytes that stand for themselves in byte-level symbols,
@@ -54,7 +55,7 @@ END = 256  # closes a word inside the automaton, after the 256 bytes
 SYMBOLS = 257
 LAST_PLANES = 0x40000
 SHORT = 64  # bytes of a piece whose table is worked out together with others
-TEXT_BYTES = 1 << 22  # of texts encoded together
+TEXT_BYTES = 1 << 21  # of texts encoded together
 SLOTS = 20  # bits of a place in the memory of pairs
 INFINITE = 1 << 60
 
@@ -391,7 +392,10 @@ _pieces = regex.compile(PIECES + "|\n").findall
 
 @functools.lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
+    give_back()  # what earlier stages left, before the file's tables need it
+    loaded = Vocabulary(path)
+    give_back()
+    return loaded
 
 
 def _encoded(texts: pa.Array, path: str):
@@ -400,6 +404,7 @@ def _encoded(texts: pa.Array, path: str):
     for some in pieces(texts, TEXT_BYTES):
         ids, count = v.encode_all(some)
         yield ids.astype("<u4", copy=False), np.concatenate(([0], np.cumsum(count)))
+        give_back()
 
 
 def encode_packed(text: Column, path: str) -> Column:

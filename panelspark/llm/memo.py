@@ -1,4 +1,17 @@
-"""A bounded memory of results that keeps what recurs."""
+"""A bounded memory of results that keeps what recurs, and freed memory given back."""
+
+import ctypes
+
+import pyarrow as pa
+
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library only
+
+
+def give_back() -> None:
+    """Return freed memory to the system. A Python worker that Spark reuses otherwise keeps what all its earlier tasks needed."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
 
 
 class Memo:
