@@ -404,7 +404,7 @@ def _encoded(texts: pa.Array, path: str):
     for some in pieces(texts, TEXT_BYTES):
         ids, count = v.encode_all(some)
         yield ids.astype("<u4", copy=False), np.concatenate(([0], np.cumsum(count)))
-        give_back()
+    give_back()
 
 
 def encode_packed(text: Column, path: str) -> Column:
