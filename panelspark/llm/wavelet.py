@@ -9,7 +9,7 @@ A shard is one row of a compressed Parquet file, written and committed by Spark:
 number of documents and tokens, document ids and ends, planes, ranks, and each
 plane's number of zeros. A shard has at most ``SHARD_TOKENS`` ids or one document.
 
-Texts are encoded by the tokenizers library, each different piece once for a while,
+Texts get the ids of the tokenizers library, each different piece of a slice once,
 and an end id follows each document. Null and empty texts have the
 end id alone. Rows without an id come first; rows that share an id follow each other
 by text. An empty table gives files without shards. Only doc_id and text are read.
@@ -17,21 +17,17 @@ by text. An empty table gives files without shards. Only doc_id and text are rea
 
 import functools
 import json
-import re
-import unicodedata
-from array import array
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from panelspark.llm.bpe import LAST_PLANES, WHITE_SPACE, byte_symbols
-from panelspark.llm.hashing import LOWEST, by_eight, mix, pieces, span_keys, text_bytes
-from panelspark.llm.memo import Memo
+from panelspark.llm.bpe import byte_symbols
+from panelspark.llm.byte_pieces import Merges, newer_characters, piece_starts  # noqa: F401
+from panelspark.llm.hashing import distinct_spans, pieces, text_bytes
 from panelspark.llm.substrings import block_bounds
 from panelspark.session import scratch_dir
 
@@ -39,10 +35,6 @@ END_ID = 0
 SHARD_TOKENS = 1 << 22
 STEP = 512  # bits between two stored ranks
 TEXT_BYTES = 1 << 21  # encoded together, so that the arrays of a block of long texts stay small
-PIECES = 150_000  # remembered, in each of two generations
-
-# Fixed value of the vocabulary's kind: what splits a text before the merges, white space spelt out.
-PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE_SPACE}\p{{L}}\p{{N}}]+|[{WHITE_SPACE}]+(?![^{WHITE_SPACE}])|[{WHITE_SPACE}]+"
 
 FILE_SCHEMA = (
     "block int, part int, n_docs long, n_tokens long, doc_ids binary, known binary, ends binary, "
@@ -141,45 +133,11 @@ class WaveletMatrix:
         return now
 
 
-@functools.cache
-def newer_characters() -> tuple[frozenset[str], dict[int, str]]:
-    """What this pattern library calls letters or numbers and the tables of the running Python do not know.
-
-    The tokenizers library does not know these either: they belong to no class there. The second value maps
-    them to a character of private use, which has no class.
-    """
-    every = "".join(chr(c) for c in range(LAST_PLANES) if not 0xD800 <= c < 0xE000)
-    found = frozenset(c for c in regex.findall(r"[\p{L}\p{N}]", every) if unicodedata.category(c) == "Cn")
-    return found, dict.fromkeys(map(ord, found), "\ue000")
-
-
-class Splitter:
-    """Finds the pieces of a pattern, in which no newer character counts as a letter or number."""
-
-    def __init__(self, pattern: str):
-        self.pattern = regex.compile(pattern)
-        self.find_all = self.pattern.findall
-
-    def __call__(self, text: str) -> list[str]:
-        if text.isascii():
-            return self.find_all(text)
-        newer, without_class = newer_characters()
-        if newer.isdisjoint(text):
-            return self.find_all(text)
-        return [text[m.start() : m.end()] for m in self.pattern.finditer(text.translate(without_class))]
-
-
-_double_blank = re.compile(r"\s\s").search
-_pieces = Splitter(PATTERN)
-_single_blanks = re.compile(r"(?<=\S) (?=\S)").split
-
-
 class Encoder:
-    """The library's ids of whole texts, from its ids of their pieces.
+    """The library's ids of whole texts, from the ids of their pieces.
 
-    Merges stay within the pieces that the vocabulary's pattern finds, and a blank between
-    two other characters always begins a piece. So the stretches between such blanks, and
-    the pieces within them, can be encoded by themselves.
+    Merges stay within the pieces that the vocabulary's pattern finds. So each different piece of the texts is merged
+    once, all of them in step, and those that are long by the library.
     """
 
     def __init__(self, path: str):
@@ -189,93 +147,57 @@ class Encoder:
         steps, model = spec["pre_tokenizer"] or {}, spec["model"]
         if spec["normalizer"] or steps.get("type") != "ByteLevel" or not steps["use_regex"] or steps["add_prefix_space"] or model["dropout"] or model["ignore_merges"]:
             raise ValueError("not a byte-level BPE file of the kind that this operator encodes")
-        self.pieces = Memo(PIECES)
         self.size = self.tokenizer.get_vocab_size()
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.special]
-        self.code = "H" if self.size <= 1 << 16 else "I"
-        self.type = np.dtype(self.code).type
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.type = np.dtype("H" if self.size <= 1 << 16 else "I").type
         self.model, self.symbol = self.tokenizer.model, dict(enumerate(byte_symbols()))
+        self.merges = Merges(model)
 
-    def _whole(self, text: str) -> bytes:
-        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+    def _whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _new(self, piece: str) -> bytes:
-        """What the library's model makes of a piece that is not remembered."""
-        symbols = piece.encode("utf-8").decode("latin-1").translate(self.symbol)
-        ids = array(self.code, [t.id for t in self.model.tokenize(symbols)]).tobytes()
-        self.pieces.keep(piece, ids)
-        return ids
-
-    def _piece(self, piece: str) -> bytes:
-        return self.pieces.recall(piece) or self._new(piece)
-
-    def _stretch(self, stretch: str) -> bytes:
-        body = stretch[1:] if stretch[:1] == " " else stretch
-        known, slow = self.pieces.young, self._piece
-        if body.isalpha():  # letters, with the blank before them, are one piece
-            return known.get(stretch) or slow(stretch)
-        if body[:-1].isalpha() and body[-1] in ".,;:!?":
-            return (known.get(stretch[:-1]) or slow(stretch[:-1])) + (known.get(body[-1]) or slow(body[-1]))
-        return b"".join([known.get(p) or slow(p) for p in _pieces(stretch)])
+    def _long(self, piece: bytes) -> list[int]:
+        """What the library's model makes of a piece."""
+        return [t.id for t in self.model.tokenize(piece.decode("latin-1").translate(self.symbol))]
 
     def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if any(s in text for s in self.special):
-            return self._whole(text)
-        first, *rest = _single_blanks(text)
-        return b"".join([self._stretch(first), *[self._stretch(" " + w) for w in rest]])
-
-    def encode_all(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        return self.encode_all([text])[0].tobytes()
+
+    def encode_all(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and how many each text has.
 
-        Stretches of equal keys are compared by their bytes. Each different one is encoded once, and all ids are
-        then put in place together. Texts with other blanks are encoded one by one, as are all should keys collide.
+        Texts with an added token are encoded one by one.
         """
-        plain = [t if t and t[0] != " " and t[-1] != " " and not _double_blank(t) and not any(s in t for s in self.special) else "" for t in texts]
-        alone = {i: self.encode(t) for i, t in enumerate(texts) if t and not plain[i]}
-        raw, at = text_bytes(pa.array(plain, type=pa.large_string()))
-        blank = np.flatnonzero(raw == 32)
-        full = np.flatnonzero(np.diff(at))
-        starts = np.sort(np.concatenate((at[full], blank + 1)))
-        ends = np.sort(np.concatenate((at[full + 1], blank)))
-        follows = ~np.isin(starts, at[full], assume_unique=True)  # a blank stands before it
-        sizes = ends - starts
-        padded, eight = by_eight(raw)
-        name, distinct = pd.factorize(mix(span_keys(padded, eight, starts, sizes) + follows.astype(np.uint64)))
-        chosen = np.empty(len(distinct), dtype=np.int64)
-        chosen[name] = np.arange(len(name))
-        like = chosen[name]
-        same = (sizes == sizes[like]).all() and (follows == follows[like]).all()
-        left, step = np.flatnonzero(like != np.arange(len(name))) if same else np.empty(0, dtype=np.int64), 0
-        while len(left) and same:
-            alike = (eight[starts[left] + step] ^ eight[starts[like[left]] + step]) & LOWEST[np.minimum(sizes[left] - step, 8)]
-            same, step = not alike.any(), step + 8
-            left = left[sizes[left] > step]
-        if not same:
-            each = [np.frombuffer(self.encode(t), dtype=self.type) for t in texts]
-            return np.concatenate(each), np.array([len(e) for e in each], dtype=np.int64)
-        data = raw.tobytes()
-        parts = [
-            self._stretch((" " if f else "") + data[i:j].decode("utf-8"))
-            for i, j, f in zip(starts[chosen].tolist(), ends[chosen].tolist(), follows[chosen].tolist())
-        ]
-        text = np.searchsorted(at, starts, side="right") - 1
-        # the texts encoded alone are one stretch each
-        lone = np.array(sorted(alone), dtype=np.int64)
-        parts += [alone[i] for i in lone.tolist()]
-        name = np.concatenate((name, np.arange(len(lone)) + len(chosen)))
-        text = np.concatenate((text, lone))
-        order = np.argsort(text, kind="stable")
-        name, text = name[order], text[order]
-        width = np.dtype(self.type).itemsize
-        length = np.array([len(p) for p in parts], dtype=np.int64) // width
-        flat = np.frombuffer(b"".join(parts), dtype=self.type)
-        begin = np.concatenate(([0], np.cumsum(length)))[:-1]
+        texts = pa.array(texts, type=pa.large_string()) if isinstance(texts, list) else texts
+        texts.validate(full=True)
+        apart = np.zeros(len(texts), dtype=bool)
+        for token in self.added:
+            apart |= np.asarray(pc.match_substring(texts, token).fill_null(False))
+        lone = np.flatnonzero(apart)
+        alone = [self._whole(texts[i].as_py()) for i in lone.tolist()]
+        if len(lone):
+            texts = pc.if_else(pa.array(apart), "", texts)
+        raw, at = text_bytes(texts)
+        starts = piece_starts(raw, at)
+        sizes = np.diff(starts, append=len(raw))
+        name, chosen = distinct_spans(raw, starts, sizes)
+        first, size = starts[chosen], sizes[chosen]
+        short = size <= self.merges.longest
+        ids, length = self.merges(raw, first[short], size[short])
+        long = [self._long(raw[i : i + n].tobytes()) for i, n in zip(first[~short].tolist(), size[~short].tolist())]
+        # ids of the short pieces, then of the long ones, then of the texts encoded alone, each of these like one piece
+        flat = np.concatenate((ids.astype(self.type), *[np.array(x, dtype=self.type) for x in [*long, *alone]]))
+        length = np.concatenate((length, np.array([len(x) for x in [*long, *alone]], dtype=np.int64)))
+        name = np.where(short, np.cumsum(short) - 1, len(chosen) - len(long) + np.cumsum(~short) - 1)[name]
+        until = np.searchsorted(starts, at)
+        if len(lone):
+            name = np.insert(name, until[lone], len(chosen) + np.arange(len(lone)))
+            until[1:] += np.cumsum(apart)
+        begin = np.cumsum(length) - length
         count = length[name]
-        upto = np.cumsum(count)
-        source = np.repeat(begin[name] - (upto - count), count) + np.arange(int(count.sum()))
-        return flat[source], np.bincount(text, weights=count, minlength=len(texts)).astype(np.int64)
+        upto = np.concatenate(([0], np.cumsum(count)))
+        source = np.repeat(begin[name] - upto[:-1], count) + np.arange(int(upto[-1]))
+        return flat[source], np.diff(upto[until])
 
 
 @functools.lru_cache(maxsize=2)
@@ -325,7 +247,7 @@ def _shard_rows(path: str, end_id: int):
             blocks, ids = batch.column("block").to_pylist(), batch.column("doc_id").to_pylist()
             at = 0
             for some in pieces(batch.column("text"), TEXT_BYTES):
-                flat, count = e.encode_all(some.to_pylist())
+                flat, count = e.encode_all(some)
                 # an end id after each document
                 total = np.cumsum(count + 1)
                 tokens = np.full(int(total[-1]), end_id, dtype=e.type)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from panelspark.llm import bpe, hashing, pii, quality, toxicity, wavelet
+from panelspark.llm.byte_pieces import Merges
 from panelspark.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -261,6 +262,36 @@ def test_encoder_equals_the_library_on_characters_of_every_age():
         assert got.tolist() == t.encode(text, add_special_tokens=False).ids, ascii(text)
 
 
+def test_short_pieces_are_merged_together(table):
+    """Different pieces of a batch take no call of the library each; those too long for that, and files of other merges, do."""
+    e, t = wavelet.Encoder(BYTE), Tokenizer.from_file(BYTE)
+    rng = random.Random(5)
+    letters = "abcdefgh'’ -.,019éß日\n\t "
+    texts = [*table["text"][:100], *("".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(2000)), "x'll're's'd 'll \n 's!'t''t"]
+    want = [t.encode(text, add_special_tokens=False).ids for text in texts]
+    model, e.model = e.model, None
+    ids, count = e.encode_all(texts)
+    assert [g.tolist() for g in np.split(ids, np.cumsum(count)[:-1])] == want
+    e.model = model
+    around = [sign * n for sign in ("a", "=", "ha", " ", "日") for n in (31, 32, 33, 63, 64, 65, 2000)]
+    ids, count = e.encode_all(around)
+    assert [g.tolist() for g in np.split(ids, np.cumsum(count)[:-1])] == [t.encode(text, add_special_tokens=False).ids for text in around]
+    e.merges.longest = 0
+    ids, count = e.encode_all(texts[:120])
+    assert [g.tolist() for g in np.split(ids, np.cumsum(count)[:-1])] == want[:120]
+    with pytest.raises(pa.ArrowInvalid):
+        e.encode_all(pa.array([b"a\xe9"]).view(pa.string()))
+
+
+def test_merges_of_one_token_are_left_to_the_library():
+    vocab = {s: i for i, s in enumerate(bpe.byte_symbols())} | {"ab": 256, "bc": 257, "abc": 258}
+    merges = [["a", "b"], ["b", "c"], ["ab", "c"]]
+    assert Merges({"vocab": vocab, "merges": merges}).longest
+    assert Merges({"vocab": vocab, "merges": [" ".join(m) for m in merges]}).longest
+    assert not Merges({"vocab": vocab, "merges": [*merges, ["a", "bc"]]}).longest
+    assert not Merges({"vocab": {s: i for s, i in vocab.items() if s != "z"}, "merges": merges}).longest
+
+
 def brute_tokens(rows):
     t, at, out = Tokenizer.from_file(BYTE), 0, []
     for doc_id, text in rows:
