@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from panelspark.catalog import views as V
 from panelspark.ml import explain, score, store, train
 from panelspark.ml.features import learn_encoding, select_features
+from panelspark.operators import align
 from panelspark.plans import build
 from panelspark.plans import features as P
 from panelspark.session import scratch_dir
@@ -134,6 +135,63 @@ def test_large_weather_tables_are_shuffled_not_broadcast(spark, monkeypatch):
 KEYED = "k int, at timestamp_ntz, v double"
 
 
+def _small_tables(spark):
+    """Twelve series of two counties and one unknown at every hour of 20 days across a block's end, with their side tables."""
+    hours = spark.sql("SELECT timestamp_ntz '2023-12-25 00:00:00' + make_dt_interval(0, CAST(id AS INT)) AS datetime, id AS h FROM range(480)")
+    series = spark.sql(
+        "SELECT IF(id < 8, CAST(id % 2 AS INT), NULL) AS county, CAST(id DIV 2 % 2 AS INT) AS is_business,"
+        " CAST(id DIV 4 AS INT) AS product_type, CAST(id % 3 AS INT) AS is_consumption, id AS s FROM range(12)")
+    train = series.crossJoin(hours).selectExpr(
+        *SERIES_KEYS, "datetime", "IF(h % 89 = 7, NULL, CAST((h * 7 + s * 13) % 101 AS DOUBLE)) AS target", "h * 12 + s AS row_id")
+    days = hours.selectExpr("to_date(datetime) AS date").distinct()
+    stations = spark.createDataFrame([(57.6, 23.2, 0), (57.9, 23.2, 1), (58.2, 23.7, None)], "latitude double, longitude double, county int")
+    weather = stations.crossJoin(hours)
+    forecast = weather.crossJoin(spark.range(20, 25)).filter("h % 24 = 0 AND h < 400").selectExpr(
+        "latitude", "longitude", "CAST(id AS INT) AS hours_ahead", "datetime AS origin_datetime",
+        *[f"CAST(h % 17 + id + {i} AS DOUBLE) AS `{v}`" for i, v in enumerate(V.FORECAST_COLUMNS)])
+    history = weather.selectExpr(
+        "latitude", "longitude", "datetime", *[f"CAST(h % 13 + {i} AS DOUBLE) AS `{v}`" for i, v in enumerate(V.HISTORY_COLUMNS)])
+    client = series.filter("is_consumption = 0 AND county IS NOT NULL").select("county", "is_business", "product_type").distinct().crossJoin(days)
+    return {
+        "train": train, "target": train.drop("row_id"), "location": stations, "forecast_weather": forecast, "historical_weather": history,
+        "client": client.selectExpr("*", "CAST(day(date) AS INT) AS eic_count", "CAST(day(date) * 3 AS DOUBLE) AS installed_capacity"),
+        "electricity": hours.selectExpr("datetime AS forecast_date", "CAST(h % 5 AS DOUBLE) AS euros_per_mwh"),
+        "gas": days.selectExpr("date AS forecast_date", "CAST(day(date) AS DOUBLE) AS lowest_price_per_mwh", "CAST(day(date) + 2 AS DOUBLE) AS highest_price_per_mwh"),
+    }
+
+
+@pytest.mark.parametrize("training", [True, False])
+def test_wide_rows_do_not_move_for_a_large_forecast(spark, monkeypatch, training):
+    tables = _small_tables(spark)
+    asked = tables["train"].filter("day(datetime) % 2 = 0")
+    asked = asked if training else asked.selectExpr(*SERIES_KEYS, "datetime + interval 5 days AS datetime", "row_id")
+
+    def features():
+        rows_in = tables["train"] if training else asked
+        return build.feature_rows(rows_in, tables, 3, training, V.FORECAST_COLUMNS, V.HISTORY_COLUMNS, hours=(21, 24))
+
+    small = features()
+    monkeypatch.setattr(P, "fits_broadcast", lambda df, unjudged=None: unjudged is None)
+    large = features()
+    assert large.columns == small.columns
+    assert rows(large) == rows(small)
+    assert large.filter("temperature_hours_ahead_22 IS NOT NULL AND target_lag_3 IS NOT NULL").count() > 500
+    plan = large._jdf.queryExecution().sparkPlan().toString()
+    assert "ShuffledHashJoin" in plan
+    # no exchange above the lags' windows
+    ready = large._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in ready[: ready.index("Window")]
+
+
+def test_a_crowded_county_is_spread_for_a_large_forecast(spark, monkeypatch):
+    tables = _small_tables(spark)
+    few = P.packed_forecast(tables["forecast_weather"], tables["location"], V.FORECAST_COLUMNS, (21, 24))
+    monkeypatch.setattr(P, "fits_broadcast", lambda df, unjudged=None: False)
+    assert P.placed_near(few, tables["train"], 3) == ["county"]
+    monkeypatch.setattr(P, "hot_keys", lambda df, on, total=None: align.hot_keys(df, on, rows_per_task=50))
+    assert P.placed_near(few, tables["train"], 3) is None
+
+
 def test_a_batch_written_twice_counts_once(spark):
     path = scratch_dir(spark, "table")
     batch = spark.createDataFrame([(1, datetime(2024, 1, 1), 1.0)], KEYED)
