@@ -304,3 +304,14 @@ def test_lags_of_all_columns_take_one_shuffle(spark):
     plan = L.exact_lag(df, ["user_id"], "ts", ["value", "event_id"], list(range(2, 15)))
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert text.count("Exchange hashpartitioning") == 1 and text.count("Window [") == 1
+
+
+def test_rounding_by_units_equals_the_decimal_one(spark):
+    from panelspark.catalog.queries import exact_round
+
+    odd = [None, float("nan"), float("inf"), -float("inf"), 0.0, -0.0, 0.0005, -1.0005, 2.675, 1e12 + 0.0005, -1e-20, 0.4999995, 123456.7895, 1.0000005, 5e-324]
+    some = [(i - 5000) * 7919.0 / d for i in range(10000) for d in (1e3, 2e4, 3e6, 2e6)]
+    df = spark.createDataFrame([(v,) for v in [*odd, *some]], "x double")
+    for digits in (3, 4, 6):
+        both = df.selectExpr("x", f"round(x, {digits}) AS a", f"{exact_round('x', digits)} AS b")
+        assert both.filter("CAST(a AS STRING) IS DISTINCT FROM CAST(b AS STRING)").count() == 0
