@@ -11,7 +11,9 @@ exactly. Cells bound every inner product from both sides.
 3. The blocks' results are ranked; equal scores go to the smaller id.
 
 Every block of queries meets every block of vectors: the work is the stated query set
-against all rows. Blocks have a bounded size, and nothing is broadcast.
+against all rows. Queries go to the blocks; a block of vectors is moved once, whatever
+the number of queries. Blocks have a bounded size, a task bounds ``SLICE`` queries at a
+time, and nothing is broadcast. Whole numbers are held in the fewest bytes that fit.
 
 Components are taken as floor(256 x) in whole numbers. Vectors that are null or empty
 or hold null or non-finite components take no part, nor do rows without an id. Vectors
@@ -28,7 +30,7 @@ from panelspark.llm.vectors import matrix, packed, usable
 from panelspark.session import land
 
 SCALE = 256
-BLOCK, QUERY_BLOCK = 8192, 1024
+BLOCK, QUERY_BLOCK, SLICE = 8192, 1024, 256
 CELLS = 16
 EXACT = float(1 << 53)
 
@@ -43,6 +45,23 @@ def _cells(x: np.ndarray):
     return code[:, 0::2] << 4 | code[:, 1::2], low, width
 
 
+def _narrow(x: np.ndarray) -> bytes:
+    """Whole numbers in two or four bytes each where all fit, else as they are."""
+    top = np.abs(x).max(initial=0)
+    return packed(next((x.astype(kind) for kind in (np.int16, np.int32) if top <= np.iinfo(kind).max), x))
+
+
+def _wide(data: bytes, n: int, dim: int) -> np.ndarray:
+    """The ``n`` rows that ``_narrow`` made, as doubles."""
+    kind = {2: np.int16, 4: np.int32, 8: np.float64}[len(data) // (n * dim)]
+    return np.frombuffer(data, dtype=kind).reshape(n, dim).astype(np.float64)
+
+
+def _queries(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    ids = np.frombuffer(row["query_ids"], dtype=np.int64)
+    return ids, _wide(row["queries"], len(ids), row["dim"])
+
+
 def _bounds(q: np.ndarray, row: dict) -> tuple[np.ndarray, np.ndarray]:
     """Lower and upper bounds of the inner products of all queries with all vectors of a block."""
     n, d = row["n"], q.shape[1]
@@ -63,7 +82,7 @@ def _block_file(table: pa.Table) -> pa.Table:
     cells, low, width = _cells(x)
     return pa.table({
         "dim": table.column("dim")[:1], "block": table.column("block")[:1], "n": pa.array([len(ids)], pa.int32()),
-        "ids": [packed(ids)], "cells": [packed(cells)], "low": [packed(low)], "width": [packed(width)], "exact": [packed(x)],
+        "ids": [packed(ids)], "cells": [packed(cells)], "low": [packed(low)], "width": [packed(width)], "exact": [_narrow(x)],
     })
 
 
@@ -74,7 +93,7 @@ def _query_file(table: pa.Table) -> pa.Table:
     limit = np.asarray(table.column("limit"), dtype=np.float64)
     return pa.table({
         "dim": table.column("dim")[:1], "query_block": table.column("query_block")[:1],
-        "query_ids": [packed(ids[order])], "queries": [packed(x[order])], "limits": [packed(limit[order])],
+        "query_ids": [packed(ids[order])], "queries": [_narrow(x[order])], "limits": [packed(limit[order])],
     })
 
 
@@ -82,12 +101,16 @@ def _lower_limits(k):
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                query_ids, q = np.frombuffer(row["query_ids"], dtype=np.int64), np.frombuffer(row["queries"]).reshape(-1, row["dim"])
-                lower, _ = _bounds(q, row)
-                lower[query_ids[:, None] == np.frombuffer(row["ids"], dtype=np.int64)[None, :]] = -np.inf
-                enough = lower.shape[1] >= k
-                limit = np.partition(lower, -k, axis=1)[:, -k] if enough else np.full(len(q), -np.inf)
-                yield pa.RecordBatch.from_pydict({"query_id": query_ids, "limit": limit})
+                all_ids, all_q = _queries(row)
+                ids = np.frombuffer(row["ids"], dtype=np.int64)
+                for a in range(0, len(all_ids), SLICE):
+                    query_ids, q = all_ids[a : a + SLICE], all_q[a : a + SLICE]
+                    lower, _ = _bounds(q, row)
+                    lower[query_ids[:, None] == ids[None, :]] = -np.inf
+                    if enough := lower.shape[1] >= k:
+                        lower.partition(lower.shape[1] - k, axis=1)
+                    limit = lower[:, -k] if enough else np.full(len(q), -np.inf)
+                    yield pa.RecordBatch.from_pydict({"query_id": query_ids, "limit": limit})
 
     return run
 
@@ -102,21 +125,23 @@ def _nearest(k, step=64):
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                query_ids, q = np.frombuffer(row["query_ids"], dtype=np.int64), np.frombuffer(row["queries"]).reshape(-1, row["dim"])
+                query_ids, q = _queries(row)
                 ids = np.frombuffer(row["ids"], dtype=np.int64)
-                exact = np.frombuffer(row["exact"]).reshape(row["n"], -1)
+                exact = _wide(row["exact"], row["n"], row["dim"])
                 limits = np.frombuffer(row["limits"])
-                _, upper = _bounds(q, row)
                 out = ([], [], [])
-                for i, query_id in enumerate(query_ids):
-                    near = np.flatnonzero((upper[i] >= limits[i]) & (ids != query_id))
+                for at_query, query_id in enumerate(query_ids):
+                    i = at_query % SLICE
+                    if i == 0:
+                        _, upper = _bounds(q[at_query : at_query + SLICE], row)
+                    near = np.flatnonzero((upper[i] >= limits[at_query]) & (ids != query_id))
                     near = near[np.argsort(-upper[i][near], kind="stable")]
                     best_ids, best = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
                     for at in range(0, len(near), step):
                         if len(best) == k and upper[i][near[at]] < best[-1]:
                             break
                         some = near[at : at + step]
-                        best_ids, best = np.append(best_ids, ids[some]), np.append(best, _exact(exact[some], q[i]))
+                        best_ids, best = np.append(best_ids, ids[some]), np.append(best, _exact(exact[some], q[at_query]))
                         order = np.lexsort((best_ids, -best))[:k]
                         best_ids, best = best_ids[order], best[order]
                     out[0].append(np.full(len(best), query_id)), out[1].append(best_ids), out[2].append(best)
@@ -142,10 +167,9 @@ def nearest(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int =
     numbered = asked.withColumn("query_block", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int"))
 
     def meet(blocks_side, queries_side):
-        # each pair of blocks is a key of its own
-        left = blocks_side.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+        # the queries are copied for each block, a block is never
         right = queries_side.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        return left.join(right, ["dim", "block", "query_block"])
+        return blocks_side.join(right, ["dim", "block"])
 
     query_type = "dim int, query_block int, query_ids binary, queries binary, limits binary"
 

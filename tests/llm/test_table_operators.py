@@ -375,3 +375,19 @@ def test_pipeline_runs_on_odd_documents(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+
+
+def test_blocks_of_vectors_move_once_whatever_the_queries(spark, monkeypatch):
+    monkeypatch.setattr(vafile, "BLOCK", 40), monkeypatch.setattr(vafile, "QUERY_BLOCK", 16), monkeypatch.setattr(vafile, "SLICE", 5)
+    for scale in (1, 1 << 10, 7_300_000):  # two, four and eight bytes a component
+        x = np.random.default_rng(3).integers(-300, 301, (200, 4)) * [scale, 1, 1, 1] / 256
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        found = vafile.nearest(spark, df, F.col("vec_id") % 2 == 0, 3)
+        # only queries are copied
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 2
+        whole = [[int(c) for c in row] for row in np.floor(x * 256)]
+        want = {}
+        for i in range(0, 200, 2):
+            best = sorted((-sum(a * b for a, b in zip(whole[j], whole[i])), j) for j in range(200) if j != i)[:3]
+            want |= {(i, r + 1): (j, -s) for r, (s, j) in enumerate(best)}
+        assert {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in found.collect()} == want
