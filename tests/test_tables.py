@@ -119,6 +119,20 @@ def test_repeated_side_rows_are_refused(spark):
         build.check_inputs(tables)
 
 
+def test_wide_rows_are_written_plain_and_not_sorted_by_month(spark, monkeypatch, tmp_path):
+    import pyarrow.parquet as pq
+    from pyspark.sql import DataFrameWriter
+
+    written, seen, before = DataFrameWriter.parquet, [], spark.conf.get(io.OPEN_FILES)
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **b: (seen.append(spark.conf.get(io.OPEN_FILES)), written(self, *a, **b))[1])
+    df = spark.range(0, 300, 1, 1).selectExpr("id", "date_add(DATE '2024-01-15', CAST(id % 6 AS INT) * 30) AS date", "id / 7 AS x")
+    io.write_features(df, str(tmp_path / "t"))
+    assert seen == [str(io.OPEN_MONTHS)] and spark.conf.get(io.OPEN_FILES) == before
+    assert rows(io.read_features(spark, str(tmp_path / "t"))) == rows(df)  # six months, more than are kept open
+    column = pq.ParquetFile(next((tmp_path / "t" / "date_month=2024-01").glob("*.parquet"))).metadata.row_group(0).column(2)
+    assert column.compression == "ZSTD" and not column.has_dictionary_page
+
+
 def test_large_weather_tables_are_shuffled_not_broadcast(spark, monkeypatch):
     left = spark.range(100).select((F.col("id") % 7).alias("county"), F.lit(date(2024, 1, 1)).alias("date"), "id")
     weather = spark.range(7).select(F.col("id").alias("county"), F.lit(date(2024, 1, 1)).alias("date"), F.rand(1).alias("w"))
